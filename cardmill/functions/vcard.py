@@ -9,7 +9,7 @@ from cardmill.functions.text import SPACE, let, trim
 
 
 def escape(col: Column) -> Column:
-    slashed = F.regexp_replace(col, r"([\;,])", r"\\$1")
+    slashed = F.regexp_replace(col, r"([\\;,])", r"\\$1")
     return F.regexp_replace(slashed, r"\r\n|\n|\r", r"\\n")
 
 

@@ -164,7 +164,7 @@ def test_cer_and_scores(spark):
 def test_vcard_text(spark):
     assert values(spark, ["Md. Abul Bashar Sarker", "Rahman"], V.structured_name) == [
         "Sarker;Md. Abul Bashar;;;", "Rahman;;;;"]
-    assert values(spark, ["a\\b;c,d\r\ne\nf"], V.escape) == ["a\\\\b\;c\\,d\\ne\\nf"]
+    assert values(spark, ["a\\b;c,d\r\ne\nf"], V.escape) == ["a\\\\b\\;c\\,d\\ne\\nf"]
     assert values(spark, ["Md. Rahman & Co", "***", "a  b"], V.safe_file_name) == ["Md_Rahman_Co", "contact", "a_b"]
     empty = F.array().cast("array<struct<kind:string,value:string,label:string>>")
     text = values(
