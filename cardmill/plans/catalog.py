@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cardmill.plans import text_queries
+from cardmill.plans import search_queries, text_queries
 
-_MODULES = [text_queries]
+_MODULES = [search_queries, text_queries]
 
 
 def queries() -> dict:
