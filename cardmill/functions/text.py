@@ -85,10 +85,15 @@ def _fold_table() -> tuple[str, str]:
     return "".join(source), "".join(target)
 
 
+def fold_letters(col: Column) -> Column:
+    """Lower case, precomposed accented letters to their base letter."""
+    source, target = _fold_table()
+    return F.translate(F.lower(col), source, target)
+
+
 def fold(col: Column) -> Column:
     """Case and diacritics removed, as the index side of the lexical arm stores its terms."""
-    source, target = _fold_table()
-    return F.regexp_replace(F.translate(F.lower(col), source, target), r"[\x{0300}-\x{036F}]", "")
+    return F.regexp_replace(fold_letters(col), r"[\x{0300}-\x{036F}]", "")
 
 
 def index_terms(col: Column) -> Column:

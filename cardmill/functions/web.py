@@ -45,10 +45,21 @@ def _email(raw: Column, address: Column, repaired: bool) -> Column:
     )
 
 
+def _may_be_misread(text: Column) -> Column:
+    """Cheap test that spares most texts the slow pattern."""
+    low = F.lower(text)
+    sign = low.contains("(a)") | low.contains("[at]") | low.contains("{at}") | low.contains("©") | low.contains("@")
+    return sign | low.rlike(f"[{SPACE}]at[{SPACE}]")
+
+
 def emails(text: Column) -> Column:
     """Clean addresses first, then those whose '@' was misread; one per normalized form."""
-    clean = F.transform(_matches(text, EMAIL), lambda raw: _email(raw, raw, False))
-    misread = F.filter(_matches(text, MANGLED_EMAIL), lambda raw: ~raw.rlike(EMAIL))
+    found = F.when(text.contains("@"), _matches(text, EMAIL)).otherwise(F.array().cast("array<string>"))
+    clean = F.transform(found, lambda raw: _email(raw, raw, False))
+    none = F.array().cast("array<string>")
+    misread = F.when(
+        _may_be_misread(text), F.filter(_matches(text, MANGLED_EMAIL), lambda raw: ~raw.rlike(EMAIL))
+    ).otherwise(none)
     rebuilt = F.transform(
         misread,
         lambda raw: _email(
@@ -89,7 +100,9 @@ def websites(text: Column) -> Column:
             F.filter(sites, lambda s: s["domain"].contains(".")), lambda s: s["domain"], SITE_TYPE
         )
 
-    return let(F.regexp_replace(text, EMAIL, " "), without_mail)
+    rest = F.when(text.contains("@"), F.regexp_replace(text, EMAIL, " ")).otherwise(text)
+    dotted = let(rest, without_mail)
+    return F.when(text.contains("."), dotted).otherwise(F.array().cast(f"array<{SITE_TYPE}>"))
 
 
 def email_domain(email: Column) -> Column:

@@ -7,7 +7,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cardmill.functions.text import fold
+from cardmill.functions.text import fold_letters
+from cardmill.session import written
 
 UNKNOWN = "[UNK]"
 CONTINUED = "##"
@@ -19,27 +20,34 @@ _CJK = (
 )
 # ASCII symbols count as punctuation besides the Unicode punctuation classes.
 _PUNCTUATION = r"\p{P}$+<=>^`|~"
+# Controls other than the white-space ones, the replacement character, and combining marks.
+_DROPPED = r"[\p{Cc}\p{Cf}\p{Cs}\p{Co}\p{Mn}\x{FFFD}&&[^\t\n\r]]"
 
 
 def words(text: Column) -> Column:
-    """Normalised words: controls dropped, CJK and punctuation isolated, case and accents folded."""
-    spaced = F.regexp_replace(text, r"[\t\n\r\p{Z}]", " ")
-    clean = F.regexp_replace(spaced, r"[\p{Cc}\p{Cf}\p{Cs}\p{Co}\x{FFFD}]", "")
-    bare = F.regexp_replace(fold(clean), r"\p{Mn}", "")
-    apart = F.regexp_replace(bare, f"([{_CJK}{_PUNCTUATION}])", " $1 ")
-    return F.filter(F.split(apart, " +"), lambda w: w != "")
+    """Normalised words: controls and marks dropped, CJK and punctuation isolated, case and accents folded."""
+    bare = F.regexp_replace(text, _DROPPED, "")
+    apart = F.regexp_replace(fold_letters(bare), f"[{_CJK}{_PUNCTUATION}]", " $0 ")
+    return F.filter(F.split(apart, r"[\t\n\r\p{Z}]+"), lambda w: w != "")
 
 
 def word_pieces(vocabulary_words: DataFrame, tokens: DataFrame) -> DataFrame:
     """(word, pos, token): greedy longest match for each distinct word of ``word``.
 
-    Every start of a word meets the vocabulary in one equi-join on its candidate substrings; the
-    longest end per start is an aggregate on the same partitioning, and the greedy walk runs over
-    that small map. A word that cannot be covered, or is too long, is one unknown token.
+    A word that is itself a token is done. Of the others every start meets the vocabulary in one
+    equi-join on its candidate substrings; the longest end per start is an aggregate on the same
+    partitioning, and the greedy walk runs over that small map. A word that cannot be covered, or is
+    too long, is one unknown token.
     """
     longest = tokens.agg(F.max(F.length("token"))).scalar()
     known = tokens.select("token")
     size = F.length("word")
+    as_token = known.select(F.col("token").alias("word")).withColumn("whole", F.lit(True))
+    looked_up = vocabulary_words.join(as_token, "word", "left").withColumn(
+        "whole", F.coalesce("whole", F.lit(False)) & (size <= LONGEST_WORD)
+    )
+    done = looked_up.filter("whole").select("word", F.lit(0).alias("pos"), F.col("word").alias("token"))
+    vocabulary_words = looked_up.filter(~F.col("whole")).select("word")
     candidates = (
         vocabulary_words.filter(size <= LONGEST_WORD)
         .withColumn("longest", longest)
@@ -86,7 +94,7 @@ def word_pieces(vocabulary_words: DataFrame, tokens: DataFrame) -> DataFrame:
         F.substring(F.col("word"), i, F.element_at(F.col("reach"), i)),
     )
     pieces = F.when(F.col("covered"), F.transform(F.col("walk.starts"), piece)).otherwise(F.array(F.lit(UNKNOWN)))
-    return walked.select("word", F.posexplode(pieces).alias("pos", "token"))
+    return done.unionByName(walked.select("word", F.posexplode(pieces).alias("pos", "token")))
 
 
 def tokenize(df: DataFrame, tokens: DataFrame, key: str = "subject_id", text: str = "text") -> DataFrame:
@@ -104,7 +112,7 @@ def token_mean_vectors(
     Vectors are summed per distinct word first, so the wide join and the sum per document run on
     (document, word) counts instead of on token occurrences.
     """
-    spoken = (
+    spoken = written(
         df.select(key, F.explode(words(F.col(text))).alias("word")).groupBy(key, "word").agg(F.count("*").alias("n"))
     )
     pieces = word_pieces(spoken.select("word").distinct(), token_vectors.select("token"))

@@ -12,10 +12,12 @@ from cardmill.operators.embedding import token_mean_vectors
 from cardmill.operators.lexical import bm25_topk, build_postings, doc_stats, empty_arm, query_terms, top_k
 from cardmill.operators.ranking import explain, rrf, utility
 from cardmill.operators.vectors import cosine_topk
+from cardmill.session import written
 
 
 def lexical_arm(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    return bm25_topk(queries, build_postings(docs), doc_stats(docs))
+    """Index of ``docs`` built once, then ranked. A stored index goes to ``bm25_topk`` directly."""
+    return bm25_topk(queries, written(build_postings(docs)), doc_stats(docs))
 
 
 def vector_arm(queries: DataFrame, doc_vectors: DataFrame, query_vectors: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from cardmill.operators import embedding, lexical, ranking, vectors
 from cardmill.plans import search
 from cardmill.plans import sql as S
 from cardmill.plans.text_queries import SUBJECTS, subjects
+from cardmill.session import written
 from cardmill.sources.tables import read_input
 
 QUERIES = {}
@@ -112,12 +113,12 @@ def lexical_bm25_topk(spark, d):
 
 
 def token_table(spark: SparkSession, d: str) -> DataFrame:
-    docs = read_input(spark, d, "documents").select("doc_id", F.explode(embedding.words(F.col("text"))).alias("word"))
-    common = docs.distinct().groupBy("word").agg(F.count("*").alias("n"))
-    common = common.filter((F.col("n") >= 2) & (F.length("word") <= embedding.LONGEST_WORD)).select("word")
-    letters = (
-        docs.select("word").distinct().select(F.explode(F.split("word", "")).alias("letter")).filter("letter <> ''").distinct()
+    docs = read_input(spark, d, "documents").select(
+        F.explode(F.array_distinct(embedding.words(F.col("text")))).alias("word")
     )
+    spread = written(docs.groupBy("word").agg(F.count("*").alias("n")))
+    common = spread.filter((F.col("n") >= 2) & (F.length("word") <= embedding.LONGEST_WORD)).select("word")
+    letters = spread.select(F.explode(F.split("word", "")).alias("letter")).filter("letter <> ''").distinct()
     tokens = (
         common.union(letters)
         .union(letters.select(F.concat(F.lit("##"), F.col("letter"))))
@@ -127,7 +128,7 @@ def token_table(spark: SparkSession, d: str) -> DataFrame:
     stored = read_input(spark, d, "embeddings")
     count = stored.agg(F.count("*")).scalar()
     hashed = F.conv(F.substring(F.md5("token"), 1, 8), 16, 10).cast("long")
-    return (
+    return written(
         tokens.select(F.col("word").alias("token"))
         .withColumn("vec_id", F.pmod(hashed, count))
         .join(stored.select("vec_id", F.col("embedding").alias("vector")), "vec_id")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +22,7 @@ def build_session(app: str = "cardmill", master: str | None = None, **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         **conf,
     }
     for key, value in settings.items():
@@ -36,7 +38,10 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder every executor can reach")
     current = spark.sparkContext.getCheckpointDir()
-    return current or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    if current is None:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        current = spark.sparkContext.getCheckpointDir()
+    return current
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -45,3 +50,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(checkpoint_root(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Stores a result that several later steps read in the shared folder and reads it back.
+
+    Unlike a checkpoint the stored table has sizes and columns the optimizer can use.
+    """
+    path = f"{checkpoint_root(df.sparkSession).rstrip('/')}/cardmill-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

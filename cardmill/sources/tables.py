@@ -14,11 +14,27 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).option("mergeSchema", "true").parquet(f"{root}/{name}")
 
 
+# Tables whose rows are expensive to process: long texts that meet regular expressions.
+TEXT_TABLES = {"documents", "pages", "conversations"}
+
+
 def read_input(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """An input table; zone-less timestamps are read as instants so that every job sees one time type."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     zoneless = [c for c, kind in df.dtypes if kind == "timestamp_ntz"]
-    return df.withColumns({c: F.col(c).cast("timestamp") for c in zoneless}) if zoneless else df
+    if zoneless:
+        df = df.withColumns({c: F.col(c).cast("timestamp") for c in zoneless})
+    return spread(df) if name in TEXT_TABLES else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deals rows out to all cores when a small file would leave text work to a few tasks.
+
+    A table with at least one scan partition per core, as any large one has, is left as it is. Filters
+    and column pruning still reach the scan.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def validity(name: str) -> Column:
