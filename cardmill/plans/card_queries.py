@@ -18,7 +18,7 @@ from cardmill.plans import sql as S
 from cardmill.plans.text_queries import SUBJECTS, subjects
 from cardmill.session import checkpoint_root, written
 from cardmill.sources import contact_export
-from cardmill.sources.tables import read_input
+from cardmill.sources.tables import read_input, validity
 from cardmill.streaming import jobs
 
 QUERIES = {}
@@ -178,8 +178,6 @@ def needs_promotion(spark, d):
 
 @query("valid_people", "SELECT c_custkey AS id, length(c_name) BETWEEN 1 AND 200 AS valid FROM customer")
 def valid_people(spark, d):
-    from cardmill.sources.tables import validity
-
     return D.people(spark, d).select("id", validity("people").alias("valid"))
 
 
@@ -227,7 +225,7 @@ def field_corrections(spark, d):
 
 @query(
     "edit_interactions",
-    f"SELECT o_custkey AS subject_id, count(*) AS edits FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY o_custkey",
+    "SELECT o_custkey AS subject_id, count(*) AS edits FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY o_custkey",
 )
 def edit_interactions(spark, d):
     log = lifecycle.edit_interactions(D.card_fields(spark, d), edit_log(spark, d))
@@ -486,7 +484,7 @@ def person_subtitles(spark, d):
 
 
 def shaped_graph(spark: SparkSession, d: str) -> G.Graph:
-    """Customers, nations and orders as a graph; only cards after 1998 are left, so parts of it are orphaned."""
+    """Customers, nations and orders as a graph; only the latest cards are left, so parts of it are orphaned."""
     recent = D.order_cards(spark, d).filter(F.col("captured_at") >= "2001-05-01")
     pairs = read_input(spark, d, "customer").select(
         F.col("c_custkey").alias("a_id"), (F.col("c_custkey") + 1).alias("b_id"), F.lit(1.0).alias("score")
@@ -559,7 +557,18 @@ def orgs_of_cards(spark, d):
     return orgs.select("card_id", "org_id", "founded")
 
 
+_GRAPHS: dict[tuple[str, str], G.Graph] = {}
+
+
 def promoted(spark: SparkSession, d: str) -> G.Graph:
+    """The graph of all scanned cards, stored once per session and read by every view of it."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _GRAPHS:
+        _GRAPHS[key] = _promote(spark, d)
+    return _GRAPHS[key]
+
+
+def _promote(spark: SparkSession, d: str) -> G.Graph:
     made = G.promote_all(D.scanned_cards(spark, d), written(D.scanned_fields(spark, d)))
     return G.Graph(**{name: written(df) for name, df in made.tables().items()})
 

@@ -264,22 +264,16 @@ def document_vector_topk(spark, d):
 
 @query(
     "rrf_fusion",
-    f"""WITH {_BM25}, note AS (
-      SELECT query_id, subject_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, subject_id) AS rank FROM
-      (SELECT item_id AS query_id, doc_id AS subject_id, (n_chars % 97)::DOUBLE AS score FROM benchmark JOIN documents ON item_id % 7 = doc_id % 7)
-      QUALIFY rank <= 50)
-    SELECT query_id, subject_id, round(coalesce(1.0 / (60 + l.rank), 0) + coalesce(1.0 / (60 + n.rank), 0), 9) AS fused_score,
-      l.rank AS lexical_rank, n.rank AS vector_rank, l.rank IS NOT NULL AND n.rank IS NOT NULL AS found_by_both,
+    f"""WITH {_BM25}, {_COSINE}
+    SELECT query_id, subject_id, round(coalesce(1.0 / (60 + l.rank), 0) + coalesce(1.0 / (60 + v.rank), 0), 9) AS fused_score,
+      l.rank AS lexical_rank, v.rank AS vector_rank, l.rank IS NOT NULL AND v.rank IS NOT NULL AS found_by_both,
       l.rank IS NULL AS semantic_only
-    FROM lex l FULL JOIN note n USING (query_id, subject_id)""",
+    FROM lex l FULL JOIN vec v USING (query_id, subject_id)""",
 )
 def rrf_fusion(spark, d):
-    """The lexical arm fused with a second ranking by a property of the documents."""
-    docs = read_input(spark, d, "documents")
-    other = query_set(spark, d).join(docs, F.pmod("query_id", F.lit(7)) == F.pmod("doc_id", F.lit(7))).select(
-        "query_id", F.col("doc_id").alias("subject_id"), F.pmod("n_chars", F.lit(97)).cast("double").alias("score")
-    )
-    fused = ranking.rrf(search.lexical_arm(query_set(spark, d), subjects(spark, d)), lexical.top_k(other, 50))
+    asks = query_set(spark, d)
+    asked, stored = document_vectors(spark, d)
+    fused = ranking.rrf(search.lexical_arm(asks, subjects(spark, d)), search.vector_arm(asks, stored, asked))
     return fused.select(
         "query_id", "subject_id", F.round("fused_score", 9).alias("fused_score"), "lexical_rank", "vector_rank", "found_by_both", "semantic_only"
     )
