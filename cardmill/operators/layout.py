@@ -22,6 +22,7 @@ from cardmill.functions.text import (
 from cardmill.functions.web import emails, websites
 from cardmill.operators.fields import keep_first, unassigned_blocks
 from cardmill.operators.ordering import global_position
+from cardmill.session import written
 
 NAME_LENGTH = 80
 TITLE_LENGTH = 60
@@ -301,7 +302,7 @@ def merge_stacked(lines: DataFrame) -> DataFrame:
 
 def extract_names(usable: DataFrame) -> DataFrame:
     """Company and, when something shows a person, the person; ``usable`` carries domain and has_person."""
-    lines = usable.withColumn("looks", looks_like_company(F.col("txt"), F.col("domain")))
+    lines = written(usable.withColumn("looks", looks_like_company(F.col("txt"), F.col("domain"))))
     single = F.struct(
         "txt", "left", "top", "right", "bottom", "conf", "size", F.lit(False).alias("open"),
         F.array(F.col("order_index").cast("int")).alias("indices"),
@@ -390,20 +391,24 @@ def cross_checks(fields: DataFrame) -> DataFrame:
 def extract_card_fields(blocks: DataFrame) -> DataFrame:
     """blocks(card_id, order_index, text, left, top, right, bottom, confidence) -> fields of every card.
 
-    (stage, first block, pos) is the order in which one card's fields were found.
+    (stage, first block, pos) is the order in which one card's fields were found. What several passes
+    read - pattern hits, free lines, name candidates - is stored once instead of computed per pass.
     """
     lines = measured(blocks)
-    patterns = extract_patterns(lines)
+    patterns = written(extract_patterns(lines))
     claimed = patterns.select("card_id", "order_index").distinct()
-    free = lines.join(claimed, ["card_id", "order_index"], "left_anti").withColumn(
-        "is_address", looks_like_address(F.col("text"))
+    free = written(
+        lines.join(claimed, ["card_id", "order_index"], "left_anti").select(
+            "card_id", "order_index", "txt", "left", "top", "right", "bottom", "conf", "size",
+            looks_like_address(F.col("text")).alias("is_address"),
+        )
     )
     sizes = lines.groupBy("card_id").agg(F.max("size").alias("max_size"))
-    designation = extract_designation(free, sizes)
+    designation = written(extract_designation(free, sizes))
     shown = evidence(patterns, designation)
     usable = (
         free.filter(~F.col("is_address") & F.length("txt").between(1, NAME_LENGTH))
-        .select("card_id", "order_index", "txt", "left", "top", "right", "bottom", "conf", "size")
+        .drop("is_address")
         .join(shown, "card_id", "left")
         .filter(~F.coalesce(F.col("order_index") == F.col("title_index"), F.lit(False)))
         .withColumn("has_person", F.coalesce("has_person", F.lit(False)))

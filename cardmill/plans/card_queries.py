@@ -18,7 +18,7 @@ from cardmill.plans import sql as S
 from cardmill.plans.text_queries import SUBJECTS, subjects
 from cardmill.session import checkpoint_root, written
 from cardmill.sources import contact_export
-from cardmill.sources.tables import read_input, validity
+from cardmill.sources.tables import read_input, spread, validity
 from cardmill.streaming import jobs
 
 QUERIES = {}
@@ -311,7 +311,7 @@ def undo_window_purge(spark, d):
 
 
 def eval_results(spark: SparkSession, d: str) -> DataFrame:
-    return read_input(spark, d, "lineitem").select(
+    return spread(read_input(spark, d, "lineitem")).select(
         F.col("l_orderkey").alias("image"),
         F.when(F.col("l_returnflag") == "R", "routed").otherwise(F.col("l_returnflag")).alias("engine"),
         F.floor(F.col("l_extendedprice") / 10).alias("duration_ms"),
