@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cardmill.functions import fixed
@@ -153,8 +153,9 @@ def identity_endpoints(fields: DataFrame) -> DataFrame:
 
 def primary_branch(branches: DataFrame) -> DataFrame:
     """The branch to show per organization: primary first, then the oldest."""
-    order = Window.partitionBy("org_id").orderBy(F.desc("is_primary"), F.asc("id"))
-    return branches.withColumn("rn", F.row_number().over(order)).filter("rn = 1").select("org_id", "address")
+    return branches.groupBy("org_id").agg(
+        F.min_by("address", F.struct(~F.col("is_primary"), F.col("id"))).alias("address")
+    )
 
 
 def join_subject(df: DataFrame, other: DataFrame, how: str = "left") -> DataFrame:

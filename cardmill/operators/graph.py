@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cardmill.functions.text import person_key, trim
 from cardmill.operators.fields import identity_endpoints, keep_first, live, primary_branch
-from cardmill.operators.ordering import position_in_group
+from cardmill.operators.ordering import global_position, position_in_group
 from cardmill.operators.resolve import (
     SHARED_CONTACT_SCORE,
     card_facts,
@@ -18,6 +18,7 @@ from cardmill.operators.resolve import (
     resolve_orgs,
     resolve_people,
 )
+from cardmill.session import cut_lineage, written
 
 
 @dataclass(frozen=True)
@@ -97,7 +98,8 @@ def build_endpoints(links: DataFrame, fields: DataFrame) -> DataFrame:
 def promote_all(cards: DataFrame, fields: DataFrame) -> Graph:
     """Fresh graph of all live cards, promoted in id order. Entity ids are the founding card's id."""
     active = live(cards).select("id", "captured_at", "deleted_at")
-    facts = (
+    # Facts and links feed every table of the graph: stored once.
+    facts = written(
         card_facts(fields)
         .filter(~F.col("is_empty"))
         .join(active.select(F.col("id").alias("card_id")), "card_id", "left_semi")
@@ -110,8 +112,8 @@ def promote_all(cards: DataFrame, fields: DataFrame) -> Graph:
         .join(people.select("card_id", "person_id"), "card_id", "left")
     )
     roles = build_roles(links)
-    links = links.join(
-        roles.select(F.col("id").alias("role_id"), "person_id", "org_id"), ["person_id", "org_id"], "left"
+    links = written(
+        links.join(roles.select(F.col("id").alias("role_id"), "person_id", "org_id"), ["person_id", "org_id"], "left")
     )
     founders = facts.select(F.col("ord").alias("id"), "name", F.coalesce("company", "domain").alias("company"))
     return Graph(
@@ -140,6 +142,88 @@ def _not_proposed_by_name(overlaps: DataFrame, facts: DataFrame) -> DataFrame:
     return joined.filter(~F.coalesce(F.col("a_key") == F.col("b_key"), F.lit(False))).select("a_id", "b_id")
 
 
+def promote_more(graph: Graph, due: DataFrame, fields: DataFrame, settled: DataFrame | None = None) -> Graph:
+    """(Re-)promotes the ``due`` cards (id, captured_at) into a graph, newest capture first.
+
+    Each card's old endpoints go on its turn; merges, links and people without a say in it stay. New
+    entities are numbered after all existing ones, in promotion order.
+    """
+    queue = global_position(due.select(F.col("id").alias("card_id"), "captured_at"), [F.desc("captured_at"), F.asc("card_id")], "ord")
+    base = max(
+        df.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0] for df in (graph.people, graph.organizations, graph.roles, graph.branches)
+    ) + 1
+    queued = queue.select("card_id", "ord").join(
+        graph.cards.select(F.col("id").alias("card_id"), F.col("person_id").alias("linked")), "card_id", "left"
+    )
+    facts = written(card_facts(fields).filter(~F.col("is_empty")).join(queued, "card_id"))
+    standing = graph.contact_points.filter(
+        (F.col("owner_type") == "person") & F.col("normalized_value").isNotNull()
+    ).select(F.col("normalized_value").alias("key"), F.col("owner_id").alias("person_id"), F.col("source_card_id").alias("card_id"))
+    orgs, domains = resolve_orgs(
+        facts.select("card_id", "ord", "company", "domain"),
+        graph.organizations.select(F.col("id").alias("org_id"), "name", "domain"),
+        base,
+    )
+    people, overlaps = resolve_people(
+        facts.select("card_id", "ord", "name", "linked"), endpoint_keys(fields), standing,
+        graph.people.select(F.col("id").alias("person_id"), F.coalesce("merged_into_id", "id").alias("survivor_id")), base,
+    )
+    links = written(
+        facts.join(orgs.select("card_id", "org_id"), "card_id", "left").join(
+            people.select("card_id", "person_id"), "card_id", "left"
+        )
+    )
+    # Existing roles and branches come before any new one of the same identity; ids continue after them.
+    said = links.withColumn("ord", F.col("ord") + base)
+    known_roles = graph.roles.select("person_id", "org_id", F.col("id").alias("ord"), F.col("title").alias("designation"))
+    current = graph.roles.select("id", "is_current")
+    roles = written(
+        build_roles(known_roles.unionByName(said.select("person_id", "org_id", "ord", "designation")))
+        .drop("is_current")
+        .join(current, "id", "left")
+        .withColumn("is_current", F.coalesce("is_current", F.lit(True)))
+    )
+    known_branches = graph.branches.select("org_id", "address", F.col("id").alias("ord"), "is_primary")
+    grown = build_branches(known_branches.drop("is_primary").unionByName(said.select("org_id", "address", "ord")))
+    links = links.join(roles.select(F.col("id").alias("role_id"), "person_id", "org_id"), ["person_id", "org_id"], "left")
+    turn = queue.select(F.col("card_id").alias("source_card_id")).distinct()
+    old_points = graph.contact_points.join(turn, "source_card_id", "left_anti").select(*graph.contact_points.columns)
+    founders = facts.select((F.col("ord") + base).alias("id"), "name", F.coalesce("company", "domain").alias("company"))
+    new_people = founders.join(people.filter("founded").select(F.col("person_id").alias("id")), "id").select(
+        "id", F.col("name").alias("display_name"), F.lit(None).cast("long").alias("merged_into_id")
+    )
+    filled = domains.select(F.col("org_id").alias("id"), F.col("domain").alias("_domain"))
+    old_orgs = graph.organizations.join(filled, "id", "left").withColumn("domain", F.coalesce("domain", "_domain")).drop("_domain")
+    new_orgs = (
+        founders.join(orgs.filter("founded").select(F.col("org_id").alias("id")), "id")
+        .join(filled, "id", "left")
+        .select("id", F.col("company").alias("name"), F.col("_domain").alias("domain"))
+    )
+    moved = queue.select(F.col("card_id").alias("id"), F.lit(True).alias("_due")).join(
+        links.select(F.col("card_id").alias("id"), *[F.col(c).alias(f"_{c}") for c in ("person_id", "org_id", "role_id")]), "id", "left"
+    )
+    cards = graph.cards.join(moved, "id", "left").select(
+        *[
+            F.when(F.col("_due"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in ("person_id", "org_id", "role_id") else F.col(c)
+            for c in graph.cards.columns
+        ]
+    )
+    fresh_pairs = overlaps.join(graph.overlaps.select("a_id", "b_id"), ["a_id", "b_id"], "left_anti")
+    if settled is not None:
+        fresh_pairs = fresh_pairs.join(settled.select("a_id", "b_id"), ["a_id", "b_id"], "left_anti")
+    return drop_orphans(
+        Graph(
+            people=graph.people.select("id", "display_name", "merged_into_id").unionByName(new_people),
+            organizations=old_orgs.select("id", "name", "domain").unionByName(new_orgs),
+            roles=roles.select(*graph.roles.columns),
+            branches=grown.select(*graph.branches.columns),
+            contact_points=old_points.unionByName(build_endpoints(links.withColumn("ord", F.col("ord") + base), fields)),
+            cards=cards,
+            overlaps=graph.overlaps.unionByName(fresh_pairs.withColumn("score", F.lit(SHARED_CONTACT_SCORE))),
+        )
+    )
+
+
 # --- review decisions ----------------------------------------------------------------------------
 
 
@@ -165,8 +249,10 @@ def apply_decisions(people: DataFrame, decisions: DataFrame) -> DataFrame:
         )
         if later.isEmpty():
             break
-        pointers = pointers.join(later, "id", "left").select(
-            "id", F.coalesce("m.next", "to").alias("to"), F.coalesce("m.at", "seq").alias("seq")
+        pointers = cut_lineage(
+            pointers.join(later, "id", "left").select(
+                "id", F.coalesce("m.next", "to").alias("to"), F.coalesce("m.at", "seq").alias("seq")
+            )
         )
     return people.drop("merged_into_id").join(
         pointers.select("id", F.col("to").alias("merged_into_id")), "id", "left"
@@ -183,7 +269,7 @@ def survivor_map(people: DataFrame) -> DataFrame:
         stepped = roots.join(hop, "survivor_id", "left")
         if stepped.filter(F.col("next").isNotNull() & (F.col("next") != F.col("person_id"))).isEmpty():
             return roots
-        roots = stepped.select("person_id", F.coalesce("next", "survivor_id").alias("survivor_id"))
+        roots = cut_lineage(stepped.select("person_id", F.coalesce("next", "survivor_id").alias("survivor_id")))
 
 
 def settled_pairs(decisions: DataFrame) -> DataFrame:
@@ -346,8 +432,62 @@ def _null_keyed(points: DataFrame) -> DataFrame:
     return points.withColumn("role_id", F.coalesce("role_id", F.lit(-1)))
 
 
-def person_details(graph: Graph) -> DataFrame:
-    """One row per listed person: roles with their endpoints, loose endpoints, cards, merged rows."""
+def person_sections(graph: Graph) -> DataFrame:
+    """Every listed person's detail as rows (id, section, sort, value): no list is ever built.
+
+    Roles with title, the distinct endpoints under each role or loose, live cards, merged-in rows.
+    """
+    survivors = graph.people.select(F.col("id").alias("person_id"), F.coalesce("merged_into_id", "id").alias("id"))
+    roles = (
+        graph.roles.withColumnRenamed("id", "sort")
+        .join(survivors, "person_id")
+        .join(graph.organizations.select(F.col("id").alias("org_id"), F.col("name").alias("org")), "org_id")
+        .select("id", F.lit("role").alias("section"), "sort", F.concat_ws(" · ", "title", "org").alias("value"))
+    )
+    mine = _null_keyed(
+        graph.contact_points.filter(F.col("owner_type") == "person").withColumnRenamed("owner_id", "person_id").join(survivors, "person_id")
+    )
+    points = distinct_endpoints(
+        mine.select("id", "role_id", "ord", "field_id", "kind", "value", "normalized_value"), "id", "role_id"
+    ).select("id", F.lit("endpoint").alias("section"), F.col("role_id").alias("sort"), "value")
+    cards = (
+        live(graph.cards).withColumnRenamed("id", "card_id").join(survivors, "person_id")
+        .select("id", F.lit("card").alias("section"), (-F.unix_micros("captured_at")).alias("sort"), F.col("card_id").cast("string").alias("value"))
+    )
+    merged = survivors.filter(F.col("person_id") != F.col("id")).select(
+        "id", F.lit("merged").alias("section"), F.col("person_id").alias("sort"), F.col("person_id").cast("string").alias("value")
+    )
+    return roles.unionByName(points).unionByName(cards).unionByName(merged)
+
+
+def org_sections(graph: Graph) -> DataFrame:
+    """Every organization's detail as rows (id, section, sort, value)."""
+    branches = graph.branches.select(
+        F.col("org_id").alias("id"), F.lit("branch").alias("section"),
+        F.when(F.col("is_primary"), F.lit(0)).otherwise(F.col("id")).cast("long").alias("sort"), F.col("address").alias("value"),
+    )
+    own = graph.contact_points.filter(F.col("owner_type") == "organization").withColumnRenamed("owner_id", "id")
+    points = distinct_endpoints(own.select("id", "ord", "field_id", "kind", "value", "normalized_value"), "id").select(
+        "id", F.lit("endpoint").alias("section"), F.col("ord").alias("sort"), "value"
+    )
+    people = (
+        graph.roles.select(F.col("org_id").alias("id"), "person_id", "title").distinct()
+        .join(graph.people.select(F.col("id").alias("person_id"), "display_name"), "person_id")
+        .select("id", F.lit("person").alias("section"), F.col("person_id").alias("sort"), F.concat_ws(" · ", "display_name", "title").alias("value"))
+    )
+    cards = live(graph.cards).filter(F.col("org_id").isNotNull()).select(
+        F.col("org_id").alias("id"), F.lit("card").alias("section"), (-F.unix_micros("captured_at")).alias("sort"), F.col("id").cast("string").alias("value")
+    )
+    return branches.unionByName(points).unionByName(people).unionByName(cards)
+
+
+def person_details(graph: Graph, ids: DataFrame) -> DataFrame:
+    """Nested detail of the few people a screen asks for: roles with endpoints, loose ones, cards, merged rows."""
+    graph = graph.with_(
+        people=graph.people.join(
+            ids.select(F.col("id").alias("_asked")), F.coalesce("merged_into_id", "id") == F.col("_asked"), "left_semi"
+        )
+    )
     survivors = graph.people.select(
         F.col("id").alias("person_id"), F.coalesce("merged_into_id", "id").alias("survivor_id")
     )
@@ -406,8 +546,17 @@ def person_details(graph: Graph) -> DataFrame:
     )
 
 
-def org_details(graph: Graph) -> DataFrame:
-    """One row per organization: branches, its own endpoints, its people with titles, its cards."""
+def org_details(graph: Graph, ids: DataFrame) -> DataFrame:
+    """Nested detail of the few organizations a screen asks for: branches, endpoints, people, cards."""
+    asked = ids.select("id").distinct()
+    by_org = asked.withColumnRenamed("id", "org_id")
+    graph = graph.with_(
+        organizations=graph.organizations.join(asked, "id", "left_semi"),
+        branches=graph.branches.join(by_org, "org_id", "left_semi"),
+        roles=graph.roles.join(by_org, "org_id", "left_semi"),
+        cards=graph.cards.join(by_org, "org_id", "left_semi"),
+        contact_points=graph.contact_points.join(asked.withColumnRenamed("id", "owner_id"), "owner_id", "left_semi"),
+    )
     branches = graph.branches.groupBy("org_id").agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct((~F.col("is_primary")).alias("k"), "id", "address"))),

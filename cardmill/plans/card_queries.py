@@ -584,16 +584,12 @@ def graph_summary(spark, d):
 
 @query("person_details")
 def person_details(spark, d):
-    made = G.person_details(promoted(spark, d))
-    return made.select(
-        "id", "display_name", F.size("roles").alias("n_roles"), F.size("loose_contacts").alias("n_loose"), F.size("card_ids").alias("n_cards")
-    )
+    return G.person_sections(promoted(spark, d))
 
 
 @query("org_details")
 def org_details(spark, d):
-    made = G.org_details(promoted(spark, d))
-    return made.select("id", "name", "domain", F.size("people").alias("n_people"), F.size("card_ids").alias("n_cards"))
+    return G.org_sections(promoted(spark, d))
 
 
 @query("vcard_export")

@@ -196,11 +196,11 @@ def test_lists_details_export(graph):
     assert [(r.id, r.card_count) for r in listed] == [(11, 2), (5, 1), (4, 1), (3, 1), (1, 2)]
     subtitles = {r.id: r.subtitle for r in G.person_subtitles(graph.people, graph.roles, graph.organizations, graph.contact_points).collect()}
     assert subtitles[1] == "Consultant · Olympus Hospital  +1 more" and subtitles[11] == "p_eal@yahoo.com" and subtitles[5] is None
-    detail = {r.id: r for r in G.person_details(graph).collect()}
+    detail = {r.id: r for r in G.person_details(graph, graph.people).collect()}
     assert [x.org_name for x in detail[1].roles] == ["Olympus Hospital", "Green Specialized Hospital"]
     assert [len(x.contacts) for x in detail[1].roles] == [1, 1] and detail[1].card_ids == [2, 1]
     assert [c.value for c in detail[11].loose_contacts] == ["p_eal@yahoo.com"]
-    org = {r.id: r for r in G.org_details(graph).collect()}
+    org = {r.id: r for r in G.org_details(graph, graph.organizations).collect()}
     assert org[6].addresses == ["Shop 5, Dhaka"] and len(org[6].contacts) == 1 and org[1].people[0].display_name == "Md. Abul Bashar Sarker"
     cards = {r.id: r for r in contact_export.person_cards(graph).collect()}
     assert cards[1].file_name == "Md_Abul_Bashar_Sarker" and cards[1].vcard.count("TEL;") == 1
@@ -209,11 +209,58 @@ def test_lists_details_export(graph):
     assert "URL:techlandbd.com\r\nADR;TYPE=WORK:;;Shop 5\\, Dhaka;;;;\r\n" in org_card
 
 
+def test_detail_rows_say_the_same(graph):
+    rows = [(r.id, r.section, r.value) for r in G.person_sections(graph).collect()]
+    assert (1, "role", "Consultant · Olympus Hospital") in rows and rows.count((1, "endpoint", "01819104376")) == 2
+    assert {r[2] for r in rows if r[:2] == (1, "card")} == {"1", "2"}
+    orgs = [(r.id, r.section, r.value) for r in G.org_sections(graph).collect()]
+    assert (6, "branch", "Shop 5, Dhaka") in orgs and (1, "person", "Md. Abul Bashar Sarker · Consultant") in orgs
+
+
+def edited(spark, fields, card, key, value):
+    """The field table after one correction."""
+    new = contacts.validate_fields(spark.createDataFrame([(card * 1000, card, key, value)], "id long, card_id long, field_key string, value string"))
+    new = new.withColumnRenamed("normalized", "normalized_value").withColumn("source", F.lit("user")).withColumn("value_kind", F.lit("text"))
+    return fields.filter(~((F.col("card_id") == card) & (F.col("field_key") == key))).unionByName(new)
+
+
+def test_repromotion_keeps_merges_and_replaces_numbers(spark):
+    cards, fields = scan(spark, [
+        {"person_name": "Md. Rahman", "company": "Rahman Traders", "phone": "01711363991"},
+        {"person_name": "Rahman", "company": "Rahman Motors", "phone": "017098227"},
+        {"person_name": "Karim", "phone": "01711363991", "company": "Other"},
+    ])
+    keep = lambda g: g.with_(**{n: df.cache() for n, df in g.tables().items()})
+    graph = keep(G.promote_all(cards, fields))
+    log = spark.createDataFrame([(1, "merge", 1, 2)], "seq long, action string, survivor_id long, loser_id long")
+    merged = keep(graph.with_(people=G.apply_decisions(graph.people, log)))
+    due = lambda *ids: cards.filter(F.col("id").isin(*ids))
+    # card 2 has no usable number, so it stays with whoever it was merged into
+    again = keep(G.promote_more(merged, due(2), fields))
+    assert {r.id: r.person_id for r in again.cards.collect()} == {1: 1, 2: 1, 3: 1}
+    assert {r.id: r.merged_into_id for r in again.people.collect()} == {1: None, 2: 1}
+    assert {(r.person_id, r.org_id) for r in again.roles.collect()} == {(1, 1), (2, 2), (1, 2), (1, 3)}
+    # a corrected number replaces the old one
+    fixed = edited(spark, fields, 3, "phone", "01911556677")
+    moved = keep(G.promote_more(graph, due(3), fixed))
+    assert sorted((r.owner_id, r.value, r.source_card_id) for r in moved.contact_points.collect()) == [(1, "01711363991", 1), (1, "01911556677", 3)]
+    # running it again changes nothing; a hand-added endpoint stays
+    typed = moved.contact_points.limit(1).withColumn("source_card_id", F.lit(None).cast("long")).withColumn("value", F.lit("typed")).withColumn("normalized_value", F.lit("t@x.com"))
+    twice = G.promote_more(moved.with_(contact_points=moved.contact_points.unionByName(typed)), due(1, 2, 3), fixed)
+    assert sorted((r.owner_id, r.value) for r in twice.contact_points.collect()) == [(1, "01711363991"), (1, "01911556677"), (1, "typed")]
+    # a new card arrives: a new person, numbered after everything that was there
+    more_cards, more_fields = scan(spark, [{}, {}, {}, {"person_name": "Nila", "company": "Rahman Motors Ltd", "email": "nila@x.com", "address": "Road 1"}])
+    grown = G.promote_more(moved.with_(cards=moved.cards.unionByName(more_cards.filter("id = 4").select("id", "captured_at", "deleted_at", *[F.lit(None).cast("long").alias(c) for c in ("person_id", "org_id", "role_id")]))), more_cards.filter("id = 4"), more_fields)
+    nila = [r for r in grown.people.collect() if r.display_name == "Nila"]
+    assert len(nila) == 1 and nila[0].id > 3 and {r.org_id for r in grown.cards.collect() if r.id == 4} == {2}
+    assert [(r.org_id, r.is_primary) for r in grown.branches.collect()] == [(2, True)]
+
+
 def test_merge_decisions(spark, graph):
     log = lambda rows: spark.createDataFrame(rows, "seq long, action string, survivor_id long, loser_id long")
     merged = graph.with_(people=G.apply_decisions(graph.people, log([(1, "merge", 3, 4)])))
     assert {r.id for r in G.people_list(merged.people, merged.cards).collect()} == {1, 3, 5, 11}
-    detail = {r.id: r for r in G.person_details(merged).collect()}
+    detail = {r.id: r for r in G.person_details(merged, merged.people).collect()}
     assert len(detail[3].roles) == 2 and detail[3].merged_from == [4] and detail[3].card_ids == [4, 3]
     back = G.apply_decisions(graph.people, log([(1, "merge", 3, 4), (2, "unmerge", None, 4)]))
     assert back.filter("merged_into_id is not null").count() == 0
