@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardmill.llm import decontaminate, langid, packing, secrets, tokenfile
+from cardmill.llm import decontaminate, langid, packing, secrets, tokenfile, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived_pages(table(spark, sf_dir, "pages"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.predict(docs, langid.fit(docs))
@@ -57,6 +61,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op7_warc": op7_warc,
     "op8_language": op8_language,
     "op9_token_files": op9_token_files,
     "op4_decontaminate": op4_decontaminate,
@@ -82,4 +87,20 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-ORACLES = {"op4_decontaminate": OP4_SQL}
+#: Base32 digit by digit from the bits of the hex digest.
+OP7_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+h AS (SELECT page_id, octet_length(encode(body)) AS n, sha1(body) AS hex, max(page_id) OVER (PARTITION BY body) AS last FROM p),
+bits AS (SELECT *, array_to_string(list_transform(range(1, 41), lambda i: right('000' || bin(('0x' || hex[i])::INTEGER), 4)), '') AS b FROM h)
+SELECT page_id, n::BIGINT AS payload_bytes,
+ array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 +
+ 16 * b[5 * i + 1]::INTEGER + 8 * b[5 * i + 2]::INTEGER + 4 * b[5 * i + 3]::INTEGER + 2 * b[5 * i + 4]::INTEGER + b[5 * i + 5]::INTEGER, 1)), '') AS payload_digest,
+ CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+ CASE WHEN page_id = last THEN NULL ELSE last END AS refers_to, true AS verified
+FROM bits
+"""
+
+ORACLES = {
+    "op7_warc": OP7_SQL,
+    "op4_decontaminate": OP4_SQL,
+}
