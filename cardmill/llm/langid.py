@@ -213,6 +213,18 @@ def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
 
 
+def with_language(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
+    """The documents, with their columns, whose language is not undetermined; decided where the row is."""
+    shared: Broadcast = docs.sparkSession.sparkContext.broadcast(model)
+
+    def determined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, _ = predict_texts(batch.column(batch.schema.get_field_index("text")).to_pylist(), shared.value)
+            yield batch.filter(pa.array([lang != UNDETERMINED for lang in langs], pa.bool_()))
+
+    return docs.mapInArrow(determined, docs.schema)
+
+
 def held_out(docs: DataFrame, folds: int = 3, fold: int = 1):
     """True for the documents that no model may learn from: crc32 of the id as text, modulo folds."""
     return F.coalesce(F.crc32(docs["doc_id"].cast("string")) % folds == fold, F.lit(False))

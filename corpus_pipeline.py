@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cardmill.llm import decontaminate, secrets
+from cardmill.llm import decontaminate, langid, neardup, packing, secrets
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is undetermined (null, or without a letter) go."""
+    return langid.with_language(docs, langid.fit(docs))
+
+
+def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return neardup.without_near_duplicates(docs)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,9 +28,17 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return secrets.redacted(docs)
 
 
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents that are left, as pieces of training sequences."""
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
 STAGES = [
-    ("decontamination", decontaminate_stage),
+    ("language ID", language_stage),
+    ("MinHash near-dedup", near_duplicates_stage),
+    ("benchmark decontamination", decontaminate_stage),
     ("secret scans", secrets_stage),
+    ("packing", packing_stage),
 ]
 
 ORACLE_SQL = None
