@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardmill.llm import decontaminate, langid, neardup, packing, secrets, tokenfile, toxicity, warc
+from cardmill.llm import decontaminate, langid, licenses, metricjoin, neardup, packing, secrets, tokenfile, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,21 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.license_matches(table(spark, sf_dir, "documents"))
+    names = F.array_sort(F.array_distinct(F.transform("matches", lambda m: F.split_part(m["template"], F.lit("/"), F.lit(1)))))
+    spans = F.transform(
+        "matches",
+        lambda m: F.concat_ws(":", m["template"], m["unit"], m["start"], m["end"], F.round(m["dice"], 6).cast("string")),
+    )
+    return found.select(
+        "doc_id",
+        F.size("matches").cast("long").alias("n_matches"),
+        F.array_join(names, ",").alias("licenses"),
+        F.array_join(spans, ",").alias("matches"),
+    )
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -48,6 +63,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metricjoin.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -76,11 +95,13 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op5_licenses": op5_licenses,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_warc": op7_warc,
     "op8_language": op8_language,
     "op9_token_files": op9_token_files,
     "op2_toxicity": op2_toxicity,
+    "op3_near_vectors": op3_near_vectors,
     "op4_decontaminate": op4_decontaminate,
     "op10_secrets": op10_secrets,
 }
@@ -117,7 +138,17 @@ SELECT page_id, n::BIGINT AS payload_bytes,
 FROM bits
 """
 
+OP3_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN l ON r.b = l.a),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY 1),
+n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY 1)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)
+"""
+
 ORACLES = {
+    "op3_near_vectors": OP3_SQL,
     "op7_warc": OP7_SQL,
     "op4_decontaminate": OP4_SQL,
 }
