@@ -156,9 +156,11 @@ def promote_more(graph: Graph, due: DataFrame, fields: DataFrame, settled: DataF
         graph.cards.select(F.col("id").alias("card_id"), F.col("person_id").alias("linked")), "card_id", "left"
     )
     facts = written(card_facts(fields).filter(~F.col("is_empty")).join(queued, "card_id"))
-    standing = graph.contact_points.filter(
-        (F.col("owner_type") == "person") & F.col("normalized_value").isNotNull()
-    ).select(F.col("normalized_value").alias("key"), F.col("owner_id").alias("person_id"), F.col("source_card_id").alias("card_id"))
+    points = graph.contact_points
+    if "is_active" in points.columns:  # an endpoint that was taken out of use identifies nobody
+        points = points.filter(F.coalesce(F.col("is_active").cast("boolean"), F.lit(True)))
+    standing = points.filter((F.col("owner_type") == "person") & F.col("normalized_value").isNotNull()).select(
+        F.col("normalized_value").alias("key"), F.col("owner_id").alias("person_id"), F.col("source_card_id").alias("card_id"))
     orgs, domains = resolve_orgs(
         facts.select("card_id", "ord", "company", "domain"),
         graph.organizations.select(F.col("id").alias("org_id"), "name", "domain"),
@@ -254,22 +256,34 @@ def apply_decisions(people: DataFrame, decisions: DataFrame) -> DataFrame:
                 "id", F.coalesce("m.next", "to").alias("to"), F.coalesce("m.at", "seq").alias("seq")
             )
         )
-    return people.drop("merged_into_id").join(
-        pointers.select("id", F.col("to").alias("merged_into_id")), "id", "left"
-    )
+    # Opposite merges end in a row that points at itself: it stands for itself again.
+    standing = pointers.filter(F.col("id") != F.col("to")).select("id", F.col("to").alias("merged_into_id"))
+    return people.drop("merged_into_id").join(standing, "id", "left")
 
 
 def survivor_map(people: DataFrame) -> DataFrame:
-    """(person_id, survivor_id): pointers followed to the row that stands for the person."""
-    roots = people.select(F.col("id").alias("person_id"), F.coalesce("merged_into_id", "id").alias("survivor_id"))
-    while True:
-        hop = people.filter(F.col("merged_into_id").isNotNull()).select(
-            F.col("id").alias("survivor_id"), F.col("merged_into_id").alias("next")
+    """(person_id, survivor_id): pointers followed to the row that stands for the person.
+
+    Paths double each round. Pointers that run in a circle have no such row: the smallest id of the circle counts.
+    """
+    to = F.coalesce("merged_into_id", "id")
+    paths = people.select(F.col("id").alias("person_id"), to.alias("survivor_id"), F.least("id", to).alias("low"))
+    pointing = people.filter(F.col("merged_into_id") != F.col("id")).select(F.col("id").alias("survivor_id"))
+    for _ in range(pointing.count().bit_length() + 1):
+        if paths.join(pointing, "survivor_id", "left_semi").isEmpty():
+            return paths.select("person_id", "survivor_id")
+        hop = paths.select(F.col("person_id").alias("survivor_id"), F.col("survivor_id").alias("next"), F.col("low").alias("next_low"))
+        paths = cut_lineage(
+            paths.join(hop, "survivor_id", "left").select(
+                "person_id",
+                F.coalesce("next", "survivor_id").alias("survivor_id"),
+                F.least("low", F.coalesce("next_low", "low")).alias("low"),
+            )
         )
-        stepped = roots.join(hop, "survivor_id", "left")
-        if stepped.filter(F.col("next").isNotNull() & (F.col("next") != F.col("person_id"))).isEmpty():
-            return roots
-        roots = cut_lineage(stepped.select("person_id", F.coalesce("next", "survivor_id").alias("survivor_id")))
+    # What still ends at a pointing row ends in a circle, and that row's path has met the whole of it.
+    ends = paths.join(pointing.withColumnRenamed("survivor_id", "person_id"), "person_id", "left_semi")
+    circles = ends.select(F.col("person_id").alias("survivor_id"), F.col("low").alias("smallest"))
+    return paths.join(circles, "survivor_id", "left").select("person_id", F.coalesce("smallest", "survivor_id").alias("survivor_id"))
 
 
 def settled_pairs(decisions: DataFrame) -> DataFrame:

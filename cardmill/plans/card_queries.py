@@ -671,9 +671,16 @@ def _scratch(spark: SparkSession) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
-def _event_stream(spark: SparkSession, d: str) -> DataFrame:
-    schema = spark.read.parquet(f"{d}/events.parquet").schema
-    return jobs.read_changes(spark, d, schema, "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+def _dealt(spark: SparkSession, table: DataFrame, where: str) -> DataFrame:
+    """The table as a stream of several files in no order of time, two files a batch."""
+    files = max(8, table.sparkSession.sparkContext.defaultParallelism)
+    table.repartition(files, F.xxhash64(*table.columns)).write.parquet(where)
+    return jobs.read_changes(spark, where, files_per_batch=2)
+
+
+def _event_stream(spark: SparkSession, d: str, where: str) -> DataFrame:
+    events = spark.read.parquet(f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    return _dealt(spark, events.select("event_id", "ts", "user_id", "event_type"), f"{where}/in")
 
 
 @query(
@@ -684,24 +691,11 @@ def _event_stream(spark: SparkSession, d: str) -> DataFrame:
 def stream_trust(spark, d):
     """Purchases speak for a user, errors against; the stream's last state per user is the answer."""
     verdict = F.when(F.col("event_type") == "purchase", "useful").when(F.col("event_type") == "error", "not_relevant")
-    events = _event_stream(spark, d).withColumn("verdict", verdict)
     where = _scratch(spark)
-
-    def store(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("version", F.lit(batch_id)).write.mode("overwrite").parquet(f"{where}/rows/batch={batch_id}")
-
-    run = (
-        jobs.trust_stream(events, "user_id")
-        .writeStream.outputMode("update")
-        .foreachBatch(store)
-        .option("checkpointLocation", f"{where}/state")
-        .trigger(availableNow=True)
-        .start()
-    )
-    run.awaitTermination()
-    rows = spark.read.parquet(f"{where}/rows")
-    last = rows.groupBy("user_id").agg(F.max_by(F.struct("useful", "not_relevant", "trust"), "version").alias("s"))
-    return last.select("user_id", "s.useful", "s.not_relevant", F.round("s.trust", 6).alias("trust"))
+    events = _event_stream(spark, d, where).withColumn("verdict", verdict)
+    jobs.feedback_stream(events, "user_id", f"{where}/log", f"{where}/state").awaitTermination()
+    now = jobs.trust_of_log(spark, "user_id", f"{where}/log")
+    return now.select("user_id", "useful", "not_relevant", F.round("trust", 6).alias("trust"))
 
 
 @query(
@@ -709,24 +703,27 @@ def stream_trust(spark, d):
     f"SELECT subject_id, term, count(*) AS tf FROM (SELECT doc_id AS subject_id, unnest({S.index_terms('text')}) AS term FROM documents) GROUP BY ALL",
 )
 def stream_index(spark, d):
-    schema = spark.read.parquet(f"{d}/documents.parquet").schema
-    docs = jobs.read_changes(spark, d, schema, "documents.parquet").select(
-        F.col("doc_id").alias("subject_id"), F.col("text").alias("card_text"), F.lit(0).alias("changed_at")
-    )
+    """Every document comes as an outdated and as a current text, in any order; the current one is what is found."""
     where = _scratch(spark)
-    jobs.index_stream(docs, where, f"{where}/state", ["card_text"]).awaitTermination()
-    return jobs.latest(spark, where).select("subject_id", "term", "tf")
+    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("subject_id"), F.col("text").alias("card_text"))
+    old = docs.select("subject_id", F.concat(F.lit("outdated "), "card_text").alias("card_text"), F.lit(0).alias("changed_at"))
+    both = old.unionByName(docs.withColumn("changed_at", F.lit(1)))
+    jobs.index_stream(_dealt(spark, both, f"{where}/in"), f"{where}/out", f"{where}/state", ["card_text"]).awaitTermination()
+    return jobs.latest(spark, f"{where}/out").select("subject_id", "term", "tf")
 
 
-@query("stream_final_deletes")
+@query(
+    "stream_final_deletes",
+    """WITH e AS (SELECT event_id, user_id, ts, event_type FROM events WHERE event_type IN ('error', 'signup'))
+    SELECT event_id AS delete_id, user_id AS subject FROM e WHERE event_type = 'error'
+      AND ts + INTERVAL 6 HOUR < (SELECT max(ts) FROM e)
+      AND NOT EXISTS (SELECT 1 FROM e r WHERE r.event_type = 'signup' AND r.user_id = e.user_id AND r.ts >= e.ts AND r.ts <= e.ts + INTERVAL 6 HOUR)""",
+)
 def stream_final_deletes(spark, d):
     """Errors as deletes, signups as restores, six hours to undo; deletes still open at the end are held back."""
     where = _scratch(spark)
-    deletes = _event_stream(spark, d).filter("event_type = 'error'")
-    restores = _event_stream(spark, d).filter("event_type = 'signup'")
-    final = jobs.final_delete_stream(deletes, restores, "user_id", seconds=6 * 3600)
-    final.writeStream.format("parquet").option("path", f"{where}/rows").option("checkpointLocation", f"{where}/state").trigger(
-        availableNow=True
-    ).start().awaitTermination()
-    schema = "delete_id long, subject long, deleted_at timestamp"
-    return spark.read.schema(schema).parquet(f"{where}/rows").select("delete_id", "subject")
+    action = F.when(F.col("event_type") == "error", "delete").when(F.col("event_type") == "signup", "restore")
+    events = _event_stream(spark, d, where).withColumn("action", action)
+    jobs.final_delete_stream(events, "user_id", f"{where}/out", f"{where}/state", seconds=6 * 3600).awaitTermination()
+    final = jobs.final_deletes_of(spark, "user_id", f"{where}/out", seconds=6 * 3600)
+    return final.select("delete_id", F.col("user_id").alias("subject"))

@@ -4,108 +4,161 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from cardmill.functions import fixed
 from cardmill.functions.scoring import trust
 from cardmill.operators.lexical import INDEX_COLUMNS, build_postings
+from cardmill.operators.lifecycle import final_deletes
 
 
-def read_changes(spark: SparkSession, path: str, schema, only: str | None = None) -> DataFrame:
-    stream = spark.readStream.schema(schema)
-    if only:
-        stream = stream.option("pathGlobFilter", only)
-    return stream.parquet(path)
+def read_changes(spark: SparkSession, path: str, schema=None, files_per_batch: int | None = None) -> DataFrame:
+    """A Parquet table as a stream, be it a folder of part files or a single file."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder = where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory()
+    stream = spark.readStream.schema(schema if schema is not None else spark.read.parquet(path).schema)
+    if files_per_batch:
+        stream = stream.option("maxFilesPerTrigger", files_per_batch)
+    if folder:
+        return stream.parquet(path)
+    return stream.option("pathGlobFilter", where.getName()).parquet(where.getParent().toString())
 
 
-def refresh_stream(
-    changes: DataFrame, recompute: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str, key: str = "subject_id"
-) -> StreamingQuery:
-    """Every batch recomputes only the subjects that changed and stores them as that batch's version.
+def _run(changes: DataFrame, store: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    writer = changes.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start()
+
+
+def _store_version(rows: DataFrame, subjects: DataFrame, sink: str, batch_id: int) -> None:
+    """One folder per batch: replaying a batch overwrites its own, so the result is the same however often it runs.
 
-    The sink is a log of versions, one folder per batch: replaying a batch overwrites its own folder, so
-    the result is the same however often it runs. ``latest`` reads the newest version of each subject.
+    ``subjects`` has the key and a stamp; of several versions of a subject the one of the latest stamp counts, of equal
+    stamps the later batch.
     """
+    version = F.lit(batch_id).cast("long")
+    rows.withColumn("version", version).write.mode("overwrite").parquet(f"{sink}/rows/batch={batch_id}")
+    subjects.withColumn("version", version).write.mode("overwrite").parquet(f"{sink}/subjects/batch={batch_id}")
 
-    def store(batch: DataFrame, batch_id: int) -> None:
-        touched = batch.select(key).distinct()
-        recompute(touched).withColumn("version", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(
-            f"{sink}/rows/batch={batch_id}"
-        )
-        touched.withColumn("version", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(
-            f"{sink}/subjects/batch={batch_id}"
-        )
 
-    return changes.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(
-        availableNow=True
-    ).start()
+def _newest(spark: SparkSession, sink: str, keys: list[str]) -> DataFrame:
+    subjects = spark.read.parquet(f"{sink}/subjects")
+    return subjects.groupBy(*keys).agg(
+        F.max_by("version", F.struct("stamp", "version")).alias("version"), F.max("stamp").alias("stamp")
+    )
 
 
-def latest(spark: SparkSession, sink: str, key: str = "subject_id") -> DataFrame:
+def latest(spark: SparkSession, sink: str, key: str | list[str] = "subject_id") -> DataFrame:
     """The current rows: those of each subject's newest version. A subject with no rows left has none."""
-    newest = spark.read.parquet(f"{sink}/subjects").groupBy(key).agg(F.max("version").alias("version"))
-    return spark.read.parquet(f"{sink}/rows").drop("batch").join(newest, [key, "version"]).drop("version")
+    keys = [key] if isinstance(key, str) else key
+    newest = _newest(spark, sink, keys).drop("stamp")
+    return spark.read.parquet(f"{sink}/rows").drop("batch").join(newest, [*keys, "version"]).drop("version")
+
+
+def compact(spark: SparkSession, sink: str, into: str, key: str | list[str] = "subject_id") -> None:
+    """Copies the newest versions alone to another sink, where later batches of the same stream may follow."""
+    keys = [key] if isinstance(key, str) else key
+    newest = _newest(spark, sink, keys)
+    rows = spark.read.parquet(f"{sink}/rows").drop("batch").join(newest.drop("stamp"), [*keys, "version"])
+    rows.write.mode("overwrite").parquet(f"{into}/rows/batch=-1")
+    newest.write.mode("overwrite").parquet(f"{into}/subjects/batch=-1")
+
+
+def refresh_stream(
+    changes: DataFrame, recompute: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str, key: str = "subject_id"
+) -> StreamingQuery:
+    """Every batch recomputes only the subjects that changed and stores them as that batch's version."""
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        touched = batch.select(key).distinct()
+        _store_version(recompute(touched), touched.withColumn("stamp", F.lit(batch_id).cast("long")), sink, batch_id)
+
+    return _run(changes, store, checkpoint)
 
 
 def index_stream(docs: DataFrame, sink: str, checkpoint: str, columns=INDEX_COLUMNS) -> StreamingQuery:
-    """New or changed texts are searchable after their batch: postings replace the subject's old ones."""
+    """New or changed texts are searchable after their batch: postings replace the subject's old ones.
+
+    The later change counts, not the later batch: an old change that arrives late stays without effect.
+    """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        # Two texts of one subject in a batch: the one with the later stamp counts.
         newest = batch.groupBy("subject_id").agg(
-            F.max_by(F.struct(*columns), F.struct("changed_at", *columns)).alias("d")
+            F.max_by(F.struct("changed_at", *columns), F.struct("changed_at", *columns)).alias("d")
         ).select("subject_id", "d.*")
-        build_postings(newest, columns).withColumn("version", F.lit(batch_id).cast("long")).write.mode(
-            "overwrite"
-        ).parquet(f"{sink}/rows/batch={batch_id}")
-        newest.select("subject_id", F.lit(batch_id).cast("long").alias("version")).write.mode("overwrite").parquet(
-            f"{sink}/subjects/batch={batch_id}"
-        )
+        stamps = newest.select("subject_id", F.col("changed_at").alias("stamp"))
+        _store_version(build_postings(newest.drop("changed_at"), columns), stamps, sink, batch_id)
+
+    return _run(docs, store, checkpoint)
 
-    return docs.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(
-        availableNow=True
-    ).start()
 
+def feedback_stream(feedback: DataFrame, subject: str, sink: str, checkpoint: str) -> StreamingQuery:
+    """Every verdict (event_id, subject, verdict) goes to a log, however late it comes."""
 
-def trust_stream(feedback: DataFrame, subject: str, lateness: str = "7 days") -> DataFrame:
-    """Running trust per subject from (event_id, ts, subject, verdict); repeated events count once."""
-    once = feedback.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["event_id"])
+    def store(batch: DataFrame, batch_id: int) -> None:
+        batch.select("event_id", subject, "verdict").write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+
+    return _run(feedback, store, checkpoint)
+
+
+def trust_of_log(spark: SparkSession, subject: str, sink: str) -> DataFrame:
+    """Trust per subject from the whole log; repeated events count once whatever lies between them."""
+    once = spark.read.parquet(sink).select("event_id", subject, "verdict").dropDuplicates(["event_id"])
     return (
         once.groupBy(subject)
         .agg(
             F.sum((F.col("verdict") == "useful").cast("long")).alias("useful"),
             F.sum((F.col("verdict") == "not_relevant").cast("long")).alias("not_relevant"),
         )
+        .select(subject, F.coalesce("useful", F.lit(0)).alias("useful"), F.coalesce("not_relevant", F.lit(0)).alias("not_relevant"))
         .withColumn("trust", trust(F.col("useful"), F.col("not_relevant")))
     )
 
 
 def final_delete_stream(
-    deletes: DataFrame, restores: DataFrame, key: str, seconds: int = fixed.UNDO_SECONDS, lateness: str = "1 minute"
-) -> DataFrame:
-    """Deletes whose undo window closed without a restore, once the watermark has passed it.
+    events: DataFrame, key: str, sink: str, checkpoint: str, seconds: int = fixed.UNDO_SECONDS
+) -> StreamingQuery:
+    """Deletes that no restore of the subject undid in time; events are (event_id, ts, key, action delete | restore).
 
-    Left outer interval join with watermarks on both sides. A delete undone several times comes out of
-    the join once per restore, all of them matched, and is dropped; an unmatched one comes out once.
+    Nothing is dropped for being late: events go to a log by day, and every batch settles anew the (subject, window-sized
+    slot) pairs that its events can bear on. ``final_deletes_of`` reads what is final.
     """
-    d = deletes.withWatermark("ts", lateness).select(
-        F.col("event_id").alias("delete_id"), F.col(key).alias("subject"), F.col("ts").alias("deleted_at")
-    )
-    r = restores.withWatermark("ts", lateness).select(
-        F.col(key).alias("restored"), F.col("ts").alias("restored_at")
-    )
-    within = F.expr(
-        f"subject = restored AND restored_at >= deleted_at AND restored_at <= deleted_at + INTERVAL {seconds} SECONDS"
-    )
-    return d.join(r, within, "leftOuter").filter(F.col("restored_at").isNull()).select("delete_id", "subject", "deleted_at")
+    width = seconds * 1_000_000
+    slot = F.floor(F.unix_micros("ts") / width)
+
+    def day(slot_column) -> Column:
+        return F.to_date(F.timestamp_micros((slot_column * width).cast("long")))
+
+    def settle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        kept = batch.filter(F.col("action").isin("delete", "restore")).select("event_id", "ts", key, "action")
+        kept = kept.withColumn("slot", slot).withColumn("day", day(F.col("slot")))
+        kept.write.mode("overwrite").partitionBy("day").parquet(f"{sink}/log/batch={batch_id}")
+        log = spark.read.parquet(f"{sink}/log")
+        own = log.filter(F.col("batch") == batch_id)
+        # A restore bears on the deletes of its own slot and of the one before.
+        bears = own.select(key, F.explode(F.when(F.col("action") == "delete", F.array("slot")).otherwise(F.array("slot", F.col("slot") - 1))).alias("slot"))
+        touched = bears.distinct()
+        near = touched.union(touched.withColumn("slot", F.col("slot") + 1)).distinct().withColumn("day", day(F.col("slot")))
+        around = log.join(near, [key, "slot", "day"]).select("event_id", "ts", key, "action", "slot")
+        deletes = around.filter("action = 'delete'").join(touched, [key, "slot"]).drop("slot")
+        final = final_deletes(deletes, around.filter("action = 'restore'"), key, seconds)
+        rows = final.select(F.col("event_id").alias("delete_id"), key, F.col("ts").alias("deleted_at"), slot.alias("slot"))
+        _store_version(rows, touched.withColumn("stamp", F.lit(batch_id).cast("long")), sink, batch_id)
+
+    return _run(events, settle, checkpoint)
+
+
+def final_deletes_of(spark: SparkSession, key: str, sink: str, seconds: int = fixed.UNDO_SECONDS) -> DataFrame:
+    """(delete_id, key, deleted_at) of the deletes whose window closed before the latest event; the rest is held back."""
+    now = spark.read.parquet(f"{sink}/log").agg(F.max(F.unix_micros("ts")).alias("now")).first()["now"]
+    closed = F.unix_micros("deleted_at") + seconds * 1_000_000 < F.lit(now)
+    return latest(spark, sink, [key, "slot"]).filter(closed).select("delete_id", key, "deleted_at")
 
 
 def promote_stream(
     cards: DataFrame, promote: Callable[[DataFrame, int], None], checkpoint: str
 ) -> StreamingQuery:
     """New cards enter the graph batch by batch; ``promote`` gets the batch and its id and must be idempotent."""
-    return cards.writeStream.foreachBatch(promote).option("checkpointLocation", checkpoint).trigger(
-        availableNow=True
-    ).start()
+    return _run(cards, promote, checkpoint)

@@ -102,24 +102,84 @@ def test_undo_window_edges(spark):
     assert {r.id for r in lifecycle.final_deletes(deletes, restores).collect()} == {1, 3, 4}
 
 
-def test_delete_stream_equals_batch(spark, tmp_path):
+def event_files(spark, path):
+    """One moment after the other dealt over eight files, so that every batch has late events."""
     rows = [(i, "error" if i % 3 else "signup", i % 4, i * 37 % 1000) for i in range(200)]
-    df = spark.createDataFrame(rows, "event_id long, event_type string, user_id long, sec long").select("event_id", "event_type", "user_id", F.timestamp_seconds("sec").alias("ts"))
-    df.write.parquet(str(tmp_path / "in"))
-    stream = lambda kind: jobs.read_changes(spark, str(tmp_path / "in"), df.schema).filter(F.col("event_type") == kind)
-    final = jobs.final_delete_stream(stream("error"), stream("signup"), "user_id", seconds=20, lateness="0 seconds")
-    final.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
-    got = {r.delete_id for r in spark.read.schema("delete_id long, subject long, deleted_at timestamp").parquet(str(tmp_path / "out")).collect()}
-    want = {r.event_id for r in lifecycle.final_deletes(df.filter("event_type = 'error'"), df.filter("event_type = 'signup'"), "user_id", 20).collect()}
-    # The last delete is at 962: what closed before it has come out, what is still open is held back.
-    assert got <= want and {e for e in want if e * 37 % 1000 < 940} <= got
+    df = spark.createDataFrame(rows, "event_id long, event_type string, user_id long, sec long").select(
+        "event_id", "event_type", "user_id", F.timestamp_seconds("sec").alias("ts")
+    )
+    df.repartition(8, F.xxhash64("event_id")).write.parquet(path)
+    return df
+
+
+def test_delete_stream_loses_no_late_event(spark, tmp_path):
+    df = event_files(spark, str(tmp_path / "in"))
+    action = F.when(F.col("event_type") == "error", "delete").otherwise("restore")
+    stream = jobs.read_changes(spark, str(tmp_path / "in"), files_per_batch=1).withColumn("action", action)
+    jobs.final_delete_stream(stream, "user_id", str(tmp_path / "out"), str(tmp_path / "c"), seconds=20).awaitTermination()
+    got = {r.delete_id for r in jobs.final_deletes_of(spark, "user_id", str(tmp_path / "out"), seconds=20).collect()}
+    batch = lifecycle.final_deletes(df.filter("event_type = 'error'"), df.filter("event_type = 'signup'"), "user_id", 20)
+    last = max(r.event_id * 37 % 1000 for r in df.collect())
+    assert got == {r.event_id for r in batch.collect() if r.event_id * 37 % 1000 + 20 < last}
+
+
+def test_trust_counts_late_and_repeated_feedback_once(spark, tmp_path):
+    df = event_files(spark, str(tmp_path / "in"))
+    df.limit(30).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    verdict = F.when(F.col("event_type") == "error", "not_relevant").otherwise("useful")
+    stream = jobs.read_changes(spark, str(tmp_path / "in"), files_per_batch=1).withColumn("verdict", verdict)
+    jobs.feedback_stream(stream, "user_id", str(tmp_path / "log"), str(tmp_path / "c")).awaitTermination()
+    got = {r.user_id: (r.useful, r.not_relevant) for r in jobs.trust_of_log(spark, "user_id", str(tmp_path / "log")).collect()}
+    rows = df.collect()
+    count = lambda u, kind: sum(r.user_id == u and r.event_type == kind for r in rows)
+    assert got == {u: (count(u, "signup"), count(u, "error")) for u in range(4)}
+
+
+def test_changes_are_read_from_file_or_folder(spark, tmp_path):
+    spark.range(5).coalesce(1).write.parquet(str(tmp_path / "folder.parquet"))
+    part = next((tmp_path / "folder.parquet").glob("part-*.parquet"))
+    (tmp_path / "both").mkdir()
+    part.rename(tmp_path / "both" / "one.parquet")
+    spark.range(5, 9).write.parquet(str(tmp_path / "both" / "other.parquet"))
+    for k, name in enumerate(["one.parquet", "other.parquet"]):
+        seen = []
+        jobs.promote_stream(jobs.read_changes(spark, str(tmp_path / "both" / name)), lambda b, _: seen.extend(r.id for r in b.collect()), str(tmp_path / f"c{k}")).awaitTermination()
+        assert sorted(seen) == ([*range(5)], [*range(5, 9)])[k]
+
+
+def test_late_old_change_does_not_replace_newer(spark, tmp_path):
+    schema = "subject_id long, card_text string, changed_at long"
+    for k, row in enumerate([(1, "newest", 9), (1, "older", 3), (2, "only", 1)]):
+        spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = jobs.read_changes(spark, str(tmp_path / "in"))
+        jobs.index_stream(stream, str(tmp_path / "sink"), str(tmp_path / "c"), ["card_text"]).awaitTermination()
+    found = lambda sink: {(r.subject_id, r.term) for r in jobs.latest(spark, sink).collect()}
+    assert found(str(tmp_path / "sink")) == {(1, "newest"), (2, "only")}
+    jobs.compact(spark, str(tmp_path / "sink"), str(tmp_path / "small"))
+    assert found(str(tmp_path / "small")) == {(1, "newest"), (2, "only")}
+    assert spark.read.parquet(str(tmp_path / "small/rows")).count() == 2
+
+
+def test_merges_in_circles_end(spark):
+    from cardmill.operators import graph
+
+    people = spark.createDataFrame([(i,) for i in range(1, 8)], "id long").withColumn("merged_into_id", F.lit(None).cast("long"))
+    log = [(1, "merge", 1, 2), (2, "merge", 2, 1), (3, "merge", 3, 4), (4, "merge", 4, 5), (5, "merge", 5, 3)]
+    merged = graph.apply_decisions(people, spark.createDataFrame(log, "seq long, action string, survivor_id long, loser_id long"))
+    pointers = {r.id: r.merged_into_id for r in merged.collect()}
+    assert pointers[1] == 2 and pointers[2] is None
+    survivors = {r.person_id: r.survivor_id for r in graph.survivor_map(merged).collect()}
+    assert survivors[1] == survivors[2] == 2 and survivors[6] == 6 and len({survivors[k] for k in (3, 4, 5)}) == 1
+    circle = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 3), (5, None), (6, 4)], "id long, merged_into_id long")
+    got = {r.person_id: r.survivor_id for r in graph.survivor_map(circle).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 1}
 
 
 def test_index_stream_replaces_changed_subjects(spark, tmp_path):
     first = spark.createDataFrame([(1, "old words", 1), (2, "keep", 1)], "subject_id long, card_text string, changed_at long")
     first.write.parquet(str(tmp_path / "in"))
     run = lambda: jobs.index_stream(
-        jobs.read_changes(spark, str(tmp_path / "in"), first.schema), str(tmp_path / "sink"), str(tmp_path / "c"), ["card_text"]
+        jobs.read_changes(spark, str(tmp_path / "in")), str(tmp_path / "sink"), str(tmp_path / "c"), ["card_text"]
     ).awaitTermination()
     run()
     spark.createDataFrame([(1, "new", 2), (1, "newest", 3), (2, "", 3)], first.schema).write.mode("append").parquet(str(tmp_path / "in"))
