@@ -187,11 +187,14 @@ def rect_text(left: Column, top: Column, right: Column, bottom: Column) -> Colum
 
 
 def keep_first(items: Column, key: Callable[[Column], Column], element_type: str) -> Column:
-    """First element per key, order kept (``array_distinct`` compares whole elements)."""
-    return F.aggregate(
-        items,
-        F.array().cast(f"array<{element_type}>"),
-        lambda kept, x: F.when(F.exists(kept, lambda k: key(k) == key(x)), kept).otherwise(
-            F.concat(kept, F.array(x))
-        ),
+    """First element per key, order kept (``array_distinct`` compares whole elements); null keys are all kept.
+
+    Sorted by key and place, an element is a first one where its neighbour has another key: n log n steps.
+    """
+    placed = F.transform(items, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), x.alias("x")))
+    firsts = let(
+        F.array_sort(placed),
+        lambda s: F.filter(s, lambda e, j: (j == 0) | e["k"].isNull() | ~F.coalesce(F.get(s, j - 1)["k"] == e["k"], F.lit(False))),
     )
+    back = F.array_sort(F.transform(firsts, lambda e: F.struct(e["i"].alias("i"), e["x"].alias("x"))))
+    return F.transform(back, lambda e: e["x"]).cast(f"array<{element_type}>")

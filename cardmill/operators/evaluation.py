@@ -84,33 +84,33 @@ def weighted_f1(scores: DataFrame, *group: str) -> DataFrame:
     )
 
 
+#: Groups up to this size are ordered whole; the sketch of larger ones is good to 1 / ACCURACY of their rows.
+ORDERED_WHOLE, ACCURACY, MARGIN = 10_000, 10_000, 5e-4
+
+
 def nearest_percentile(df: DataFrame, group: str, col: str, p: float = 0.9) -> DataFrame:
     """Value at sorted index round((n-1)*p), not interpolated, for any number of rows per group.
 
-    Rows are first reduced to value counts. The counts fall into a thousand equal steps of the group's
-    range; the step holding the wanted index is found on the step totals, then only that step is ordered.
+    Rows are first reduced to value counts. A quantile sketch with an error bound gives two values that the wanted one
+    lies between, whatever the distribution; what is below them is only counted, and only what is between is ordered.
     """
-    counts = df.filter(F.col(col).isNotNull()).groupBy(group, col).agg(F.count("*").alias("n"))
-    span = counts.groupBy(group).agg(
-        F.min(col).alias("lo"), F.max(col).alias("hi"), F.sum("n").alias("total")
-    )
-    width = F.col("hi") - F.col("lo")
-    stepped = (
-        counts.join(span, group)
-        .withColumn("step", F.when(width == 0, 0).otherwise(F.floor((F.col(col) - F.col("lo")) * 1000 / width)).cast("int"))
-        .withColumn("wanted", F.floor((F.col("total") - 1) * F.lit(p) + 0.5))
-    )
-    by_step = Window.partitionBy(group).orderBy("step")
-    steps = (
-        stepped.groupBy(group, "step", "wanted")
-        .agg(F.sum("n").alias("n"))
-        .withColumn("until", F.sum("n").over(by_step))
-        .filter((F.col("until") > F.col("wanted")) & (F.col("until") - F.col("n") <= F.col("wanted")))
-        .select(group, "step", (F.col("until") - F.col("n")).alias("before"))
-    )
-    inside = Window.partitionBy(group, "step").orderBy(col)
+    rows = df.filter(F.col(col).isNotNull())
+    counts = rows.groupBy(group, col).agg(F.count("*").alias("n"))
+    near = F.percentile_approx(col, [max(0.0, p - MARGIN), min(1.0, p + MARGIN)], ACCURACY)
+    span = rows.groupBy(group).agg(F.min(col).alias("lo"), F.max(col).alias("hi"), near.alias("near"), F.count("*").alias("total"))
+    small = F.col("total") <= ORDERED_WHOLE
+    bounded = span.select(
+        group,
+        F.when(small, F.col("lo")).otherwise(F.col("near")[0]).alias("lo"),
+        F.when(small, F.col("hi")).otherwise(F.col("near")[1]).alias("hi"),
+        F.floor((F.col("total") - 1) * F.lit(p) + 0.5).alias("wanted"),
+    )
+    placed = counts.join(bounded, group)
+    below = placed.groupBy(group).agg(F.sum(F.when(F.col(col) < F.col("lo"), F.col("n")).otherwise(0)).alias("before"))
+    inside = Window.partitionBy(group).orderBy(col)
     return (
-        stepped.join(steps, [group, "step"])
+        placed.filter(F.col(col).between(F.col("lo"), F.col("hi")))
+        .join(below, group)
         .withColumn("until", F.col("before") + F.sum("n").over(inside))
         .filter((F.col("until") > F.col("wanted")) & (F.col("until") - F.col("n") <= F.col("wanted")))
         .select(group, F.col(col).cast("double").alias("percentile"))

@@ -369,3 +369,22 @@ def test_vector_and_posting_sinks(spark, tmp_path):
     contact_export.write_contact_cards(cards, str(tmp_path / "c"))
     text = "".join(p.read_bytes().decode() for p in (tmp_path / "c").glob("part-*"))
     assert text == "BEGIN:VCARD\r\nEND:VCARD\r\n" * 2
+
+
+def test_percentile_of_skewed_values(spark, monkeypatch):
+    from cardmill.operators import evaluation
+
+    monkeypatch.setattr(evaluation, "ORDERED_WHOLE", 10)
+    values = [i % 977 / 7 for i in range(30_000)] + [1e12]
+    df = spark.createDataFrame([("a", v) for v in values] + [("b", 3.0)], "g string, v double")
+    got = {r.g: r.percentile for r in evaluation.nearest_percentile(df, "g", "v").collect()}
+    assert got == {"a": sorted(values)[int((len(values) - 1) * 0.9 + 0.5)], "b": 3.0}
+
+
+def test_keep_first_keeps_order_and_null_keys(spark):
+    from cardmill.functions.text import keep_first
+
+    items = [("b", 1), ("a", 2), (None, 3), ("b", 4), (None, 5), ("a", 6), ("c", 7)]
+    df = spark.createDataFrame([(items,), ([],), (None,)], "x array<struct<k:string,n:int>>")
+    got = df.select(keep_first(F.col("x"), lambda e: e["k"], "struct<k:string,n:int>").alias("y")).collect()
+    assert [None if r.y is None else [e.n for e in r.y] for r in got] == [[1, 2, 3, 5, 7], [], None]
