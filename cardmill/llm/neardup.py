@@ -339,7 +339,8 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
     n_docs, counts = document_frequencies(usable)
     idf = inverse_frequencies(n_docs, counts)
     signed = store(signatures(usable, idf), "signatures")
-    unit_of = signed.df.groupBy("digest").agg(F.min("doc_id").alias("unit"))
+    # Stored, so that the joins below meet two exchanges and a text with very many copies can be split.
+    unit_of = store(signed.df.groupBy("digest").agg(F.min("doc_id").alias("unit")), "copies").df
     units = store(
         signed.df.join(unit_of, (signed.df["digest"] == unit_of["digest"]) & (signed.df["doc_id"] == unit_of["unit"]))
         .where("weight > 0")
