@@ -12,6 +12,7 @@ from cardmill.operators import evaluation as E
 from cardmill.operators import fields as FL
 from cardmill.operators import graph as G
 from cardmill.operators import layout, lexical, lifecycle
+from cardmill.operators.ordering import global_position
 from cardmill.operators.resolve import card_facts, endpoint_keys, resolve_orgs, resolve_people
 from cardmill.plans import derived as D
 from cardmill.plans import sql as S
@@ -143,10 +144,12 @@ def winning_value(spark, d):
 
 @query(
     "attention_queue",
-    f"SELECT id, extraction_status FROM {D.CARDS} WHERE deleted_at IS NULL AND extraction_status IN ('failed', 'partial')",
+    f"""SELECT id, extraction_status, row_number() OVER (ORDER BY captured_at NULLS FIRST, id) - 1 AS position
+    FROM {D.CARDS} WHERE deleted_at IS NULL AND extraction_status IN ('failed', 'partial')""",
 )
 def attention_queue(spark, d):
-    return FL.attention_queue(D.customer_cards(spark, d)).select("id", "extraction_status")
+    waiting = FL.attention_queue(D.customer_cards(spark, d)).select("id", "extraction_status", "captured_at")
+    return global_position(waiting, [F.asc("captured_at"), F.asc("id")], "position").drop("captured_at")
 
 
 @query("trash", f"SELECT id FROM {D.CARDS} WHERE deleted_at IS NOT NULL")
@@ -441,24 +444,31 @@ def rescan_outcomes(spark, d):
 # --- people and organizations --------------------------------------------------------------------
 
 
+def _listed(made: DataFrame) -> DataFrame:
+    """A list with each row's place in it."""
+    placed = global_position(made, [F.desc_nulls_last("last_seen"), F.desc("id")], "position")
+    return placed.withColumn("last_seen", shown("last_seen"))
+
+
 @query(
     "people_list",
-    f"""SELECT p.id, display_name, count(DISTINCT c.id) AS card_count, strftime(max(captured_at), '%Y-%m-%d %H:%M:%S') AS last_seen
+    f"""SELECT p.id, display_name, count(DISTINCT c.id) AS card_count, strftime(max(captured_at), '%Y-%m-%d %H:%M:%S') AS last_seen,
+      row_number() OVER (ORDER BY max(captured_at) DESC NULLS LAST, p.id DESC) - 1 AS position
     FROM {D.PEOPLE} p LEFT JOIN {D.ORDER_CARDS} c ON c.person_id = p.id AND c.deleted_at IS NULL WHERE merged_into_id IS NULL GROUP BY p.id, display_name""",
 )
 def people_list(spark, d):
-    return G.people_list(D.people(spark, d), D.order_cards(spark, d)).withColumn("last_seen", shown("last_seen"))
+    return _listed(G.people_list(D.people(spark, d), D.order_cards(spark, d)))
 
 
 @query(
     "org_list",
     f"""SELECT n_nationkey AS id, n_name AS name, coalesce((SELECT address FROM {D.BRANCHES} b WHERE b.org_id = n_nationkey ORDER BY is_primary DESC, b.id LIMIT 1), lower(n_name) || '.com') AS subtitle,
-      count(DISTINCT c.id) AS card_count, count(DISTINCT c.person_id) AS people_count, strftime(max(captured_at), '%Y-%m-%d %H:%M:%S') AS last_seen
+      count(DISTINCT c.id) AS card_count, count(DISTINCT c.person_id) AS people_count, strftime(max(captured_at), '%Y-%m-%d %H:%M:%S') AS last_seen,
+      row_number() OVER (ORDER BY max(captured_at) DESC NULLS LAST, n_nationkey DESC) - 1 AS position
     FROM nation LEFT JOIN {D.ORDER_CARDS} c ON c.org_id = n_nationkey AND c.deleted_at IS NULL GROUP BY n_nationkey, n_name""",
 )
 def org_list(spark, d):
-    made = G.org_list(D.organizations(spark, d), D.order_cards(spark, d), D.branches(spark, d))
-    return made.withColumn("last_seen", shown("last_seen"))
+    return _listed(G.org_list(D.organizations(spark, d), D.order_cards(spark, d), D.branches(spark, d)))
 
 
 @query("primary_branch", f"SELECT org_id, address FROM {D.BRANCHES} QUALIFY row_number() OVER (PARTITION BY org_id ORDER BY is_primary DESC, id) = 1")
@@ -527,6 +537,42 @@ def survivors(spark, d):
     return G.survivor_map(D.people(spark, d))
 
 
+#: Orders as rulings on neighbouring customers: some merge, some undo it, most keep two people apart.
+RULINGS = """(SELECT o_orderkey AS seq, CASE o_orderkey % 4 WHEN 0 THEN 'merge' WHEN 1 THEN 'unmerge' ELSE 'separate' END AS action,
+    o_custkey AS survivor_id, o_custkey + o_orderkey % 7 - 3 AS loser_id FROM orders)"""
+
+
+@query(
+    "merge_decisions",
+    f"""WITH RECURSIVE acts AS (SELECT * FROM {RULINGS} WHERE action <> 'separate' AND survivor_id <> loser_id),
+    merges AS (SELECT loser_id, survivor_id, seq, coalesce(lag(seq) OVER (PARTITION BY loser_id ORDER BY seq), -1) AS before FROM acts WHERE action = 'merge'),
+    own AS (SELECT * FROM acts QUALIFY row_number() OVER (PARTITION BY loser_id ORDER BY seq DESC) = 1),
+    walk AS (SELECT loser_id AS id, survivor_id AS t, seq FROM own WHERE action = 'merge'
+      UNION ALL SELECT w.id, m.survivor_id, m.seq FROM walk w JOIN merges m ON m.loser_id = w.t AND m.before <= w.seq AND w.seq < m.seq),
+    ends AS (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1),
+    ptr AS (SELECT id, t FROM ends JOIN customer ON c_custkey = id WHERE id <> t),
+    reach AS (SELECT id AS a, t AS b FROM ptr UNION SELECT r.a, p.t FROM reach r JOIN ptr p ON p.id = r.b),
+    roots AS (SELECT a, b FROM reach WHERE b NOT IN (SELECT id FROM ptr)),
+    circles AS (SELECT r.a, min(r.b) AS b FROM reach r JOIN reach c ON c.a = r.b AND c.b = r.b GROUP BY r.a)
+    SELECT c_custkey AS person_id, ptr.t AS merged_into_id, coalesce(roots.b, circles.b, c_custkey) AS survivor_id
+    FROM customer LEFT JOIN ptr ON ptr.id = c_custkey LEFT JOIN roots ON roots.a = c_custkey LEFT JOIN circles ON circles.a = c_custkey""",
+)
+def merge_decisions(spark, d):
+    """A log of rulings becomes pointers, and pointers lead to the row that stands for a person."""
+    key = F.col("o_orderkey")
+    log = read_input(spark, d, "orders").select(
+        key.alias("seq"),
+        F.when(key % 4 == 0, "merge").when(key % 4 == 1, "unmerge").otherwise("separate").alias("action"),
+        F.col("o_custkey").alias("survivor_id"),
+        (F.col("o_custkey") + key % 7 - 3).alias("loser_id"),
+    )
+    people = read_input(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.lit(None).cast("long").alias("merged_into_id"))
+    merged = written(G.apply_decisions(people, log))
+    return G.survivor_map(merged).join(merged.withColumnRenamed("id", "person_id"), "person_id").select(
+        "person_id", "merged_into_id", "survivor_id"
+    )
+
+
 @query(
     "survivor_policy",
     f"""WITH n AS (SELECT o_custkey AS id, count(*) AS n FROM orders GROUP BY o_custkey)
