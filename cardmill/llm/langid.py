@@ -29,7 +29,7 @@ ORDERS = (1, 2, 3, 4)
 RIDGE = 1e-3
 SYMBOLS = 64
 OTHER, GAP = 0, 1
-BATCH_TEXTS, BATCH_CHARS = 256, 1_000_000
+BATCH_TEXTS, BATCH_CHARS = 128, 500_000
 UNDETERMINED = "und"
 
 LETTER = re.compile(r"[^\W\d_]")
@@ -60,7 +60,7 @@ class Featurizer:
         if grams is not None:
             self.place, n = [], 0
             for order, codes in zip(ORDERS, grams):
-                table = np.full(SYMBOLS**order, -1, np.int32)
+                table = np.full(SYMBOLS**order, -1, np.int16 if sum(map(len, grams)) < 2**15 else np.int32)
                 table[codes] = np.arange(n, n + len(codes))
                 self.place.append(table)
                 n += len(codes)

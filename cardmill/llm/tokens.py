@@ -23,7 +23,7 @@ from tokenizers.pre_tokenizers import ByteLevel  # noqa: E402
 from cardmill.llm.wordhash import _BYTE_VALUES, _powers, doc_chunks, mix64, text_buffers  # noqa: E402
 
 #: Remembered pieces per process, about 200 bytes each; beyond it those met only once since the last time go.
-REMEMBERED = 800_000
+REMEMBERED = 400_000
 CHUNK_BYTES = 2_000_000
 
 SPACE, BLANK, LETTER, DIGIT, MARK, OTHER = range(6)
