@@ -29,6 +29,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 16, 3
 SAMPLES = BANDS * ROWS
 BUCKETS = 1 << 18
+IDF_SPAN = 0.2
 #: Of two texts of similarity 0.8, fewer than 24 of 48 samples agree with probability 1e-6: such pairs are not read.
 LEAST_AGREED = SAMPLES // 2
 #: Members of a band whose cross pairs are listed; members and characters of a block of a larger band.
@@ -76,14 +77,14 @@ def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
 
 
 def inverse_frequencies(n_docs: int, counts: np.ndarray) -> np.ndarray:
-    """Weight of a shingle of each bucket, from 1.5 (rare) to 1 (in every document).
+    """Weight of a shingle of each bucket, from 1 + IDF_SPAN (rare) to 1 (in every document).
 
-    What a bucket has on average by sharing shingles is taken off first. The half span keeps the similarity of copies
-    of a common text near that of copies of a rare one.
+    What a bucket has on average by sharing shingles is taken off first. The small span keeps the similarity of copies
+    of a common text, whose own edits are rare shingles, near the plain one.
     """
     own = np.maximum(1.0, counts - counts.mean())
     share = np.log(np.maximum(1.0, n_docs / own)) / np.log(max(n_docs, 2))
-    return (1 + share / 2).astype(np.float32)
+    return (1 + IDF_SPAN * share).astype(np.float32)
 
 
 @lru_cache(maxsize=1)
