@@ -173,7 +173,16 @@ def _united(spans: list[tuple[int, int]], text: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that no test item occurs in, with their columns; a null text is clean."""
-    found = contamination(docs.select("doc_id", "text"), items).where("n_hit > 0").select("doc_id").distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_anti")
+def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW, limit: int = AUTOMATON_BYTES) -> DataFrame:
+    """The documents that no test item occurs in, with their columns; a null text is clean. Decided where the row is."""
+    shards = _shards(item_windows(items, window), limit)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            hit = np.zeros(len(texts), bool)
+            for shard in shards:
+                hit |= np.fromiter((scan(t, [_automaton(shard)])[1] > 0 for t in texts), bool, len(texts))
+            yield batch.filter(pa.array(~hit))
+
+    return docs.mapInArrow(clean, docs.schema)
