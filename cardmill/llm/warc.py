@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cardmill.llm.scratch import store
 from cardmill.session import checkpoint_root
 
 #: Fixed values of the WARC 1.1 format.
@@ -55,27 +56,43 @@ def _record_id(page_id: Column) -> Column:
     return F.concat(F.lit(f"<{RECORD_ID}"), F.coalesce(page_id.cast("string"), F.lit(UNKNOWN)), F.lit(">"))
 
 
-def records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """page_id, url, payload, sha256, sha1, payload_bytes, record_type, refers_to of each page row.
+#: Stands for a missing page id, so that equal keys are plain keys.
+NO_ID = -(2**63)
+
+
+def digested(pages: DataFrame) -> DataFrame:
+    """page_id, key (the id, or NO_ID), url, payload and its digests of each page row. Null html is an empty payload."""
+    payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
+    page_id = F.col("page_id").cast("long")
+    rows = pages.select(
+        page_id.alias("page_id"),
+        F.coalesce(page_id, F.lit(NO_ID)).alias("key"),
+        F.col("url").cast("string").alias("url"),
+        payload.alias("payload"),
+    )
+    return rows.select("*", F.sha2("payload", 256).alias("sha256"), F.sha1("payload").alias("sha1"))
+
+
+def last_of(rows: DataFrame) -> DataFrame:
+    """The largest key of each payload, stored: joins with it meet two exchanges, so a hot payload's rows can be split."""
+    return store(rows.groupBy("sha256", "sha1").agg(F.max("key").alias("last")), "payload-ids").df
+
+
+def records(rows: DataFrame, last: DataFrame, least_bytes: int = 0) -> DataFrame:
+    """page_id, url, sha256, sha1, payload_bytes, record_type, refers_to of each row; payloads stay behind.
 
     Of rows with equal payloads of at least ``least_bytes`` that with the largest page_id is the response and the others
     revisit it; smaller payloads are all responses. Rows without an id rank lowest; rows that share the largest id are
-    all responses. Null html is an empty payload.
+    all responses.
     """
-    payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
-    rows = pages.select(
-        F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload")
-    ).select("*", F.sha2("payload", 256).alias("sha256"), F.sha1("payload").alias("sha1"))
-    last = rows.groupBy("sha256", "sha1").agg(F.max("page_id").alias("last"))
-    size = F.octet_length("payload")
-    again = (size >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("last"))
-    return rows.join(last, ["sha256", "sha1"]).select(
+    sized = rows.select("page_id", "key", "url", "sha256", "sha1", F.octet_length("payload").cast("long").alias("payload_bytes"))
+    again = (F.col("payload_bytes") >= least_bytes) & (F.col("key") != F.col("last"))
+    return sized.join(last, ["sha256", "sha1"]).select(
         "page_id",
         "url",
-        "payload",
         "sha256",
         "sha1",
-        size.cast("long").alias("payload_bytes"),
+        "payload_bytes",
         F.when(again, "revisit").otherwise("response").alias("record_type"),
         F.when(again, F.col("last")).alias("refers_to"),
     )
@@ -103,13 +120,16 @@ def header_of(row: DataFrame) -> Column:
 def write_archive(pages: DataFrame, archive: Archive, least_bytes: int = 0) -> None:
     """Both tables of an archive. ``pages`` needs page_id, url and html; other columns are ignored whatever their names.
 
-    Payload bytes cross the network once, to the row whose id was found the largest for their digest.
+    Payload bytes cross the network once, dealt by digest and id, so equal payloads of many pages do not meet; only the
+    row whose id is the largest for its payload is stored.
     """
-    made = records(pages, least_bytes)
+    rows = digested(pages)
+    last = last_of(rows)
+    made = records(rows, last, least_bytes)
     made.select("sha256", "sha1", header_of(made).alias("header")).write.parquet(archive.headers)
-    # One row per payload: of the responses, only small payloads and repeated rows come more than once.
-    stored = made.where("record_type = 'response'").select("sha256", "sha1", "payload")
-    stored.dropDuplicates(["sha256", "sha1"]).write.option("compression", "zstd").parquet(archive.payloads)
+    place = ["sha256", "sha1", "key"]
+    stored = rows.select(*place, "payload").join(last.withColumnRenamed("last", "key"), place).dropDuplicates(place)
+    stored.select("sha256", "sha1", "payload").write.option("compression", "zstd").parquet(archive.payloads)
 
 
 def read_records(spark: SparkSession, archive: Archive) -> DataFrame:

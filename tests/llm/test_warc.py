@@ -66,5 +66,6 @@ def test_damage_is_seen(spark, tmp_path):
 
 
 def test_small_payloads_are_all_responses(spark):
-    made = warc.records(frame(spark), least_bytes=4).where("payload_bytes < 4").collect()
+    rows = warc.digested(frame(spark))
+    made = warc.records(rows, warc.last_of(rows), least_bytes=4).where("payload_bytes < 4").collect()
     assert len(made) == 62 and {r["record_type"] for r in made} == {"response"}
