@@ -21,6 +21,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.license_matches(table(spark, sf_dir, "documents"))
+    found = found.select("doc_id", F.concat("matches", "runs").alias("matches"))
     names = F.array_sort(F.array_distinct(F.transform("matches", lambda m: F.split_part(m["template"], F.lit("/"), F.lit(1)))))
     spans = F.transform(
         "matches",

@@ -4,6 +4,10 @@ Texts and templates are normalised alike (A-Z lower-cased, words of letters, dig
 unit of distinct bigrams A can reach the threshold t with a template of bigrams B only if |B| t / (2 - t) <= |A| <=
 |B| (2 - t) / t, and only if it holds one of any |B| - ceil(|B| t / (2 - t)) + 1 bigrams of B. The second bound picks a
 few anchors per template; texts without any anchor, found in one scan by an automaton, are not cut into units.
+
+Besides these units, runs of consecutive words are compared, wherever they begin and end, for the templates with an anchor
+in the text: licenses of several paragraphs inside longer texts, notices inside a line of prose. A best run can be taken
+to begin and end with a bigram of the template that is not found again inside it, since others add nothing.
 """
 
 from __future__ import annotations
@@ -15,11 +19,13 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cardmill.llm.decontaminate import words_of
+from cardmill.llm.wordhash import TRANSLATION
 
 DICE = 0.8
 
@@ -76,20 +82,14 @@ TEMPLATES = {
 
 LINE, PARAGRAPH = re.compile(r"[^\n]+"), re.compile(r"[^\n]*\S[^\n]*(?:\n[^\n]*\S[^\n]*)*")
 
-SCHEMA = "doc_id long, matches array<struct<template:string,unit:string,start:long,end:long,dice:double>>"
-_ARROW = pa.schema(
-    [
-        ("doc_id", pa.int64()),
-        (
-            "matches",
-            pa.list_(
-                pa.struct(
-                    [("template", pa.string()), ("unit", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("dice", pa.float64())]
-                )
-            ),
-        ),
-    ]
+SCHEMA = (
+    "doc_id long, matches array<struct<template:string,unit:string,start:long,end:long,dice:double>>, "
+    "runs array<struct<template:string,unit:string,start:long,end:long,dice:double>>"
+)
+_MATCHES = pa.list_(
+    pa.struct([("template", pa.string()), ("unit", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("dice", pa.float64())])
 )
+_ARROW = pa.schema([("doc_id", pa.int64()), ("matches", _MATCHES), ("runs", _MATCHES)])
 
 
 def bigrams(words: list[bytes]) -> frozenset[tuple[bytes, bytes]]:
@@ -102,12 +102,16 @@ class Templates:
         made = sorted((len(b), name, b) for name, text in texts.items() if (b := bigrams(words_of(text))))
         self.sizes = [n for n, _, _ in made]
         self.made = [(name, b) for _, name, b in made]
+        self.grams = dict(self.made)
         self.anchors = ahocorasick.Automaton()
-        for n, _, grams in made:
+        owners: dict[str, list[int]] = {}
+        for k, (n, _, grams) in enumerate(made):
             least = math.ceil(n * threshold / (2 - threshold) - 1e-9)
             # Long words first: any choice is right, rare bigrams spare more texts.
             for a, b in sorted(grams, key=lambda g: (-len(g[0]) - len(g[1]), g))[: n - least + 1]:
-                self.anchors.add_word(f" {(a + b' ' + b).decode('latin-1')} ", True)
+                owners.setdefault(f" {(a + b' ' + b).decode('latin-1')} ", []).append(k)
+        for anchor, which in owners.items():
+            self.anchors.add_word(anchor, which)
         self.anchors.make_automaton()
 
     def best(self, words: list[bytes]) -> tuple[str, float] | None:
@@ -124,12 +128,88 @@ class Templates:
         score, name = min(scored)
         return name, -score
 
-    def scan(self, text: str | None) -> list[dict]:
-        """Matches by start, then end: lines, paragraphs, the whole text; equal spans count once, as the smaller unit."""
-        text = text or ""
-        joined = b" " + b" ".join(words_of(text)) + b" "
-        if not len(self.anchors) or next(self.anchors.iter(joined.decode("latin-1")), None) is None:
+    def best_runs(self, own: list[tuple[bytes, bytes]], k: int) -> list[tuple[int, float, int, int]]:
+        """(common bigrams, coefficient, first, last bigram) of the best run from each place where one reaches the threshold."""
+        t, grams = self.threshold, self.made[k][1]
+        most = len(grams) * (2 - t) / t + 1e-9
+        least = len(grams) * t / (2 - t) - 1e-9
+        hit = [g in grams for g in own]
+        again = [len(own)] * len(own)  # the next place of the same bigram
+        last: dict[tuple[bytes, bytes], int] = {}
+        for i in range(len(own) - 1, -1, -1):
+            again[i] = last.get(own[i], len(own))
+            last[own[i]] = i
+        held: dict[tuple[bytes, bytes], int] = {}
+        end = common = 0  # bigrams first .. end - 1 are held, as many as the bound on distinct ones allows
+        out = []
+        for first, gram in enumerate(own):
+            while end < len(own) and (own[end] in held or len(held) + 1 <= most):
+                common += hit[end] and own[end] not in held
+                held[own[end]] = held.get(own[end], 0) + 1
+                end += 1
+            if hit[first] and common >= least:
+                seen: set[tuple[bytes, bytes]] = set()
+                both, top = 0, None
+                for i in range(first, min(end, again[first])):
+                    if own[i] not in seen:
+                        seen.add(own[i])
+                        if hit[i]:
+                            both += 1
+                            score = 2 * both / (len(seen) + len(grams))
+                            if score >= t and (top is None or (score, both) > (top[1], top[0])):
+                                top = (both, score, first, i)
+                if top:
+                    out.append(top)
+            if first < end:
+                held[gram] -= 1
+                if not held[gram]:
+                    del held[gram]
+                    common -= hit[first]
+        return out
+
+    def runs(self, text: str, words: list[bytes], which: set[int], units: list[dict]) -> list[dict]:
+        """Runs of words by start that reach the threshold, of overlapping ones that with more of its template in it.
+
+        A run that overlaps a unit with the same template is not listed again.
+        """
+        own = list(zip(words, words[1:]))
+        found = [(-n, -score, self.made[k][0], a, b) for k in which for n, score, a, b in self.best_runs(own, k)]
+        if not found:
             return []
+        raw = text.encode("utf-8", "replace")
+        inside = np.concatenate(([False], np.frombuffer(raw.translate(TRANSLATION), np.uint8) != 32, [False]))
+        points = np.concatenate(([0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)))
+        starts = points[np.flatnonzero(inside[1:-1] & ~inside[:-2])].tolist()
+        ends = points[np.flatnonzero(inside[1:-1] & ~inside[2:]) + 1].tolist()
+        taken: list[tuple[int, int]] = []  # words of the runs chosen so far, apart from each other, in order
+        out = []
+        for _, minus, name, a, b in sorted(found):
+            at = bisect_left(taken, (a, a))
+            if (at and taken[at - 1][1] >= a) or (at < len(taken) and taken[at][0] <= b + 1):
+                continue
+            low, high = taken[at - 1][1] + 1 if at else 0, taken[at][0] - 1 if at < len(taken) else len(own)
+            grams = self.grams[name]
+            while a > low and own[a - 1] in grams:  # bigrams found again inside belong to it as well
+                a -= 1
+            while b + 1 < high and own[b + 1] in grams:
+                b += 1
+            taken.insert(at, (a, b + 1))
+            start, end = starts[a], ends[b + 1]
+            if not any(u["template"] == name and u["start"] < end and start < u["end"] for u in units):
+                out.append({"template": name, "unit": "run", "start": start, "end": end, "dice": -minus})
+        return sorted(out, key=lambda m: m["start"])
+
+    def scan(self, text: str | None) -> tuple[list[dict], list[dict]]:
+        """Matches by start, then end: lines, paragraphs, the whole text; equal spans count once, as the smaller unit.
+
+        Second, the runs of words that match besides.
+        """
+        text = text or ""
+        words = words_of(text)
+        joined = b" " + b" ".join(words) + b" "
+        which = {k for _, ks in self.anchors.iter(joined.decode("latin-1")) for k in ks} if len(self.anchors) else set()
+        if not which:
+            return [], []
         spans: dict[tuple[int, int], str] = {}
         for unit, found in (
             ("line", LINE.finditer(text)), ("paragraph", PARAGRAPH.finditer(text)), ("text", re.finditer(r"(?s).+", text)),
@@ -140,7 +220,7 @@ class Templates:
         for (start, end), unit in sorted(spans.items()):
             if hit := self.best(words_of(text[start:end])):
                 out.append({"template": hit[0], "unit": unit, "start": start, "end": end, "dice": hit[1]})
-        return out
+        return out, self.runs(text, words, which, out)
 
 
 @lru_cache(maxsize=4)
@@ -149,7 +229,7 @@ def _templates(texts: tuple[tuple[str, str], ...], threshold: float) -> Template
 
 
 def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = DICE) -> DataFrame:
-    """One row per document row: doc_id and its matches (template, unit, code point span, coefficient).
+    """One row per document row: doc_id, its matches (template, unit, code point span, coefficient) and matching runs.
 
     Reads doc_id and text alone, whatever other columns are called. Null and empty texts have no match; repeated rows
     give repeated rows, an empty table none; texts are read whole. Templates are a parameter of the code, not data.
@@ -160,6 +240,8 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, th
         known = _templates(texts, threshold)
         for batch in batches:
             found = [known.scan(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(found, _ARROW.field(1).type)], schema=_ARROW)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).cast(pa.int64()), *(pa.array([x[k] for x in found], _MATCHES) for k in (0, 1))], schema=_ARROW
+            )
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)

@@ -1,6 +1,7 @@
 """License scans against every unit compared with every template, without any bound."""
 
 import random
+import re
 
 import pytest
 
@@ -76,3 +77,51 @@ def test_no_templates_or_rows(spark):
     docs = spark.createDataFrame([(1, "Released under the MIT License.")], "doc_id long, text string")
     assert [r["matches"] for r in licenses.license_matches(docs, {}).collect()] == [[]]
     assert licenses.license_matches(docs.limit(0)).count() == 0
+
+
+def paragraphs(text, size=40):
+    words = text.split()
+    return "\n\n".join("\n".join(" ".join(words[j : j + 10]) for j in range(i, min(i + size, len(words)), 10)) for i in range(0, len(words), size))
+
+
+def listed(text, threshold=0.8):
+    units, runs = licenses.Templates(licenses.TEMPLATES, threshold).scan(text)
+    return [(m["template"], text[m["start"] : m["end"]]) for m in units + runs]
+
+
+@pytest.mark.parametrize("name", ["MIT/text", "ISC/text", "Apache-2.0/header", "GPL-3.0/header"])
+def test_licenses_of_several_paragraphs_in_long_documents(name):
+    text = paragraphs(licenses.TEMPLATES[name])
+    other = " ".join(f"größe{k} der Dinge." for k in range(600))
+    found = listed(other + "\n\nint main() {}\n" + text + "\nrest of it " + other)
+    assert [x for x in found if x[0] == name] == [(name, text.rstrip(".>/"))]
+
+
+def test_notices_inside_prose():
+    notice = "Released under the MIT License"
+    assert listed(f"It was made – with care. {notice}. See below for more of it.") == [("MIT/notice", notice)]
+    twice = listed(f"One: {notice}. Two and more words: {notice}! " + "a b " * 5_000 + f"{notice} " * 2_000 + "end of it")
+    assert twice == [("MIT/notice", notice)] * 2_002
+
+
+@pytest.mark.parametrize("threshold", [0.8, 0.6])
+def test_every_run_that_matches_overlaps_one_listed(threshold):
+    rng = random.Random(3)
+    known = {n: licenses.TEMPLATES[n] for n in ("MIT/notice", "CC-BY-4.0/notice", "GPL-2.0/notice", "MPL-2.0/header")}
+    found = licenses.Templates(known, threshold)
+    for _ in range(60):
+        words = " ".join(rng.choice(list(known.values())) + rng.choice([" ", " a b c ", " a the the "]) for _ in range(2)).split()
+        for _ in range(rng.randrange(6)):
+            k = rng.randrange(len(words))
+            words[k : k + 1] = rng.choice([[], ["x"], [words[k], words[k]]])
+        text = " ".join(["plain", *words, "words"])
+        units, runs = found.scan(text)
+        for r in runs:
+            assert r["dice"] == pytest.approx(dice(text[r["start"] : r["end"]], known[r["template"]])) and r["dice"] >= threshold
+        at = [(m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9]+", text)]
+        spans = [(m["start"], m["end"]) for m in units + runs]
+        for i in range(len(at)):
+            for j in range(i + 1, len(at)):
+                a, b = at[i][0], at[j][1]
+                if not any(x < b and a < y for x, y in spans):
+                    assert max(dice(text[a:b], t) for t in known.values()) < threshold
