@@ -1,7 +1,8 @@
 """Language ID with string kernels: n-gram presence, Nystroem landmarks, one-versus-rest kernel ridge regression.
 
-Texts are lower-cased and each letter is one of at most 62 symbols (the commonest letters of the training texts), "any
-other letter" or, for a run of anything else, one separator. The feature set of a text is the set of its n-grams of one
+Texts are lower-cased and each letter of the training texts is a symbol of its own (16 bits, so that four fit 64; letters
+beyond the 65,534 commonest would share one), a letter they do not have is "any other letter" and a run of anything else
+one separator. The feature set of a text is the set of its n-grams of one
 to four symbols that occur in some landmark; the kernel of two texts is the size of the common part over the geometric
 mean of both sizes. Because a prediction is linear in the kernel row, presence vectors are multiplied, some hundred texts
 at a time, with one precomputed matrix of n-grams by languages.
@@ -27,7 +28,7 @@ TRAIN_CHARS = 20_000
 LANDMARKS_PER_LANGUAGE = 60
 ORDERS = (1, 2, 3, 4)
 RIDGE = 1e-3
-SYMBOLS = 64
+SYMBOLS = 1 << 16
 OTHER, GAP = 0, 1
 BATCH_TEXTS, BATCH_CHARS = 128, 500_000
 UNDETERMINED = "und"
@@ -46,11 +47,42 @@ class LanguageModel:
     key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
 
+class _Places:
+    """Columns of n-gram codes: buckets of a hash, sorted, with the first code of each bucket."""
+
+    def __init__(self, codes: np.ndarray, first: int):
+        codes = codes.astype(np.uint64)
+        bits = len(codes).bit_length() + 3
+        self.shift = np.uint64(64 - bits)
+        bucket = self.bucket(codes)
+        order = np.argsort(bucket, kind="stable")
+        self.codes, self.columns, bucket = codes[order], order + first, bucket[order]
+        self.start = np.full(1 << bits, -1, np.int32)
+        self.start[bucket[::-1]] = np.arange(len(codes), dtype=np.int32)[::-1]
+        sizes = np.bincount(bucket, minlength=1 << bits)
+        self.size, self.most = sizes.astype(np.uint8 if sizes.max() < 256 else np.int32), int(sizes.max())
+
+    def bucket(self, codes: np.ndarray) -> np.ndarray:
+        return (codes * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def find(self, codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Columns of the known codes and where those are, in one part per place in a bucket."""
+        bucket = self.bucket(codes)
+        start = self.start[bucket]
+        where = np.flatnonzero(start >= 0)
+        start, bucket = start[where], bucket[where]
+        for k in range(self.most):
+            same = self.codes[start + k] == codes[where]
+            yield self.columns[start[same] + k], where[same]
+            left = ~same & (self.size[bucket] > k + 1)
+            start, bucket, where = start[left], bucket[left], where[left]
+
+
 class Featurizer:
-    """Presence vectors of texts over a fixed alphabet and n-gram set."""
+    """Presence vectors of texts over a fixed alphabet and n-gram set; n-grams are found by hash and compared whole."""
 
     def __init__(self, alphabet: str, grams: list[np.ndarray] | None = None):
-        self.symbol = np.zeros(0x110000, np.uint8)
+        self.symbol = np.zeros(0x110000, np.uint16)
         self.symbol[:] = GAP
         letters = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
         self.symbol[letters] = OTHER
@@ -59,10 +91,8 @@ class Featurizer:
         self.grams = grams
         if grams is not None:
             self.place, n = [], 0
-            for order, codes in zip(ORDERS, grams):
-                table = np.full(SYMBOLS**order, -1, np.int16 if sum(map(len, grams)) < 2**15 else np.int32)
-                table[codes] = np.arange(n, n + len(codes))
-                self.place.append(table)
+            for codes in grams:
+                self.place.append(_Places(codes, n))
                 n += len(codes)
             self.size = n
 
@@ -71,18 +101,18 @@ class Featurizer:
         points = [np.frombuffer(t.lower().encode("utf-32-le", "replace"), np.uint32) for t in texts]
         sizes = np.array([len(p) for p in points])
         docs = np.repeat(np.arange(len(texts)), sizes)
-        symbols = self.symbol[np.concatenate(points)] if len(points) else np.empty(0, np.uint8)
+        symbols = self.symbol[np.concatenate(points)] if len(points) else np.empty(0, np.uint16)
         if len(symbols) == 0:
             return
         keep = np.ones(len(symbols), bool)
         keep[1:] = (symbols[1:] != GAP) | (symbols[:-1] != GAP) | (docs[1:] != docs[:-1])
-        symbols, docs = symbols[keep].astype(np.uint32), docs[keep]
+        symbols, docs = symbols[keep].astype(np.uint64), docs[keep]
         code = symbols
         for order in ORDERS:
             if order > 1:
                 if len(symbols) < order:
                     return
-                code = code[:-1] * SYMBOLS + symbols[order - 1 :]
+                code = code[:-1] * np.uint64(SYMBOLS) + symbols[order - 1 :]
             same = docs[: len(code)] == docs[order - 1 :]
             yield (code, docs[: len(code)]) if order == 1 else (code[same], docs[: len(code)][same])
 
@@ -90,9 +120,8 @@ class Featurizer:
         """Texts x n-grams, 0 or 1."""
         out = np.zeros((len(texts), self.size), np.uint8)
         for (code, docs), place in zip(self.codes(texts), self.place):
-            at = place[code]
-            known = at >= 0
-            out[docs[known], at[known]] = 1
+            for at, known in place.find(code):
+                out[docs[known], at] = 1
         return out.astype(np.float32)
 
 
@@ -132,7 +161,7 @@ def fit_rows(rows: list[tuple[str, str]]) -> LanguageModel | None:
     for _, some in text_batches(landmarks):
         for k, (code, _) in enumerate(plain.codes(some)):
             seen[k].append(np.unique(code))
-    grams = [np.unique(np.concatenate(x)) if x else np.empty(0, np.uint32) for x in seen]
+    grams = [np.unique(np.concatenate(x)) if x else np.empty(0, np.uint64) for x in seen]
     features = Featurizer(alphabet, grams)
     marks = np.concatenate([features.presence(some) for _, some in text_batches(landmarks)])
     values, vectors = np.linalg.eigh(_kernel(marks, marks).astype(np.float64))

@@ -88,3 +88,24 @@ def test_long_text_is_read_whole():
     model = langid.fit_rows([(t, lang) for _, t, lang in corpus(90)])
     text = "1 " * 400_000 + "verschöund einße undein " * 50
     assert langid.predict_texts([text, "x"], model)[0][0] == "bb"
+
+
+def test_languages_of_many_scripts():
+    rng = random.Random(5)
+
+    def letters(low, n):
+        return [c for c in map(chr, range(low, low + 4 * n)) if c.isalpha() and c == c.lower()][:n]
+
+    scripts = {"latin": letters(0x61, 26), "cyrillic": letters(0x430, 40), "greek": letters(0x3B1, 24), "arabic": letters(0x627, 26), "hangul": letters(0xAC00, 300), "han": letters(0x4E00, 600)}
+    kinds = {f"{name}{k}": rng.sample(x, len(x) // 2) for name, x in scripts.items() for k in (1, 2)}
+
+    def text(lang):
+        return " ".join("".join(rng.choices(kinds[lang], k=rng.randrange(2, 6))) for _ in range(20))
+
+    often = ["latin1", "latin2", "cyrillic1", "cyrillic2"]
+    rows = [(text(lang), lang) for lang in kinds for _ in range(60 if lang in often else 30)]
+    model = langid.fit_rows(rows)
+    assert set(model.alphabet) == {c for t, _ in rows for c in t if c != " "}
+    tests = [(text(lang), lang) for lang in kinds for _ in range(20)]
+    langs, _ = langid.predict_texts([t for t, _ in tests], model)
+    assert sum(got == want for got, (_, want) in zip(langs, tests)) >= 0.97 * len(tests)
