@@ -1,4 +1,4 @@
-"""The ten operators as registered queries, each over its whole table, and their SQL where SQL can say it."""
+"""The operators as registered queries, each over its whole table, and their SQL where SQL can say it."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardmill.llm import decontaminate, langid, licenses, metricjoin, neardup, packing, secrets, tokenfile, toxicity, warc
+from cardmill.llm import bpeautomaton, decontaminate, langid, licenses, metricjoin, neardup, packing, secrets, tokenfile, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,6 +94,16 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpeautomaton.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return coded.select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op5_licenses": op5_licenses,
@@ -105,6 +115,7 @@ QUERIES = {
     "op3_near_vectors": op3_near_vectors,
     "op4_decontaminate": op4_decontaminate,
     "op10_secrets": op10_secrets,
+    "op13_bpe": op13_bpe,
 }
 
 _WORDS = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
