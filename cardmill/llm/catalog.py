@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardmill.llm import bpeautomaton, decontaminate, langid, licenses, metricjoin, neardup, packing, secrets, tokenfile, toxicity, warc
+from cardmill.llm import bisectors, bpeautomaton, decontaminate, langid, licenses, metricjoin, neardup, packing, secrets, tokenfile, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,6 +96,21 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, centroids = bisectors.clusters(table(spark, sf_dir, "embeddings"))
+    digest = F.lit(None).cast("string")
+    for c, centroid in enumerate(centroids):
+        text = hashlib.sha256(",".join(map(str, centroid)).encode()).hexdigest()
+        digest = F.when(F.col("cluster") == c, F.lit(text)).otherwise(digest)
+
+    def whole(name: str):  # null beyond 64 bits
+        return F.expr(f"try_cast({name} AS long)").alias(name)
+
+    return found.select(
+        "vec_id", "cluster", whole("distance"), whole("cluster_inertia"), whole("inertia"), digest.alias("centroid_sha256")
+    )
+
+
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpeautomaton.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return coded.select(
@@ -115,6 +132,7 @@ QUERIES = {
     "op3_near_vectors": op3_near_vectors,
     "op4_decontaminate": op4_decontaminate,
     "op10_secrets": op10_secrets,
+    "op11_clusters": op11_clusters,
     "op13_bpe": op13_bpe,
 }
 
@@ -159,7 +177,38 @@ n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY 1)
 SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)
 """
 
+
+
+def _nearest_sql(step: int, vectors: str = "v") -> str:
+    """Cluster and distance of every vector under the centroids of a step."""
+    return f"""a{step} AS MATERIALIZED (SELECT r, vec_id, e, arg_min(k, d * 64 + k) AS cluster, min(d) AS distance FROM (
+ SELECT r, vec_id, v.e AS e, k, list_sum(list_transform(range(1, 65), lambda i: (v.e[i] - c.e[i]) * (v.e[i] - c.e[i])))::HUGEINT AS d
+ FROM {vectors} v, c{step} c) GROUP BY 1, 2, 3)"""
+
+
+def _moved_sql(step: int) -> str:
+    """The centroids after a step: floor of the mean, by component; those without vectors stay."""
+    return f"""c{step + 1} AS MATERIALIZED (SELECT k, coalesce(m.e, c.e) AS e FROM c{step} c LEFT JOIN (
+ SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY i) AS e FROM (
+  SELECT cluster, i, sum(e[i])::HUGEINT AS s, count(*) AS n FROM a{step}, (SELECT unnest(range(1, 65)) AS i) GROUP BY 1, 2)
+ GROUP BY 1) m ON m.cluster = c.k)"""
+
+
+OP11_SQL = f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id,
+  list_transform(embedding::DOUBLE[], lambda x: floor(64 * x)::HUGEINT) AS e FROM embeddings
+ WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h NULLS LAST, e) - 1 AS k, e FROM (
+ SELECT e, sha256('1:' || vec_id) AS h FROM v) ORDER BY h NULLS LAST, e LIMIT 16),
+{_nearest_sql(0)}, {_moved_sql(0)}, {_nearest_sql(1)}, {_moved_sql(1)}, {_nearest_sql(2)}, {_moved_sql(2)}, {_nearest_sql(3)}
+SELECT vec_id, cluster::INTEGER AS cluster, distance::BIGINT AS distance,
+ sum(distance) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia, sum(distance) OVER ()::BIGINT AS inertia,
+ sha256(array_to_string(c3.e, ',')) AS centroid_sha256
+FROM a3 JOIN c3 ON c3.k = a3.cluster
+"""
+
 ORACLES = {
+    "op11_clusters": OP11_SQL,
     "op3_near_vectors": OP3_SQL,
     "op7_warc": OP7_SQL,
     "op4_decontaminate": OP4_SQL,
