@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardmill.llm import bisectors, bpeautomaton, decontaminate, langid, licenses, metricjoin, neardup, packing, secrets, tokenfile, toxicity, warc
+from cardmill.llm import bisectors, bpeautomaton, decontaminate, k2treap, langid, licenses, metricjoin, neardup, packing, secrets, tokenfile, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -111,6 +111,10 @@ def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return k2treap.search(k2treap.build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpeautomaton.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return coded.select(
@@ -133,6 +137,7 @@ QUERIES = {
     "op4_decontaminate": op4_decontaminate,
     "op10_secrets": op10_secrets,
     "op11_clusters": op11_clusters,
+    "op12_ranked_search": op12_ranked_search,
     "op13_bpe": op13_bpe,
 }
 
@@ -207,7 +212,23 @@ SELECT vec_id, cluster::INTEGER AS cluster, distance::BIGINT AS distance,
 FROM a3 JOIN c3 ON c3.k = a3.cluster
 """
 
+OP12_SQL = f"""
+WITH t AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL),
+s AS (SELECT count(*) AS nd, sum(len(w))::BIGINT AS nt FROM t WHERE len(w) > 0),
+q AS MATERIALIZED (SELECT DISTINCT i, item_id, unnest(w) AS term FROM (
+ SELECT row_number() OVER () AS i, item_id, {_WORDS} AS w FROM benchmark)),
+p AS MATERIALIZED (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS term FROM t)
+ WHERE term IN (SELECT term FROM q) GROUP BY 1, 2, 3, 4),
+f AS (SELECT term, floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS weight
+ FROM (SELECT term, count(*) AS df FROM p GROUP BY 1), s),
+h AS (SELECT i, item_id, r, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * nd) // nt)))))::BIGINT AS score
+ FROM q JOIN f USING (term) JOIN p USING (term), s GROUP BY 1, 2, 3, 4),
+k AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM h WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM k WHERE rank <= 50
+"""
+
 ORACLES = {
+    "op12_ranked_search": OP12_SQL,
     "op11_clusters": OP11_SQL,
     "op3_near_vectors": OP3_SQL,
     "op7_warc": OP7_SQL,
