@@ -67,20 +67,47 @@ def fitted(pivots: np.ndarray, dimension: int) -> np.ndarray:
     return np.pad(pivots, ((0, 0), (0, max(0, dimension - pivots.shape[1]))))[:, :dimension]
 
 
-def cells_of(x: np.ndarray, pivots: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
-    """Home cell of each vector and which cells it visits (vectors x pivots, its home among them)."""
-    pivots = fitted(pivots, x.shape[1])
-    squares = (x * x).sum(axis=1)[:, None] + (pivots * pivots).sum(axis=1) - 2 * x @ pivots.T
-    squares = np.maximum(squares, 0)
-    distances = np.sqrt(squares)
-    home = distances.argmin(axis=1)
-    at = np.arange(len(x))
-    own, own_square = distances[at, home][:, None], squares[at, home][:, None]
-    between = np.sqrt(np.maximum(((pivots[:, None, :] - pivots[None, :, :]) ** 2).sum(axis=2), 0))[home]
-    slack = 1e-7
-    visits = (distances <= own + 2 * radius + slack) & (squares - own_square <= 2 * radius * between + slack)
-    visits[at, home] = True
-    return home, visits
+class Cells:
+    """The pivots as vectors of one dimension, their squares, and their distances from each other, computed once."""
+
+    def __init__(self, pivots: np.ndarray, dimension: int, radius: float):
+        self.pivots = fitted(pivots, dimension)
+        self.squares = (self.pivots * self.pivots).sum(axis=1)
+        self.radius = radius
+        apart = self.squares[:, None] + self.squares - 2 * self.pivots @ self.pivots.T
+        self.between = np.sqrt(np.maximum(apart, 0, out=apart), out=apart)
+
+    def _squares_to(self, x: np.ndarray) -> np.ndarray:
+        squares = (x * x).sum(axis=1)[:, None] + self.squares - 2 * x @ self.pivots.T
+        return np.maximum(squares, 0, out=squares)
+
+    def home(self, x: np.ndarray) -> np.ndarray:
+        """The nearest pivot of each vector."""
+        return self._squares_to(x).argmin(axis=1)
+
+    def visits(self, x: np.ndarray, home: np.ndarray) -> np.ndarray:
+        """Which cells a vector must meet (vectors x pivots), its home among them; valid whichever cell is its home."""
+        squares = self._squares_to(x)
+        at = np.arange(len(x))
+        own_square = squares[at, home][:, None]
+        slack = 1e-7
+        visits = squares - own_square <= 2 * self.radius * self.between[home] + slack
+        np.sqrt(squares, out=squares)
+        visits &= squares <= squares[at, home][:, None] + 2 * self.radius + slack
+        visits[at, home] = True
+        return visits
+
+
+def cells_by_dimension(pivots: np.ndarray, radius: float):
+    """The cells of each dimension, made when first asked for."""
+    made: dict[int, Cells] = {}
+
+    def get(dimension: int) -> Cells:
+        if dimension not in made:
+            made[dimension] = Cells(pivots, dimension, radius)
+        return made[dimension]
+
+    return get
 
 
 PLACED = "unit long, code long, copies long, direction binary, dimension int, home int"
@@ -106,13 +133,14 @@ def _pivots(classes: DataFrame) -> np.ndarray:
 
 def _place(classes: DataFrame, pivots: np.ndarray, radius: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = cells_by_dimension(pivots, radius)
         for batch in batches:
             sizes = np.array([len(d) // 8 for d in batch.column(3).to_pylist()], np.int64)
             for rows in by_size(sizes):
                 for low in range(0, len(rows), VISITORS):
                     part = batch.take(pa.array(rows[low : low + VISITORS]))
                     x = matrix_of(part.column(3))
-                    home, _ = cells_of(x, pivots, radius)
+                    home = cells(x.shape[1]).home(x)
                     size = np.full(len(x), x.shape[1], np.int32)
                     yield pa.RecordBatch.from_arrays(
                         [*part.columns, pa.array(size), pa.array(home.astype(np.int32))],
@@ -129,13 +157,15 @@ def _meet(placed: DataFrame, pivots: np.ndarray, radius: float) -> DataFrame:
     parts = {d: np.array([groups.get((d, k), 0) for k in range(len(pivots))]) for d in {d for d, _ in groups}}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = cells_by_dimension(pivots, radius)
         for batch in batches:
             for rows in by_size(batch.column(4).to_numpy()):
                 for low in range(0, len(rows), VISITORS):
                     some = batch.take(pa.array(rows[low : low + VISITORS]))
                     x = matrix_of(some.column(3))
                     size, n = x.shape[1], parts[x.shape[1]]
-                    home, visits = cells_of(x, pivots, radius)
+                    home = some.column(5).to_numpy().astype(np.int64)
+                    visits = cells(size).visits(x, home)
                     own_part = (some.column(1).to_numpy().view(np.uint64) % n[home].astype(np.uint64)).astype(np.int32)
                     row, cell = np.nonzero(visits & (n > 0))
                     times = n[cell]
@@ -170,10 +200,14 @@ class Group:
         self.units.append(units)
         self.codes.append(codes)
 
-    def close(self) -> None:
+    def close(self) -> bool:
+        """Whether the group has homes: vectors are dealt to the groups of a cell by their code, so one may stay empty."""
+        if not self.parts:
+            return False
         self.x, self.unit, self.code = (np.concatenate(p) for p in (self.parts, self.units, self.codes))
         self.n = np.zeros(len(self.x), np.int64)
         self.label = np.arange(len(self.x))
+        return True
 
     def visit(self, x: np.ndarray, units: np.ndarray, copies: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Counts what the homes meet and gives a link of each visitor with a partner other than itself."""
@@ -210,7 +244,7 @@ class Group:
 
 def _join_cells(meetings: DataFrame, cosine: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, key, closed = Group(cosine), None, False
+        group, key, closed, lived_in = Group(cosine), None, False, False
         for batch in batches:
             cell, part, role = (batch.column(k).to_numpy() for k in range(3))
             cuts = np.flatnonzero((np.diff(cell) != 0) | (np.diff(part) != 0) | (np.diff(role) != 0)) + 1
@@ -219,9 +253,9 @@ def _join_cells(meetings: DataFrame, cosine: float) -> DataFrame:
                 if low == high:
                     continue
                 if (cell[low], part[low]) != key:
-                    if key is not None:
+                    if lived_in:
                         yield group.finish()
-                    group, key, closed = Group(cosine), (cell[low], part[low]), False
+                    group, key, closed, lived_in = Group(cosine), (cell[low], part[low]), False, False
                 for at in range(low, high, VISITORS):
                     some = batch.slice(at, min(VISITORS, high - at))
                     x, units = matrix_of(some.column(6)), some.column(3).to_numpy()
@@ -229,12 +263,13 @@ def _join_cells(meetings: DataFrame, cosine: float) -> DataFrame:
                         group.add(x, units, some.column(4).to_numpy())
                         continue
                     if not closed:
-                        group.close()
-                        closed = True
+                        closed, lived_in = True, group.close()
+                    if not lived_in:
+                        continue
                     a, b = group.visit(x, units, some.column(5).to_numpy())
                     cells = [np.ones(len(a), bool), a, b, np.zeros(len(a), np.int64)]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in cells], schema=_FOUND)
-        if key is not None:
+        if lived_in:  # homes visit their own group, so one with homes has been closed
             yield group.finish()
 
     dealt = meetings.repartition("cell", "part").sortWithinPartitions("cell", "part", "role")

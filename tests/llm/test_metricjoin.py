@@ -2,6 +2,8 @@
 
 import math
 import random
+import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -66,7 +68,9 @@ def test_visits_lose_no_partner():
     x = np.concatenate([x, x + rng.standard_normal(x.shape) * 0.1])
     x /= np.linalg.norm(x, axis=1)[:, None]
     radius = math.sqrt(2 - 2 * 0.95)
-    home, visits = metricjoin.cells_of(x, x[:25], radius)
+    cells = metricjoin.Cells(x[:25], 5, radius)
+    home = cells.home(x)
+    visits = cells.visits(x, home)
     near = np.argwhere(x @ x.T >= 0.95)
     assert all(visits[j, home[i]] for i, j in near)
     assert visits.mean() < 0.5
@@ -78,3 +82,31 @@ def test_ids_missing_and_shared(spark):
     got = sorted(map(tuple, metricjoin.near_vectors(df).collect()), key=str)
     assert got == sorted([(None, 0, None, True), (1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True), (4, 1, 1, False)], key=str)
     assert metricjoin.near_vectors(df.limit(0)).count() == 0
+
+
+def test_visited_group_without_homes(spark):
+    a, b = (np.array(v, "<f8").tobytes() for v in ([1.0, 0.0], [0.99, 0.01]))
+    rows = [
+        (7, 0, 0, 1, 1, 1, a), (7, 0, 1, 1, 1, 1, a), (7, 0, 1, 2, 2, 1, b),  # one at home, two visitors
+        (7, 1, 1, 1, 1, 1, a), (7, 1, 1, 2, 2, 1, b),  # visitors alone
+        (8, 0, 1, 2, 2, 1, b),
+    ]
+    meetings = spark.createDataFrame(rows, metricjoin.MEETING)
+    got = sorted(map(tuple, metricjoin._join_cells(meetings, 0.95).collect()))
+    assert got == [(False, 1, 1, 1), (True, 2, 1, 0)]
+
+
+def test_many_pivots_take_little_memory_and_time():
+    rng = np.random.default_rng(2)
+    pivots = rng.standard_normal((1024, 256))
+    pivots /= np.linalg.norm(pivots, axis=1)[:, None]
+    x = pivots[rng.integers(0, 1024, 1024)] + rng.standard_normal((1024, 256)) * 0.02
+    tracemalloc.start()
+    cells = metricjoin.Cells(pivots, 256, 0.3)
+    cells.visits(x, cells.home(x))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
+    start = time.time()
+    cells.visits(x, cells.home(x))
+    assert time.time() - start < 1
