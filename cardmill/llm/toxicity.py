@@ -3,7 +3,8 @@
 A word's input is its own embedding (words of the training sample, else zero) next to the mean embedding of its
 character n-grams with word bounds, hashed. All windows of WINDOW words, one from every word on, are scored; the document's
 score is that of its highest window. Training knows labels of documents only and takes windows at every TRAIN_STRIDE words:
-first every window has its document's label, then the highest windows of each document learn.
+first every window has its document's label, then the highest windows of each document learn; at last the logits are
+shifted so that the threshold lies between the labels of the training documents.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 from cardmill.llm.wordhash import Words, mix64, word_chunks
 
 #: Scored is a window from every word on (STRIDE 1); training samples are cut at every TRAIN_STRIDE words.
-WINDOW, STRIDE, TRAIN_STRIDE = 32, 1, 24
-WORD_SIZE, CHAR_SIZE, HIDDEN = 8, 12, 8
+WINDOW, STRIDE, TRAIN_STRIDE = 16, 1, 8
+WORD_SIZE, CHAR_SIZE, HIDDEN = 8, 12, 6
 INPUT = WORD_SIZE + CHAR_SIZE
 GRAMS, GRAM_BUCKETS = (3, 4, 5), 1 << 15
 #: Bounds of the training sample, the only rows a model is fitted on: documents of each label, characters of a document.
@@ -32,6 +33,8 @@ LEAST_USES = 6
 STEPS_ALL, STEPS_TOP, TOP = 80, 110, 3
 RATE, DECAY, BATCH, LEAST_BATCH = 0.01, 1e-5, 256, 48
 THRESHOLD = 0.3
+#: THRESHOLD is laid halfway between these quantiles of the clean and the toxic training documents, if they are apart.
+CLEAN_QUANTILE, TOXIC_QUANTILE = 0.995, 0.05
 SCORE_WINDOWS, SCORE_RUN = 1024, 2048
 CHUNK_BYTES = 1_000_000
 
@@ -361,7 +364,19 @@ def fit_rows(rows: list[tuple[str, int]], seed: int = 7) -> ToxicityModel | None
     trainer = Trainer(corpus, np.array([y for _, y in rows]), seed)
     trainer.train()
     has = corpus.place > 0
-    return ToxicityModel(trainer.p, corpus.hashes[has], corpus.place[has])
+    model = ToxicityModel(trainer.p, corpus.hashes[has], corpus.place[has])
+    set_operating_point(model, rows)
+    return model
+
+
+def set_operating_point(model: ToxicityModel, rows: list[tuple[str, int]]) -> None:
+    """Shifts all logits alike, so that THRESHOLD lies between the labels of the training documents; order stays."""
+    scores, _ = score_column(pa.array([t for t, _ in rows], pa.large_string()), model)
+    logits = np.log(np.maximum(scores, 1e-9)) - np.log(np.maximum(1 - scores, 1e-9))
+    toxic = np.array([y for _, y in rows]) > 0
+    low, high = np.quantile(logits[~toxic], CLEAN_QUANTILE), np.quantile(logits[toxic], TOXIC_QUANTILE)
+    if low < high:
+        model.p["bias"] += np.float32(np.log(THRESHOLD / (1 - THRESHOLD)) - (low + high) / 2)
 
 
 # --- Spark ------------------------------------------------------------------------------------------------------------

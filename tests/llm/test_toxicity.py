@@ -28,7 +28,7 @@ def corpus(n=700, seed=4):
 
 def test_gradients_match_differences(monkeypatch):
     monkeypatch.setattr(toxicity, "WINDOW", 6)
-    monkeypatch.setattr(toxicity, "STRIDE", 4)
+    monkeypatch.setattr(toxicity, "TRAIN_STRIDE", 4)
     rows = corpus(12)
     sample = toxicity.read_sample([t for _, t, _ in rows])
     trainer = toxicity.Trainer(sample, np.array([y for _, _, y in rows]))
