@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
+from cardmill.llm.held import held
 from cardmill.llm.tokens import _BYTE_LETTER, ragged
 
 #: Runs, and words, remembered per process, about 150 bytes each; beyond it all are forgotten.
@@ -256,21 +257,12 @@ class Coder:
         return self._spelled[ragged(self._starts[path], self._lengths[path])].tobytes().decode("utf-8", "replace")
 
 
-_CODERS: dict[str, Coder] = {}
-
-
 def _coders(df: DataFrame, path: str):
     """Compiled once on the driver and broadcast (a vocabulary's size); one coder per worker process."""
     key = uuid.uuid4().hex
     shared = df.sparkSession.sparkContext.broadcast(from_file(path))
 
-    def get() -> Coder:
-        if key not in _CODERS:
-            _CODERS.clear()
-            _CODERS[key] = Coder(path, shared.value)
-        return _CODERS[key]
-
-    return get
+    return lambda: held(("coder", key), lambda: Coder(path, shared.value))
 
 
 def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

@@ -17,6 +17,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cardmill.llm.held import held
 from cardmill.llm.wordhash import TRANSLATION
 
 WINDOW = 10
@@ -80,20 +81,18 @@ def _shards(windows: DataFrame, limit: int) -> list[tuple[str, Broadcast]]:
     return out
 
 
-_BUILT: dict[str, ahocorasick.Automaton] = {}
-
-
 def _automaton(shard: tuple[str, Broadcast]) -> ahocorasick.Automaton:
     """Built once per worker process; only the latest is kept."""
     key, windows = shard
-    if key not in _BUILT:
-        _BUILT.clear()
+
+    def build() -> ahocorasick.Automaton:
         automaton = ahocorasick.Automaton()
         for win, items in windows.value:
             automaton.add_word(f" {win.decode('latin-1')} ", (win.count(b" ") + 1, items))
         automaton.make_automaton()
-        _BUILT[key] = automaton
-    return _BUILT[key]
+        return automaton
+
+    return held(("windows", key), build)
 
 
 def scan(text: str | None, automata: list[ahocorasick.Automaton]) -> tuple[int, int, list[str], list[dict]]:

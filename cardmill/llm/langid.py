@@ -22,6 +22,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cardmill.llm.held import held
+
 #: Bounds of the training sample, the only rows a model is fitted on: rows of each language, letters of a row.
 TRAIN_PER_LANGUAGE = 400
 TRAIN_CHARS = 20_000
@@ -202,17 +204,11 @@ def training_rows(docs: DataFrame) -> list[tuple[str, str]]:
     return out
 
 
-_FEATURES: dict[str, Featurizer] = {}
-
-
 def predict_texts(texts: list[str | None], model: LanguageModel | None) -> tuple[list[str], list[float]]:
     """Language and score of each text. No letter: und, 0. No known n-gram: the commonest language, 0."""
     if model is None:
         return [UNDETERMINED] * len(texts), [0.0] * len(texts)
-    if model.key not in _FEATURES:
-        _FEATURES.clear()
-        _FEATURES[model.key] = Featurizer(model.alphabet, model.grams)
-    features = _FEATURES[model.key]
+    features = held(("features", model.key), lambda: Featurizer(model.alphabet, model.grams))
     langs, scores = [], []
     for _, some in text_batches([t or "" for t in texts]):
         present = features.presence(some)

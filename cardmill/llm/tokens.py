@@ -20,11 +20,12 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task pe
 from tokenizers import Tokenizer  # noqa: E402
 from tokenizers.pre_tokenizers import ByteLevel  # noqa: E402
 
+from cardmill.llm.held import held  # noqa: E402
 from cardmill.llm.wordhash import _BYTE_VALUES, _powers, doc_chunks, mix64, text_buffers  # noqa: E402
 
 #: Remembered pieces per process, about 200 bytes each; beyond it those met only once since the last time go.
-REMEMBERED = 400_000
-CHUNK_BYTES = 2_000_000
+REMEMBERED = 250_000
+CHUNK_BYTES = 500_000
 
 SPACE, BLANK, LETTER, DIGIT, MARK, OTHER = range(6)
 
@@ -196,11 +197,6 @@ class Encoder:
         return ids, np.bincount(docs, weights=lengths, minlength=n_texts).astype(np.int64), odd
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    """One encoder per tokenizer file and process."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    """The encoder of a tokenizer file, one per process."""
+    return held(("encoder", path), lambda: Encoder(path))

@@ -80,11 +80,12 @@ def test_every_window_is_scored():
     learnt, others = rows[:80], rows[80:]
     model = toxicity.fit_rows([(t, y) for _, t, y in learnt])
     words = " ".join(t for _, t, _ in others).replace(".", "").split()
-    texts = [" ".join(words[:k]) for k in (1, 31, 32, 33)] + [" ".join(words[k : k + 90]) for k in range(0, 1800, 90)]
+    size = toxicity.WINDOW
+    texts = [" ".join(words[:k]) for k in (1, size - 1, size, size + 1)] + [" ".join(words[k : k + 90]) for k in range(0, 1800, 90)]
     scores, counts = toxicity.score_column(pa.array(texts), model)
     for text, score, count in zip(texts, scores, counts):
         own = text.split()
-        each = [" ".join(own[k : k + 32]) for k in range(max(1, len(own) - 31))]
+        each = [" ".join(own[k : k + size]) for k in range(max(1, len(own) - size + 1))]
         assert count == len(each)
         assert score == pytest.approx(toxicity.score_column(pa.array(each), model)[0].max(), abs=1e-5)
 
