@@ -30,7 +30,7 @@ from cardmill.llm.wordhash import BYTE_TABLE, SPACE, doc_chunks, text_buffers
 
 TOP = 50
 #: Text bytes of a block; a longer document is a block of its own.
-BLOCK_BYTES = 6_000_000
+BLOCK_BYTES = 3_000_000
 #: Text bytes of the items that are broadcast at a time; a longer item goes alone.
 QUERY_BYTES = 4_000_000
 #: Nodes opened at a time.
@@ -205,12 +205,12 @@ class Treap:
     def __init__(self, doc_ids: list[int | None], height: int, masks: bytes, best: bytes):
         self.doc_ids = doc_ids
         self.height = height
-        self.best = np.concatenate(([0], np.frombuffer(best, "<i4")))
+        self.best = np.concatenate((np.zeros(1, np.int32), np.frombuffer(best, "<i4")))
         inner = np.frombuffer(masks, np.uint8)
         self.mask = np.zeros(len(self.best), np.uint8)
         self.mask[1 : 1 + len(inner)] = inner
         quarters = _QUARTERS[self.mask]
-        self.first = np.cumsum(quarters) - quarters + 2
+        self.first = (np.cumsum(quarters) - quarters + 2).astype(np.int32)
 
     def _open(self, cells: np.ndarray, row_bits: np.ndarray, right: int) -> np.ndarray:
         quarter = 2 * row_bits + right
@@ -323,22 +323,24 @@ def weight(df: int, n_docs: int) -> int:
 def _search_blocks(index: Index, items: list[tuple[int, list[bytes]]], k: int) -> DataFrame:
     """(q, doc_id, score): the best k of each task for each item of one batch."""
     df = _document_frequencies(index, sorted({t for _, terms in items for t in terms}))
-    weights = {t: w for t, n in df.items() if (w := weight(n, index.n_docs)) > 0}
-    asked = [(q, [(t, weights[t]) for t in terms if t in weights]) for q, terms in items]
-    shared = index.blocks.df.sparkSession.sparkContext.broadcast(asked)
+    heavy = {t: w for t, n in df.items() if (w := weight(n, index.n_docs)) > 0}
+    number = {t: i for i, t in enumerate(heavy)}
+    asked = [(q, np.array([number[t] for t in terms if t in number], np.int64)) for q, terms in items]
+    shared = index.blocks.df.sparkSession.sparkContext.broadcast((list(heavy), np.array(list(heavy.values()), np.int64), asked))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, Best] = {}
+        known, weights, asked = shared.value
         for batch in batches:
             for block in range(batch.num_rows):
                 ids, words, height, masks, maxima = (c[block].as_py() for c in batch.columns)
-                row_of = {t: r for r, t in enumerate(words.split(b" "))}
+                place = pc.index_in(pa.array(known, pa.binary()), value_set=pa.array(words.split(b" "), pa.binary()))
+                row_of = pc.fill_null(place, -1).to_numpy()
                 treap = Treap(ids, height, masks, maxima)
-                for q, terms in shared.value:
-                    paths = [(row_of[t], w) for t, w in terms if t in row_of]
-                    if paths:
-                        rows, w = np.array(paths, np.int64).T
-                        treap.search(rows, w, best.setdefault(q, Best(k)))
+                for q, terms in asked:
+                    rows = row_of[terms]
+                    if (here := rows >= 0).any():
+                        treap.search(rows[here].astype(np.int64), weights[terms[here]], best.setdefault(q, Best(k)))
         out = [(q, None if void else i, -s) for q, b in best.items() for s, void, i in sorted(b.rows)[:k]]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)] if out else [[]] * 3, schema=_ARROW_FOUND)
 
