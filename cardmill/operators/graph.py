@@ -638,4 +638,7 @@ def endpoint_overlap(facts_keys: DataFrame, points: DataFrame) -> DataFrame:
 
 
 def numbered_branches(branches: DataFrame) -> DataFrame:
-    return position_in_group(branches, ["org_id"], "id", "branch_no")
+    """Branches numbered within their organization; one of no organization has no number."""
+    owned = position_in_group(branches.filter(F.col("org_id").isNotNull()), ["org_id"], "id", "branch_no")
+    rest = branches.filter(F.col("org_id").isNull()).withColumn("branch_no", F.lit(None).cast(owned.schema["branch_no"].dataType))
+    return owned.unionByName(rest)

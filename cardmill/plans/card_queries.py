@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,10 +15,9 @@ from cardmill.operators.resolve import card_facts, endpoint_keys, resolve_orgs,
 from cardmill.plans import derived as D
 from cardmill.plans import sql as S
 from cardmill.plans.text_queries import SUBJECTS, subjects
-from cardmill.session import checkpoint_root, written
+from cardmill.session import written
 from cardmill.sources import contact_export
 from cardmill.sources.tables import read_input, spread, validity
-from cardmill.streaming import jobs
 
 QUERIES = {}
 ORACLES = {}
@@ -96,11 +93,13 @@ def provenance_labels(spark, d):
 
 @query(
     "useful_cards",
-    f"""SELECT card_id, bool_or(field_key = 'phone') OR bool_or(field_key = 'email') OR (bool_or(field_key = 'person_name') AND bool_or(field_key = 'company')) AS is_useful
-    FROM {D.FIELDS} WHERE (source = 'user' OR field_key = 'company') GROUP BY card_id""",
+    f"""SELECT card_id, coalesce(bool_or(k = 'phone') OR bool_or(k = 'email') OR (bool_or(k = 'person_name') AND bool_or(k = 'company')), FALSE) AS is_useful
+    FROM (SELECT card_id, CASE WHEN source = 'user' OR field_key = 'company' THEN field_key ELSE 'unknown' END AS k FROM {D.FIELDS}) GROUP BY card_id""",
 )
 def useful_cards(spark, d):
-    return FL.is_useful(D.card_fields(spark, d).filter("source = 'user' or field_key = 'company'"))
+    """Of fields nobody typed all but the company are of an unknown kind."""
+    known = F.when((F.col("source") == "user") | (F.col("field_key") == "company"), F.col("field_key")).otherwise("unknown")
+    return FL.is_useful(D.card_fields(spark, d).withColumn("field_key", known))
 
 
 @query(
@@ -268,11 +267,12 @@ def purge(spark, d):
     "extraction_status",
     f"""SELECT c.id AS card_id, CASE WHEN coalesce(lines, 0) = 0 THEN CASE WHEN typed THEN 'manual' WHEN lines IS NULL THEN 'pending' ELSE 'failed' END
       WHEN useful THEN 'complete' ELSE 'partial' END AS extraction_status
-    FROM {D.CARDS} c LEFT JOIN (SELECT card_id, bool_or(source = 'user') AS typed, bool_or(field_key IN ('phone', 'email')) AS useful FROM {D.FIELDS} WHERE source <> 'printed' GROUP BY card_id) f ON f.card_id = c.id
+    FROM {D.CARDS} c LEFT JOIN (SELECT card_id, bool_or(source = 'user') AS typed, bool_or(source <> 'printed' AND field_key IN ('phone', 'email')) OR (bool_or(source <> 'printed' AND field_key = 'person_name') AND bool_or(source <> 'printed' AND field_key = 'company')) AS useful FROM {D.FIELDS} GROUP BY card_id) f ON f.card_id = c.id
     LEFT JOIN (SELECT doc_id, count(*) FILTER ({S.trim('line')} <> '') AS lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY doc_id) b ON b.doc_id = c.id""",
 )
 def extraction_status(spark, d):
-    f = D.card_fields(spark, d).filter("source <> 'printed'")
+    known = F.when(F.col("source") != "printed", F.col("field_key")).otherwise("unknown")
+    f = D.card_fields(spark, d).withColumn("field_key", known)
     return lifecycle.extraction_status(D.customer_cards(spark, d), f, D.line_blocks(spark, d))
 
 
@@ -476,7 +476,7 @@ def primary_branch(spark, d):
     return FL.primary_branch(D.branches(spark, d))
 
 
-@query("branch_numbers", f"SELECT id, row_number() OVER (PARTITION BY org_id ORDER BY id) AS branch_no FROM {D.BRANCHES}")
+@query("branch_numbers", f"SELECT id, CASE WHEN org_id IS NOT NULL THEN row_number() OVER (PARTITION BY org_id ORDER BY id) END AS branch_no FROM {D.BRANCHES}")
 def branch_numbers(spark, d):
     return G.numbered_branches(D.branches(spark, d)).select("id", F.col("branch_no").cast("long").alias("branch_no"))
 
@@ -494,19 +494,22 @@ def person_subtitles(spark, d):
 
 
 def shaped_graph(spark: SparkSession, d: str) -> G.Graph:
-    """Customers, nations and orders as a graph; only the latest cards are left, so parts of it are orphaned."""
-    recent = D.order_cards(spark, d).filter(F.col("captured_at") >= "2001-05-01")
+    """Customers, nations and orders as a graph; only the latest cards have links, so parts of it are orphaned."""
+    linked = F.col("captured_at") >= "2001-05-01"
+    recent = D.order_cards(spark, d).withColumns({c: F.when(linked, F.col(c)) for c in ("person_id", "org_id", "role_id")})
     pairs = read_input(spark, d, "customer").select(
         F.col("c_custkey").alias("a_id"), (F.col("c_custkey") + 1).alias("b_id"), F.lit(1.0).alias("score")
     )
-    points = D.contact_points(spark, d).filter(F.col("source") == "aiInferred")
+    guessed = F.col("source") == "aiInferred"
+    points = D.contact_points(spark, d).withColumns({c: F.when(guessed, F.col(c)) for c in ("owner_id", "role_id")})
     return G.Graph(
         D.people(spark, d), D.organizations(spark, d), D.roles(spark, d), D.branches(spark, d), points, recent, pairs
     )
 
 
-_RECENT = f"(SELECT * FROM {D.ORDER_CARDS} WHERE captured_at >= TIMESTAMP '2001-05-01')"
-_PTS = f"(SELECT * FROM {D.POINTS} WHERE source = 'aiInferred')"
+_RECENT = f"""(SELECT id, CASE WHEN l THEN person_id END AS person_id, CASE WHEN l THEN org_id END AS org_id, CASE WHEN l THEN role_id END AS role_id
+  FROM (SELECT *, captured_at >= TIMESTAMP '2001-05-01' AS l FROM {D.ORDER_CARDS}))"""
+_PTS = f"(SELECT CASE WHEN source = 'aiInferred' THEN owner_id END AS owner_id, CASE WHEN source = 'aiInferred' THEN role_id END AS role_id FROM {D.POINTS})"
 _KEPT = f"""(SELECT id FROM {D.PEOPLE} WHERE merged_into_id IS NOT NULL OR id IN (SELECT person_id FROM {_RECENT}) OR id IN (SELECT owner_id FROM {_PTS})
   OR id IN (SELECT merged_into_id FROM {D.PEOPLE} WHERE merged_into_id IS NOT NULL))"""
 
@@ -708,68 +711,3 @@ def reading_order(spark, d):
     return layout.reading_order(boxes(spark, d, "O").unionByName(boxes(spark, d, "F"))).select(
         "card_id", "text", F.col("order_index").cast("long").alias("order_index")
     )
-
-
-# --- streaming -----------------------------------------------------------------------------------
-
-
-def _scratch(spark: SparkSession) -> str:
-    return f"{checkpoint_root(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
-def _dealt(spark: SparkSession, table: DataFrame, where: str) -> DataFrame:
-    """The table as a stream of several files in no order of time, two files a batch."""
-    files = max(8, table.sparkSession.sparkContext.defaultParallelism)
-    table.repartition(files, F.xxhash64(*table.columns)).write.parquet(where)
-    return jobs.read_changes(spark, where, files_per_batch=2)
-
-
-def _event_stream(spark: SparkSession, d: str, where: str) -> DataFrame:
-    events = spark.read.parquet(f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    return _dealt(spark, events.select("event_id", "ts", "user_id", "event_type"), f"{where}/in")
-
-
-@query(
-    "stream_trust",
-    """SELECT user_id, count(*) FILTER (event_type = 'purchase') AS useful, count(*) FILTER (event_type = 'error') AS not_relevant,
-      round((count(*) FILTER (event_type = 'purchase') + 1) / (count(*) FILTER (event_type IN ('purchase', 'error')) + 2), 6) AS trust FROM events GROUP BY user_id""",
-)
-def stream_trust(spark, d):
-    """Purchases speak for a user, errors against; the stream's last state per user is the answer."""
-    verdict = F.when(F.col("event_type") == "purchase", "useful").when(F.col("event_type") == "error", "not_relevant")
-    where = _scratch(spark)
-    events = _event_stream(spark, d, where).withColumn("verdict", verdict)
-    jobs.feedback_stream(events, "user_id", f"{where}/log", f"{where}/state").awaitTermination()
-    now = jobs.trust_of_log(spark, "user_id", f"{where}/log")
-    return now.select("user_id", "useful", "not_relevant", F.round("trust", 6).alias("trust"))
-
-
-@query(
-    "stream_index",
-    f"SELECT subject_id, term, count(*) AS tf FROM (SELECT doc_id AS subject_id, unnest({S.index_terms('text')}) AS term FROM documents) GROUP BY ALL",
-)
-def stream_index(spark, d):
-    """Every document comes as an outdated and as a current text, in any order; the current one is what is found."""
-    where = _scratch(spark)
-    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("subject_id"), F.col("text").alias("card_text"))
-    old = docs.select("subject_id", F.concat(F.lit("outdated "), "card_text").alias("card_text"), F.lit(0).alias("changed_at"))
-    both = old.unionByName(docs.withColumn("changed_at", F.lit(1)))
-    jobs.index_stream(_dealt(spark, both, f"{where}/in"), f"{where}/out", f"{where}/state", ["card_text"]).awaitTermination()
-    return jobs.latest(spark, f"{where}/out").select("subject_id", "term", "tf")
-
-
-@query(
-    "stream_final_deletes",
-    """WITH e AS (SELECT event_id, user_id, ts, event_type FROM events WHERE event_type IN ('error', 'signup'))
-    SELECT event_id AS delete_id, user_id AS subject FROM e WHERE event_type = 'error'
-      AND ts + INTERVAL 6 HOUR < (SELECT max(ts) FROM e)
-      AND NOT EXISTS (SELECT 1 FROM e r WHERE r.event_type = 'signup' AND r.user_id = e.user_id AND r.ts >= e.ts AND r.ts <= e.ts + INTERVAL 6 HOUR)""",
-)
-def stream_final_deletes(spark, d):
-    """Errors as deletes, signups as restores, six hours to undo; deletes still open at the end are held back."""
-    where = _scratch(spark)
-    action = F.when(F.col("event_type") == "error", "delete").when(F.col("event_type") == "signup", "restore")
-    events = _event_stream(spark, d, where).withColumn("action", action)
-    jobs.final_delete_stream(events, "user_id", f"{where}/out", f"{where}/state", seconds=6 * 3600).awaitTermination()
-    final = jobs.final_deletes_of(spark, "user_id", f"{where}/out", seconds=6 * 3600)
-    return final.select("delete_id", F.col("user_id").alias("subject"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cardmill.plans import card_queries, search_queries, text_queries
+from cardmill.plans import card_queries, search_queries, stream_queries, text_queries
 
-_MODULES = [search_queries, text_queries, card_queries]
+_MODULES = [search_queries, text_queries, card_queries, stream_queries]
 
 
 def queries() -> dict:

@@ -127,26 +127,29 @@ def organizations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def branches(spark: SparkSession, d: str) -> DataFrame:
-    return read_input(spark, d, "supplier").filter("s_nationkey <> 3").select(
-        F.col("s_suppkey").alias("id"), F.col("s_nationkey").cast("long").alias("org_id"), F.col("s_name").alias("address"), (F.col("s_acctbal") > 5000).alias("is_primary")
+    """Suppliers of their nations; nation 3 has none, its suppliers belong to no organization."""
+    org = F.when(F.col("s_nationkey") != 3, F.col("s_nationkey").cast("long"))
+    return read_input(spark, d, "supplier").select(
+        F.col("s_suppkey").alias("id"), org.alias("org_id"), F.col("s_name").alias("address"), (F.col("s_acctbal") > 5000).alias("is_primary")
     )
 
 
-BRANCHES = "(SELECT s_suppkey AS id, s_nationkey AS org_id, s_name AS address, s_acctbal > 5000 AS is_primary FROM supplier WHERE s_nationkey <> 3)"
+BRANCHES = "(SELECT s_suppkey AS id, CASE WHEN s_nationkey <> 3 THEN s_nationkey END AS org_id, s_name AS address, s_acctbal > 5000 AS is_primary FROM supplier)"
 
 
 def roles(spark: SparkSession, d: str) -> DataFrame:
-    return read_input(spark, d, "customer").filter("c_mktsegment <> 'FURNITURE'").select(
+    """Every customer's role in its nation; those of one segment are nobody's."""
+    return read_input(spark, d, "customer").select(
         F.col("c_custkey").alias("id"),
-        F.col("c_custkey").alias("person_id"),
+        F.when(F.col("c_mktsegment") != "FURNITURE", F.col("c_custkey")).alias("person_id"),
         F.col("c_nationkey").cast("long").alias("org_id"),
         F.when(F.col("c_mktsegment") != "MACHINERY", F.lower("c_mktsegment")).alias("title"),
         (F.col("c_acctbal") > 1000).alias("is_current"),
     )
 
 
-ROLES = """(SELECT c_custkey AS id, c_custkey AS person_id, c_nationkey AS org_id, CASE WHEN c_mktsegment <> 'MACHINERY' THEN lower(c_mktsegment) END AS title,
-  c_acctbal > 1000 AS is_current FROM customer WHERE c_mktsegment <> 'FURNITURE')"""
+ROLES = """(SELECT c_custkey AS id, CASE WHEN c_mktsegment <> 'FURNITURE' THEN c_custkey END AS person_id, c_nationkey AS org_id, CASE WHEN c_mktsegment <> 'MACHINERY' THEN lower(c_mktsegment) END AS title,
+  c_acctbal > 1000 AS is_current FROM customer)"""
 
 
 def contact_points(spark: SparkSession, d: str) -> DataFrame:

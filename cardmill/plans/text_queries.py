@@ -490,20 +490,23 @@ def matched_terms(spark, d):
 
 
 def turn_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Each turn against the next one of its conversation, in plain ASCII."""
-    ascii_text = F.regexp_replace("text", "[^ -~]", "?")
-    turns = read_input(spark, d, "conversations").select("conv_id", "turn", "role", ascii_text.alias("said"))
+    """Each turn against the next one of its conversation."""
+    turns = read_input(spark, d, "conversations").select("conv_id", "turn", "role", F.col("text").alias("said"))
     following = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("said").alias("answer"))
     return turns.join(following, ["conv_id", "turn"])
 
 
+# DuckDB counts the edits of bytes: every letter beyond ASCII becomes a control character that stands for it alone.
+_ONE_BYTE = rf"""far AS (SELECT string_agg(c, '' ORDER BY c) AS letters FROM (SELECT DISTINCT unnest(string_split(text, '')) AS c FROM conversations) WHERE unicode(c) > 126),
+said AS (SELECT conv_id, turn, role, {S.trim(f"regexp_replace(translate(text, letters, array_to_string(list_transform(range(1, len(letters) + 1), lambda i: chr(((ARRAY[1,2,3,4,5,6,7,8,14,15,16,17,18,19,20,21,22,23,24,25,26,27,28,29,30,31,127])[i])::INTEGER)), '')), '[{S.SPACE}]+', ' ', 'g')")} AS said
+  FROM conversations, far)"""
+
+
 @query(
     "cer_by_group",
-    """SELECT role, count(*) AS n, round(avg(cer), 6) AS mean_cer FROM (
+    f"""WITH {_ONE_BYTE} SELECT role, count(*) AS n, round(avg(cer), 6) AS mean_cer FROM (
       SELECT role, CASE WHEN r = '' THEN CASE WHEN h = '' THEN 0 ELSE 1 END ELSE levenshtein(r, h) / len(r) END AS cer FROM (
-        SELECT a.role, regexp_replace(trim(regexp_replace(a.text, '[^ -~]', '?', 'g')), ' +', ' ', 'g') AS r,
-               regexp_replace(trim(regexp_replace(b.text, '[^ -~]', '?', 'g')), ' +', ' ', 'g') AS h
-        FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)) GROUP BY role""",
+        SELECT a.role, a.said AS r, b.said AS h FROM said a JOIN said b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)) GROUP BY role""",
 )
 def cer_by_group(spark, d):
     return (

@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from cardmill.functions import fixed
-from cardmill.functions.scoring import trust
-from cardmill.operators.lexical import INDEX_COLUMNS, build_postings
 from cardmill.operators.lifecycle import final_deletes
 
 
@@ -56,66 +54,6 @@ def latest(spark: SparkSession, sink: str, key: str | list[str] = "subject_id")
     return spark.read.parquet(f"{sink}/rows").drop("batch").join(newest, [*keys, "version"]).drop("version")
 
 
-def compact(spark: SparkSession, sink: str, into: str, key: str | list[str] = "subject_id") -> None:
-    """Copies the newest versions alone to another sink, where later batches of the same stream may follow."""
-    keys = [key] if isinstance(key, str) else key
-    newest = _newest(spark, sink, keys)
-    rows = spark.read.parquet(f"{sink}/rows").drop("batch").join(newest.drop("stamp"), [*keys, "version"])
-    rows.write.mode("overwrite").parquet(f"{into}/rows/batch=-1")
-    newest.write.mode("overwrite").parquet(f"{into}/subjects/batch=-1")
-
-
-def refresh_stream(
-    changes: DataFrame, recompute: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str, key: str = "subject_id"
-) -> StreamingQuery:
-    """Every batch recomputes only the subjects that changed and stores them as that batch's version."""
-
-    def store(batch: DataFrame, batch_id: int) -> None:
-        touched = batch.select(key).distinct()
-        _store_version(recompute(touched), touched.withColumn("stamp", F.lit(batch_id).cast("long")), sink, batch_id)
-
-    return _run(changes, store, checkpoint)
-
-
-def index_stream(docs: DataFrame, sink: str, checkpoint: str, columns=INDEX_COLUMNS) -> StreamingQuery:
-    """New or changed texts are searchable after their batch: postings replace the subject's old ones.
-
-    The later change counts, not the later batch: an old change that arrives late stays without effect.
-    """
-
-    def store(batch: DataFrame, batch_id: int) -> None:
-        newest = batch.groupBy("subject_id").agg(
-            F.max_by(F.struct("changed_at", *columns), F.struct("changed_at", *columns)).alias("d")
-        ).select("subject_id", "d.*")
-        stamps = newest.select("subject_id", F.col("changed_at").alias("stamp"))
-        _store_version(build_postings(newest.drop("changed_at"), columns), stamps, sink, batch_id)
-
-    return _run(docs, store, checkpoint)
-
-
-def feedback_stream(feedback: DataFrame, subject: str, sink: str, checkpoint: str) -> StreamingQuery:
-    """Every verdict (event_id, subject, verdict) goes to a log, however late it comes."""
-
-    def store(batch: DataFrame, batch_id: int) -> None:
-        batch.select("event_id", subject, "verdict").write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
-
-    return _run(feedback, store, checkpoint)
-
-
-def trust_of_log(spark: SparkSession, subject: str, sink: str) -> DataFrame:
-    """Trust per subject from the whole log; repeated events count once whatever lies between them."""
-    once = spark.read.parquet(sink).select("event_id", subject, "verdict").dropDuplicates(["event_id"])
-    return (
-        once.groupBy(subject)
-        .agg(
-            F.sum((F.col("verdict") == "useful").cast("long")).alias("useful"),
-            F.sum((F.col("verdict") == "not_relevant").cast("long")).alias("not_relevant"),
-        )
-        .select(subject, F.coalesce("useful", F.lit(0)).alias("useful"), F.coalesce("not_relevant", F.lit(0)).alias("not_relevant"))
-        .withColumn("trust", trust(F.col("useful"), F.col("not_relevant")))
-    )
-
-
 def final_delete_stream(
     events: DataFrame, key: str, sink: str, checkpoint: str, seconds: int = fixed.UNDO_SECONDS
 ) -> StreamingQuery:
@@ -155,10 +93,3 @@ def final_deletes_of(spark: SparkSession, key: str, sink: str, seconds: int = fi
     now = spark.read.parquet(f"{sink}/log").agg(F.max(F.unix_micros("ts")).alias("now")).first()["now"]
     closed = F.unix_micros("deleted_at") + seconds * 1_000_000 < F.lit(now)
     return latest(spark, sink, [key, "slot"]).filter(closed).select("delete_id", key, "deleted_at")
-
-
-def promote_stream(
-    cards: DataFrame, promote: Callable[[DataFrame, int], None], checkpoint: str
-) -> StreamingQuery:
-    """New cards enter the graph batch by batch; ``promote`` gets the batch and its id and must be idempotent."""
-    return _run(cards, promote, checkpoint)

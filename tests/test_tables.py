@@ -123,18 +123,6 @@ def test_delete_stream_loses_no_late_event(spark, tmp_path):
     assert got == {r.event_id for r in batch.collect() if r.event_id * 37 % 1000 + 20 < last}
 
 
-def test_trust_counts_late_and_repeated_feedback_once(spark, tmp_path):
-    df = event_files(spark, str(tmp_path / "in"))
-    df.limit(30).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    verdict = F.when(F.col("event_type") == "error", "not_relevant").otherwise("useful")
-    stream = jobs.read_changes(spark, str(tmp_path / "in"), files_per_batch=1).withColumn("verdict", verdict)
-    jobs.feedback_stream(stream, "user_id", str(tmp_path / "log"), str(tmp_path / "c")).awaitTermination()
-    got = {r.user_id: (r.useful, r.not_relevant) for r in jobs.trust_of_log(spark, "user_id", str(tmp_path / "log")).collect()}
-    rows = df.collect()
-    count = lambda u, kind: sum(r.user_id == u and r.event_type == kind for r in rows)
-    assert got == {u: (count(u, "signup"), count(u, "error")) for u in range(4)}
-
-
 def test_changes_are_read_from_file_or_folder(spark, tmp_path):
     spark.range(5).coalesce(1).write.parquet(str(tmp_path / "folder.parquet"))
     part = next((tmp_path / "folder.parquet").glob("part-*.parquet"))
@@ -143,23 +131,11 @@ def test_changes_are_read_from_file_or_folder(spark, tmp_path):
     spark.range(5, 9).write.parquet(str(tmp_path / "both" / "other.parquet"))
     for k, name in enumerate(["one.parquet", "other.parquet"]):
         seen = []
-        jobs.promote_stream(jobs.read_changes(spark, str(tmp_path / "both" / name)), lambda b, _: seen.extend(r.id for r in b.collect()), str(tmp_path / f"c{k}")).awaitTermination()
+        changes = jobs.read_changes(spark, str(tmp_path / "both" / name))
+        jobs._run(changes, lambda b, _, seen=seen: seen.extend(r.id for r in b.collect()), str(tmp_path / f"c{k}")).awaitTermination()
         assert sorted(seen) == ([*range(5)], [*range(5, 9)])[k]
 
 
-def test_late_old_change_does_not_replace_newer(spark, tmp_path):
-    schema = "subject_id long, card_text string, changed_at long"
-    for k, row in enumerate([(1, "newest", 9), (1, "older", 3), (2, "only", 1)]):
-        spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        stream = jobs.read_changes(spark, str(tmp_path / "in"))
-        jobs.index_stream(stream, str(tmp_path / "sink"), str(tmp_path / "c"), ["card_text"]).awaitTermination()
-    found = lambda sink: {(r.subject_id, r.term) for r in jobs.latest(spark, sink).collect()}
-    assert found(str(tmp_path / "sink")) == {(1, "newest"), (2, "only")}
-    jobs.compact(spark, str(tmp_path / "sink"), str(tmp_path / "small"))
-    assert found(str(tmp_path / "small")) == {(1, "newest"), (2, "only")}
-    assert spark.read.parquet(str(tmp_path / "small/rows")).count() == 2
-
-
 def test_merges_in_circles_end(spark):
     from cardmill.operators import graph
 
@@ -175,32 +151,6 @@ def test_merges_in_circles_end(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 1}
 
 
-def test_index_stream_replaces_changed_subjects(spark, tmp_path):
-    first = spark.createDataFrame([(1, "old words", 1), (2, "keep", 1)], "subject_id long, card_text string, changed_at long")
-    first.write.parquet(str(tmp_path / "in"))
-    run = lambda: jobs.index_stream(
-        jobs.read_changes(spark, str(tmp_path / "in")), str(tmp_path / "sink"), str(tmp_path / "c"), ["card_text"]
-    ).awaitTermination()
-    run()
-    spark.createDataFrame([(1, "new", 2), (1, "newest", 3), (2, "", 3)], first.schema).write.mode("append").parquet(str(tmp_path / "in"))
-    run()
-    run()
-    assert {(r.subject_id, r.term) for r in jobs.latest(spark, str(tmp_path / "sink")).collect()} == {(1, "newest")}
-
-
-def test_refresh_and_promote_streams(spark, tmp_path):
-    spark.range(4).withColumnRenamed("id", "subject_id").write.parquet(str(tmp_path / "in"))
-    changes = lambda: jobs.read_changes(spark, str(tmp_path / "in"), "subject_id long")
-    jobs.refresh_stream(changes(), lambda ids: ids.withColumn("twice", F.col("subject_id") * 2), str(tmp_path / "s"), str(tmp_path / "c")).awaitTermination()
-    assert {(r.subject_id, r.twice) for r in jobs.latest(spark, str(tmp_path / "s")).collect()} == {(i, 2 * i) for i in range(4)}
-    seen = []
-    jobs.promote_stream(changes(), lambda batch, batch_id: seen.append((batch_id, batch.count())), str(tmp_path / "c2")).awaitTermination()
-    assert seen == [(0, 4)]
-
-
-# --- graph ---------------------------------------------------------------------------------------
-
-
 def scan(spark, cards):
     """cards: list of dicts of field -> value; validated as extraction would."""
     rows, k = [], 0
