@@ -7,7 +7,7 @@ from dataclasses import dataclass, fields as dataclass_fields, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cardmill.functions.text import person_key, trim
+from cardmill.functions.text import blank_to_null, person_key, trim
 from cardmill.operators.fields import identity_endpoints, keep_first, live, primary_branch
 from cardmill.operators.ordering import global_position, position_in_group
 from cardmill.operators.resolve import (
@@ -194,6 +194,12 @@ def promote_more(graph: Graph, due: DataFrame, fields: DataFrame, settled: DataF
     new_people = founders.join(people.filter("founded").select(F.col("person_id").alias("id")), "id").select(
         "id", F.col("name").alias("display_name"), F.lit(None).cast("long").alias("merged_into_id")
     )
+    # A person without a name takes that of the first card that finds it; a name that stands is never replaced.
+    given = links.filter(blank_to_null(F.col("name")).isNotNull() & F.col("person_id").isNotNull()).groupBy(F.col("person_id").alias("id"))
+    given = given.agg(F.min_by("name", "ord").alias("_name"))
+    old_people = graph.people.join(given, "id", "left").select(
+        "id", F.coalesce(blank_to_null(F.col("display_name")), "_name", "display_name").alias("display_name"), "merged_into_id"
+    )
     filled = domains.select(F.col("org_id").alias("id"), F.col("domain").alias("_domain"))
     old_orgs = graph.organizations.join(filled, "id", "left").withColumn("domain", F.coalesce("domain", "_domain")).drop("_domain")
     new_orgs = (
@@ -215,7 +221,7 @@ def promote_more(graph: Graph, due: DataFrame, fields: DataFrame, settled: DataF
         fresh_pairs = fresh_pairs.join(settled.select("a_id", "b_id"), ["a_id", "b_id"], "left_anti")
     return drop_orphans(
         Graph(
-            people=graph.people.select("id", "display_name", "merged_into_id").unionByName(new_people),
+            people=old_people.unionByName(new_people),
             organizations=old_orgs.select("id", "name", "domain").unionByName(new_orgs),
             roles=roles.select(*graph.roles.columns),
             branches=grown.select(*graph.branches.columns),

@@ -13,9 +13,9 @@ from cardmill.plans import derived as D
 from cardmill.plans import search_queries as SQ
 from cardmill.plans import sql as S
 from cardmill.plans.text_queries import subjects
-from cardmill.session import checkpoint_root
+from cardmill.session import checkpoint_root, written
 from cardmill.sources.tables import read_input
-from cardmill.streaming import feedback, jobs, lists, search_index
+from cardmill.streaming import feedback, jobs, lists, promotion, search_index
 
 QUERIES = {}
 ORACLES = {}
@@ -134,6 +134,47 @@ def stream_search(spark, d):
     )
 
 
+def numbered_scans(spark: SparkSession, d: str) -> DataFrame:
+    """Fields of every order's card: its customer's name and number, and the site of its customer's segment and nation."""
+    rows = read_input(spark, d, "orders").join(read_input(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    number = F.concat(F.lit("+88017"), F.lpad(F.col("o_custkey").cast("string"), 8, "0"))
+    site = F.concat(F.lower("c_mktsegment"), F.col("c_nationkey").cast("string"), F.lit(".com"))
+    none = F.lit(None).cast("string")
+    item = lambda key, value, normalized: F.struct(F.lit(key).alias("field_key"), value.alias("value"), normalized.alias("normalized_value"))
+    items = F.array(item("person_name", F.col("c_name"), none), item("phone", number, number), item("website", site, site))
+    return rows.select("o_orderkey", F.posexplode(items).alias("k", "f")).select(
+        (F.col("o_orderkey") * 4 + F.col("k")).alias("id"), F.col("o_orderkey").alias("card_id"), "f.*",
+        F.lit("printed").alias("source"), F.lit("text").alias("value_kind"),
+    )
+
+
+@query(
+    "stream_promotion",
+    """WITH c AS (SELECT o_orderkey AS card_id, o_orderstatus <> 'P' AS lives, c_custkey AS person, c_mktsegment || c_nationkey AS org
+      FROM orders JOIN customer ON c_custkey = o_custkey)
+    SELECT card_id, CASE WHEN lives THEN min(card_id) FILTER (lives) OVER (PARTITION BY person) END AS person_card,
+      CASE WHEN lives THEN min(card_id) FILTER (lives) OVER (PARTITION BY org) END AS org_card,
+      CASE WHEN lives THEN min(card_id) FILTER (lives) OVER (PARTITION BY person, org) END AS role_card,
+      lives::INT AS n_points FROM c""",
+)
+def stream_promotion(spark, d):
+    """Cards of all orders arrive in batches, one of which is sent twice; people, firms and roles are shown by their first cards."""
+    where = scratch(spark)
+    fields = written(numbered_scans(spark, d))
+    store = promotion.graph_store(spark, f"{where}/graph")
+    cards = D.scanned_cards(spark, d)
+    promotion.promotion_stream(dealt(spark, cards, f"{where}/in", 6), fields, store, f"{where}/state").awaitTermination()
+    promotion.promote_batch(store, cards.limit(100), fields, 1)  # a replay: without effect
+    linked = written(promotion.stored_graph(store).cards)
+    points = store.read("contact_points").groupBy(F.col("source_card_id").alias("id")).agg(F.count("*").cast("int").alias("n_points"))
+    for owner in ("person", "org", "role"):
+        first = linked.dropna(subset=[f"{owner}_id"]).groupBy(f"{owner}_id").agg(F.min("id").alias(f"{owner}_card"))
+        linked = linked.join(first, f"{owner}_id", "left")
+    return linked.join(points, "id", "left").select(
+        F.col("id").alias("card_id"), "person_card", "org_card", "role_card", F.coalesce("n_points", F.lit(0)).alias("n_points")
+    )
+
+
 @query(
     "stream_final_deletes",
     """WITH e AS (SELECT event_id, user_id, ts, event_type FROM events WHERE event_type IN ('error', 'signup'))

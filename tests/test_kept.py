@@ -31,9 +31,9 @@ def test_lists_equal_recomputing_them(spark, tmp_path):
     people = spark.createDataFrame([(i, f"P{i}", 1 if i == 3 else None) for i in range(9)], "id long, display_name string, merged_into_id long")
     orgs = spark.createDataFrame([(i, f"O{i}", None) for i in range(5)], "id long, name string, domain string")
     branches = spark.createDataFrame([(1, 2, "Road", True)], "id long, org_id long, address string, is_primary boolean")
-    changes = card_changes(4, 150)
+    changes = card_changes(4, 100)
     newest: dict[int, tuple] = {}
-    for batch in range(6):
+    for batch in range(4):
         part = changes[batch * 25 : batch * 25 + 25]
         for row in part:
             if row[0] not in newest or row[5] > newest[row[0]][5]:
@@ -91,7 +91,7 @@ def test_index_equals_indexing_the_newest_texts(spark, tmp_path):
     store = search_index.index_store(spark, str(tmp_path / "index"))
     newest: dict[int, tuple] = {}
     text = lambda: rng.choice([None, "", " ".join(rng.choice("abcd") for _ in range(rng.randrange(6)))])
-    for batch in range(5):
+    for batch in range(3):
         rows = [(rng.randrange(12), s, rng.random() < 0.2, text(), text()) for s in rng.sample(range(1000), 10)]
         for r in rows:
             if r[0] not in newest or r[1] > newest[r[0]][1]:
