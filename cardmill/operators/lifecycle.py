@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
+from dataclasses import dataclass
+from graphlib import CycleError, TopologicalSorter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -111,6 +113,83 @@ def purge(tables: Mapping[str, tuple[DataFrame, str]], ids: DataFrame) -> dict[s
     }
 
 
+@dataclass(frozen=True)
+class Edge:
+    """Rows of ``table`` name a row of ``parent`` in ``column``; with ``when`` only the rows that it holds for do.
+
+    When the parent's row goes they go too, or only lose the name if ``sets_null``.
+    """
+
+    table: str
+    column: str
+    parent: str
+    key: str = "id"
+    when: str | None = None
+    sets_null: bool = False
+
+
+#: Fixed by the data model: what belongs to a card, and blocks that lose their field.
+CARD_EDGES = (
+    Edge("card_fields", "card_id", "cards"),
+    Edge("contact_points", "source_card_id", "cards"),
+    Edge("ocr_blocks", "card_id", "cards"),
+    Edge("ocr_blocks", "field_id", "card_fields", sets_null=True),
+    Edge("extraction_attempts", "card_id", "cards"),
+    Edge("notes", "subject_id", "cards", when="subject_type = 'card'"),
+    Edge("postings", "subject_id", "cards"),
+    Edge("vectors", "subject_id", "cards"),
+)
+
+
+def purge_cascade(
+    tables: Mapping[str, DataFrame], doomed: Mapping[str, DataFrame], edges: Iterable[Edge] = CARD_EDGES
+) -> dict[str, DataFrame]:
+    """The tables without the doomed rows ({table: keys as ``id``}) and all that hangs on them, one anti-join per edge.
+
+    Edges run from a row to the one it names, over any number of steps but not in a circle (ValueError). Edges of tables
+    that are not given are left out. A row that names nothing stays.
+    """
+    edges = [e for e in edges if e.table in tables and e.parent in tables]
+    order = TopologicalSorter({name: {e.parent for e in edges if e.table == name} for name in tables})
+    try:
+        names = list(order.static_order())
+    except CycleError as error:
+        raise ValueError(f"tables depend on each other in a circle: {error.args[1]}") from error
+    left: dict[str, DataFrame] = {}
+    gone: dict[tuple[str, str], DataFrame] = {}
+    for name in names:
+        rows, keys = tables[name], {e.key for e in edges if e.parent == name}
+        lost: dict[str, list[DataFrame]] = {key: [] for key in keys}
+
+        def take(rows: DataFrame, column: str, named: DataFrame, when: str | None, lost=lost) -> DataFrame:
+            named = named.select(named.columns[0]).dropna().distinct().toDF("_gone")
+            names_it = F.col(column) == F.col("_gone")
+            names_it = names_it & F.expr(when) if when else names_it
+            for key, parts in lost.items():
+                parts.append(rows.join(named, names_it, "left_semi").select(F.col(key).alias("id")))
+            return rows.join(named, names_it, "left_anti")
+
+        if name in doomed:
+            rows = take(rows, "id", doomed[name], None)
+        for e in edges:
+            if e.table != name:
+                continue
+            named = gone[e.parent, e.key]
+            if not e.sets_null:
+                rows = take(rows, e.column, named, e.when)
+                continue
+            marked = rows.join(named.dropna().distinct().toDF("_gone"), F.col(e.column) == F.col("_gone"), "left")
+            kept = F.when(F.col("_gone").isNull(), F.col(e.column)).alias(e.column)
+            rows = marked.select(*[kept if c == e.column else F.col(c) for c in rows.columns])
+        left[name] = rows
+        for key, parts in lost.items():
+            empty = tables[name].select(F.col(key).alias("id")).limit(0)
+            for part in parts:
+                empty = empty.unionByName(part)
+            gone[name, key] = empty
+    return left
+
+
 def extraction_status(cards: DataFrame, fields: DataFrame, blocks: DataFrame) -> DataFrame:
     """manual when the user filled an unreadable card, else failed / complete / partial; pending without a read."""
     useful = is_useful(fields)

@@ -9,7 +9,7 @@ from cardmill.functions import fixed
 from cardmill.operators import evaluation as E
 from cardmill.operators import fields as FL
 from cardmill.operators import graph as G
-from cardmill.operators import layout, lexical, lifecycle
+from cardmill.operators import candidates, layout, lexical, lifecycle
 from cardmill.operators.ordering import global_position
 from cardmill.operators.resolve import card_facts, endpoint_keys, resolve_orgs, resolve_people
 from cardmill.plans import derived as D
@@ -263,6 +263,44 @@ def purge(spark, d):
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
+_GONE = f"(SELECT id FROM {D.CARDS} WHERE deleted_at IS NOT NULL)"
+
+
+@query(
+    "purge_cascade",
+    f"""SELECT 'cards' AS tbl, id AS card_id, 1 AS n, 0 AS n_linked FROM {D.CARDS} WHERE deleted_at IS NULL
+    UNION ALL SELECT 'card_fields', card_id, count(*), 0 FROM {D.FIELDS} WHERE card_id NOT IN {_GONE} GROUP BY card_id
+    UNION ALL SELECT 'contact_points', owner_id, count(*), 0 FROM {D.POINTS} WHERE owner_id NOT IN {_GONE} GROUP BY owner_id
+    UNION ALL SELECT 'notes', conv_id, count(*), 0 FROM conversations WHERE conv_id NOT IN {_GONE} GROUP BY conv_id
+    UNION ALL SELECT 'ocr_blocks', doc_id, count(*), count(*) FILTER (doc_id * 4 NOT IN (SELECT id FROM {D.FIELDS} WHERE card_id IN {_GONE}))
+      FROM (SELECT doc_id, unnest(string_split(text, chr(10))) FROM documents) WHERE doc_id NOT IN {_GONE} GROUP BY doc_id
+    UNION ALL SELECT 'postings', doc_id, count(DISTINCT term), 0 FROM (SELECT doc_id, unnest({S.index_terms('text')}) AS term FROM documents) WHERE doc_id NOT IN {_GONE} GROUP BY doc_id
+    UNION ALL SELECT 'vectors', vec_id, 1, 0 FROM embeddings WHERE vec_id NOT IN {_GONE}""",
+)
+def purge_cascade(spark, d):
+    """What is left of every table, card by card, once the trash is emptied; blocks may lose fields of other cards."""
+    cards = D.customer_cards(spark, d)
+    texts = read_input(spark, d, "documents").select(F.col("doc_id").alias("subject_id"), F.col("text").alias("card_text"))
+    tables = {
+        "cards": cards,
+        "card_fields": D.card_fields(spark, d),
+        "contact_points": D.contact_points(spark, d),
+        "notes": D.notes(spark, d),
+        "ocr_blocks": D.line_blocks(spark, d).withColumn("field_id", F.col("card_id") * 4),
+        "postings": lexical.build_postings(texts, ["card_text"]),
+        "vectors": read_input(spark, d, "embeddings").select(F.col("vec_id").alias("subject_id"), F.col("embedding").alias("vector")),
+    }
+    left = lifecycle.purge_cascade(tables, {"cards": FL.trash(cards)})
+    owner = {"cards": "id", "contact_points": "source_card_id", "notes": "subject_id", "postings": "subject_id", "vectors": "subject_id"}
+    rows = None
+    for name, df in left.items():
+        linked = F.count("field_id") if name == "ocr_blocks" else F.lit(0)
+        part = df.groupBy(F.col(owner.get(name, "card_id")).alias("card_id")).agg(F.count("*").alias("n"), linked.cast("long").alias("n_linked"))
+        part = part.select(F.lit(name).alias("tbl"), "card_id", "n", "n_linked")
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
 @query(
     "extraction_status",
     f"""SELECT c.id AS card_id, CASE WHEN coalesce(lines, 0) = 0 THEN CASE WHEN typed THEN 'manual' WHEN lines IS NULL THEN 'pending' ELSE 'failed' END
@@ -545,6 +583,16 @@ RULINGS = """(SELECT o_orderkey AS seq, CASE o_orderkey % 4 WHEN 0 THEN 'merge'
     o_custkey AS survivor_id, o_custkey + o_orderkey % 7 - 3 AS loser_id FROM orders)"""
 
 
+def rulings_log(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    return read_input(spark, d, "orders").select(
+        key.alias("seq"),
+        F.when(key % 4 == 0, "merge").when(key % 4 == 1, "unmerge").otherwise("separate").alias("action"),
+        F.col("o_custkey").alias("survivor_id"),
+        (F.col("o_custkey") + key % 7 - 3).alias("loser_id"),
+    )
+
+
 @query(
     "merge_decisions",
     f"""WITH RECURSIVE acts AS (SELECT * FROM {RULINGS} WHERE action <> 'separate' AND survivor_id <> loser_id),
@@ -562,13 +610,7 @@ RULINGS = """(SELECT o_orderkey AS seq, CASE o_orderkey % 4 WHEN 0 THEN 'merge'
 )
 def merge_decisions(spark, d):
     """A log of rulings becomes pointers, and pointers lead to the row that stands for a person."""
-    key = F.col("o_orderkey")
-    log = read_input(spark, d, "orders").select(
-        key.alias("seq"),
-        F.when(key % 4 == 0, "merge").when(key % 4 == 1, "unmerge").otherwise("separate").alias("action"),
-        F.col("o_custkey").alias("survivor_id"),
-        (F.col("o_custkey") + key % 7 - 3).alias("loser_id"),
-    )
+    log = rulings_log(spark, d)
     people = read_input(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.lit(None).cast("long").alias("merged_into_id"))
     merged = written(G.apply_decisions(people, log))
     return G.survivor_map(merged).join(merged.withColumnRenamed("id", "person_id"), "person_id").select(
@@ -588,6 +630,62 @@ def survivor_policy(spark, d):
     return G.pick_survivor(pairs).select("a_id", "b_id", "survivor_id")
 
 
+# --- duplicate candidates -------------------------------------------------------------------------
+
+_PAIRS = """(SELECT least(a, b) AS a_id, greatest(a, b) AS b_id, min(score) AS score FROM (
+    SELECT c_custkey AS a, c_custkey + 1 AS b, 1.0::DOUBLE AS score FROM customer WHERE c_custkey % 3 <> 0
+    UNION ALL SELECT x.c_custkey + 2, x.c_custkey, 0.6 FROM customer x JOIN customer y ON y.c_custkey = x.c_custkey + 2 AND (x.c_mktsegment = y.c_mktsegment OR x.c_custkey % 3 = 1)
+    UNION ALL SELECT x.c_custkey, x.c_custkey + 1, 0.6 FROM customer x JOIN customer y ON y.c_custkey = x.c_custkey + 1 AND x.c_mktsegment = y.c_mktsegment
+  ) GROUP BY ALL)"""
+_CANDIDATES = f"""p1 AS (SELECT row_number() OVER (ORDER BY a_id, b_id) AS id, * FROM {_PAIRS}),
+    p2 AS (SELECT (SELECT count(*) FROM p1) + row_number() OVER (ORDER BY c_custkey) AS id, c_custkey AS a_id, c_custkey + 1 AS b_id, 1.0::DOUBLE AS score
+      FROM customer WHERE NOT EXISTS (SELECT 1 FROM p1 WHERE a_id = c_custkey AND b_id = c_custkey + 1)),
+    rulings AS (SELECT seq, seq % 2 AS late, least(survivor_id, loser_id) AS a_id, greatest(survivor_id, loser_id) AS b_id,
+      CASE action WHEN 'merge' THEN 'linked' ELSE 'rejected' END AS ruled FROM {RULINGS} WHERE action <> 'unmerge'),
+    said AS (SELECT a_id, b_id, max_by(ruled, seq) FILTER (late = 0) AS early, max_by(ruled, seq) FILTER (late = 1) AS late FROM rulings GROUP BY ALL),
+    cand AS (SELECT p.id, p.a_id, p.b_id, p.score, CASE WHEN p.score < 1 THEN '["same name"]' ELSE '["shared contacts"]' END AS signals_json,
+      coalesce(said.late, CASE WHEN first THEN said.early END, 'pending') AS status
+      FROM (SELECT *, TRUE AS first FROM p1 UNION ALL SELECT *, FALSE FROM p2) p LEFT JOIN said ON said.a_id = p.a_id AND said.b_id = p.b_id)"""
+
+
+def _ruled_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Two rounds of proposals with rulings after each; the second round proposes all pairs of contacts again."""
+    c = read_input(spark, d, "customer").select(F.col("c_custkey").alias("a_id"), F.col("c_mktsegment").alias("segment"))
+    other = c.select(F.col("a_id").alias("b_id"), F.col("segment").alias("_segment"))
+    contacts = c.select("a_id", (F.col("a_id") + 1).alias("b_id"))
+    next_but_one = c.withColumn("b_id", F.col("a_id") + 2).join(other, "b_id").filter("segment = _segment OR a_id % 3 = 1")
+    neighbours = c.withColumn("b_id", F.col("a_id") + 1).join(other, "b_id").filter("segment = _segment")
+    names = next_but_one.select(F.col("b_id").alias("a_id"), F.col("a_id").alias("b_id")).unionByName(neighbours.select("a_id", "b_id"))
+    first = candidates.shared_contact_proposals(contacts.filter("a_id % 3 <> 0")).unionByName(candidates.same_name_proposals(names))
+    log = rulings_log(spark, d)
+    made = candidates.propose(spark.createDataFrame([], candidates.SCHEMA), first)
+    made = written(candidates.settle(made, log.filter("seq % 2 = 0")))
+    made = candidates.propose(made, candidates.shared_contact_proposals(contacts))
+    return candidates.settle(made, log.filter("seq % 2 = 1"))
+
+
+@query("duplicate_candidates", f"WITH {_CANDIDATES} SELECT * FROM cand")
+def duplicate_candidates(spark, d):
+    return _ruled_candidates(spark, d)
+
+
+@query(
+    "pending_candidates",
+    f"""WITH {_CANDIDATES}, sub AS ({ORACLES["person_subtitles"]}), st AS (SELECT id, display_name FROM {D.PEOPLE} WHERE merged_into_id IS NULL),
+    n AS (SELECT person_id AS id, count(*) AS n FROM {D.ORDER_CARDS} WHERE deleted_at IS NULL GROUP BY ALL),
+    half AS (SELECT st.id, display_name, coalesce(n, 0) AS n, subtitle FROM st LEFT JOIN n USING (id) LEFT JOIN sub USING (id))
+    SELECT row_number() OVER (ORDER BY score DESC, cand.id) - 1 AS position, cand.id, a_id, b_id, score, signals_json, a.display_name AS a_name, a.n AS a_cards,
+      a.subtitle AS a_subtitle, b.display_name AS b_name, b.n AS b_cards, b.subtitle AS b_subtitle
+    FROM cand JOIN half a ON a.id = a_id JOIN half b ON b.id = b_id WHERE status = 'pending' QUALIFY position BETWEEN 100 AND 299""",
+)
+def pending_candidates(spark, d):
+    """The second and third hundred of the pairs that wait for a ruling."""
+    return candidates.pending_page(
+        _ruled_candidates(spark, d), D.people(spark, d), D.order_cards(spark, d), D.roles(spark, d), D.organizations(spark, d),
+        D.contact_points(spark, d), 100, 200,
+    )
+
+
 # --- resolution: the outcome depends on card order, so brute force on fixtures stands in for SQL ---
 
 
