@@ -704,18 +704,8 @@ def orgs_of_cards(spark, d):
     return orgs.select("card_id", "org_id", "founded")
 
 
-_GRAPHS: dict[tuple[str, str], G.Graph] = {}
-
-
 def promoted(spark: SparkSession, d: str) -> G.Graph:
-    """The graph of all scanned cards, stored once per session and read by every view of it."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _GRAPHS:
-        _GRAPHS[key] = _promote(spark, d)
-    return _GRAPHS[key]
-
-
-def _promote(spark: SparkSession, d: str) -> G.Graph:
+    """The graph of all scanned cards."""
     made = G.promote_all(D.scanned_cards(spark, d), written(D.scanned_fields(spark, d)))
     return G.Graph(**{name: written(df) for name, df in made.tables().items()})
 
@@ -729,25 +719,124 @@ def graph_summary(spark, d):
     return rows
 
 
-@query("person_details")
+# --- building the graph, details ------------------------------------------------------------------
+
+
+@query(
+    "roles_build",
+    f"""SELECT min(ord) AS id, person_id, org_id, arg_min(designation, ord) FILTER (designation IS NOT NULL) AS title, TRUE AS is_current
+    FROM {D.LINKS} WHERE person_id IS NOT NULL AND org_id IS NOT NULL GROUP BY person_id, org_id""",
+)
+def roles_build(spark, d):
+    return G.build_roles(D.card_links(spark, d))
+
+
+@query(
+    "branches_build",
+    f"""SELECT id, org_id, address, id = min(id) OVER (PARTITION BY org_id) AS is_primary FROM (
+      SELECT min(ord) AS id, org_id, arg_min({S.trim("address")}, ord) AS address FROM {D.LINKS}
+      WHERE org_id IS NOT NULL AND address IS NOT NULL GROUP BY org_id, lower({S.trim("address")}))""",
+)
+def branches_build(spark, d):
+    return G.build_branches(D.card_links(spark, d))
+
+
+_POINT_COLUMNS = ["owner_type", "owner_id", "kind", "value", "normalized_value", "role_id", "source_card_id", "source", "ord", "field_id"]
+
+
+@query(
+    "endpoints_build",
+    f"""SELECT CASE WHEN person_id IS NOT NULL THEN 'person' ELSE 'organization' END AS owner_type, coalesce(person_id, org_id) AS owner_id, field_key AS kind,
+      value, normalized_value, role_id, f.card_id AS source_card_id, source, ord, id AS field_id
+    FROM {D.FIELDS} f JOIN {D.LINKS} l ON l.card_id = f.card_id
+    WHERE field_key IN ('phone', 'email') AND normalized_value IS NOT NULL AND coalesce(person_id, org_id) IS NOT NULL""",
+)
+def endpoints_build(spark, d):
+    return G.build_endpoints(D.card_links(spark, d), D.card_fields(spark, d)).select(*_POINT_COLUMNS)
+
+
+def derived_graph(spark: SparkSession, d: str) -> G.Graph:
+    """Customers, nations, suppliers and orders as the tables of a graph."""
+    pairs = read_input(spark, d, "customer").select(F.col("c_custkey").alias("a_id"), (F.col("c_custkey") + 1).alias("b_id"), F.lit(1.0).alias("score"))
+    points = D.contact_points(spark, d).unionByName(D.office_points(spark, d))
+    return G.Graph(
+        D.people(spark, d), D.organizations(spark, d), D.roles(spark, d), D.branches(spark, d), points, D.order_cards(spark, d), pairs
+    )
+
+
+@query(
+    "person_details",
+    f"""WITH s AS (SELECT id AS pid, coalesce(merged_into_id, id) AS id FROM {D.PEOPLE})
+    SELECT s.id, 'role' AS section, r.id AS sort, concat_ws(' · ', title, n_name) AS value FROM {D.ROLES} r JOIN s ON s.pid = r.person_id JOIN nation ON n_nationkey = r.org_id
+    UNION ALL SELECT id, 'endpoint', rid, value FROM (SELECT s.id, coalesce(role_id, -1) AS rid, value, kind, coalesce(normalized_value, value) AS k, ord
+      FROM {D.POINTS} p JOIN s ON s.pid = p.owner_id QUALIFY row_number() OVER (PARTITION BY s.id, rid, kind, k ORDER BY ord) = 1)
+    UNION ALL SELECT s.id, 'card', -epoch_us(captured_at), c.id::VARCHAR FROM {D.ORDER_CARDS} c JOIN s ON s.pid = c.person_id WHERE deleted_at IS NULL
+    UNION ALL SELECT id, 'merged', pid, pid::VARCHAR FROM s WHERE pid <> id""",
+)
 def person_details(spark, d):
-    return G.person_sections(promoted(spark, d))
+    return G.person_sections(derived_graph(spark, d))
 
 
-@query("org_details")
+@query(
+    "org_details",
+    f"""SELECT org_id AS id, 'branch' AS section, CASE WHEN is_primary THEN 0 ELSE id END AS sort, address AS value FROM {D.BRANCHES}
+    UNION ALL SELECT owner_id, 'endpoint', ord, value FROM (SELECT * FROM {D.OFFICE_POINTS} QUALIFY row_number() OVER (PARTITION BY owner_id, coalesce(normalized_value, value) ORDER BY ord) = 1)
+    UNION ALL SELECT DISTINCT r.org_id, 'person', r.person_id, concat_ws(' · ', display_name, title) FROM {D.ROLES} r JOIN {D.PEOPLE} p ON p.id = r.person_id
+    UNION ALL SELECT org_id, 'card', -epoch_us(captured_at), id::VARCHAR FROM {D.ORDER_CARDS} WHERE deleted_at IS NULL AND org_id IS NOT NULL""",
+)
 def org_details(spark, d):
-    return G.org_sections(promoted(spark, d))
+    return G.org_sections(derived_graph(spark, d))
+
+
+_SETTLED = f"""(SELECT DISTINCT least(survivor_id, loser_id) AS a_id, greatest(survivor_id, loser_id) AS b_id FROM {RULINGS} WHERE action IN ('merge', 'separate'))"""
+
+
+_LABEL = "CASE ord % 5 WHEN 0 THEN 'My Mobile' WHEN 1 THEN 'home' WHEN 2 THEN 'Fax, old' END"
+_TEL = """CASE kind WHEN 'email' THEN 'EMAIL;TYPE=INTERNET:' ELSE 'TEL;TYPE=' || CASE WHEN label ILIKE '%mobile%' OR label ILIKE '%cell%' THEN 'CELL'
+      WHEN label ILIKE '%home%' THEN 'HOME' WHEN label ILIKE '%fax%' THEN 'FAX' ELSE 'WORK' END || ':' END || value"""
+_FULL_NAME = """'FN:' || name || chr(13) || chr(10) || 'N:' || CASE WHEN len(string_split(name, ' ')) < 2 THEN name || ';;;;'
+      ELSE string_split(name, ' ')[-1] || ';' || array_to_string(string_split(name, ' ')[:-2], ' ') || ';;;' END"""
 
 
-@query("vcard_export")
+@query(
+    "vcard_export",
+    f"""WITH s AS (SELECT id AS pid, coalesce(merged_into_id, id) AS id, display_name, merged_into_id FROM {D.PEOPLE}),
+    jobs AS (SELECT s.id, r.id AS role_id, n_name AS org, title, is_current FROM {D.ROLES} r JOIN s ON s.pid = r.person_id JOIN nation ON n_nationkey = r.org_id),
+    job AS (SELECT * FROM jobs QUALIFY row_number() OVER (PARTITION BY id ORDER BY is_current DESC, role_id) = 1),
+    pts AS (SELECT s.id, kind, value, coalesce({_LABEL}, org) AS label, org IS NULL AS loose, NOT coalesce(is_current, FALSE) AS past, coalesce(p.role_id, 0) AS role, ord
+      FROM {D.POINTS} p JOIN s ON s.pid = owner_id LEFT JOIN jobs ON jobs.role_id = p.role_id
+      QUALIFY row_number() OVER (PARTITION BY s.id, kind, coalesce(normalized_value, value) ORDER BY loose, past, role, ord) = 1),
+    lines AS (SELECT id, string_agg({_TEL} || chr(13) || chr(10), '' ORDER BY loose, past, role, ord) AS l FROM pts GROUP BY id),
+    offices AS (SELECT owner_id AS id, string_agg({_TEL} || chr(13) || chr(10), '' ORDER BY ord) AS l FROM (
+      SELECT *, 'phone' AS kind, {_LABEL} AS label FROM {D.OFFICE_POINTS} QUALIFY row_number() OVER (PARTITION BY owner_id, coalesce(normalized_value, value) ORDER BY ord) = 1) GROUP BY 1),
+    branch AS (SELECT org_id AS id, address FROM {D.BRANCHES} QUALIFY row_number() OVER (PARTITION BY org_id ORDER BY is_primary DESC, id) = 1),
+    everyone AS (SELECT 'person' AS owner_type, s.id, s.display_name AS name, org, title, l, NULL AS url, NULL AS address FROM s LEFT JOIN job ON job.id = s.id LEFT JOIN lines ON lines.id = s.id WHERE merged_into_id IS NULL
+      UNION ALL SELECT 'organization', n_nationkey, n_name, n_name, NULL, l, lower(n_name) || '.com', address FROM nation LEFT JOIN offices ON offices.id = n_nationkey LEFT JOIN branch ON branch.id = n_nationkey)
+    SELECT owner_type, id, replace(replace(name, '#', ''), ' ', '_') AS file_name,
+      concat_ws(chr(13) || chr(10), 'BEGIN:VCARD', 'VERSION:3.0', {_FULL_NAME}, 'ORG:' || org, 'TITLE:' || title, regexp_replace(l, '\r\n$', ''), 'URL:' || url,
+        'ADR;TYPE=WORK:;;' || address || '\\, Road\\; 1\\\\2;;;;', 'END:VCARD') || chr(13) || chr(10) AS vcard
+    FROM everyone""",
+)
 def vcard_export(spark, d):
-    graph = promoted(spark, d)
+    """Contact files of all listed people and organizations; labels, and addresses with signs that have to be escaped."""
+    graph = derived_graph(spark, d)
+    fifth = F.pmod("ord", F.lit(5))
+    label = F.when(fifth == 0, "My Mobile").when(fifth == 1, "home").when(fifth == 2, "Fax, old")
+    address = F.concat("address", F.lit(", Road; 1\\2"))
+    graph = graph.with_(contact_points=graph.contact_points.withColumn("label", label), branches=graph.branches.withColumn("address", address))
     return contact_export.person_cards(graph).unionByName(contact_export.organization_cards(graph))
 
 
-@query("pending_overlaps")
+@query(
+    "pending_overlaps",
+    f"""WITH st AS (SELECT id, display_name FROM {D.PEOPLE} WHERE merged_into_id IS NULL),
+    n AS (SELECT person_id AS id, count(*) AS n FROM {D.ORDER_CARDS} WHERE deleted_at IS NULL GROUP BY ALL)
+    SELECT a.id AS a_id, b.id AS b_id, 1.0::DOUBLE AS score, a.display_name AS a_name, coalesce(na.n, 0) AS a_cards, b.display_name AS b_name, coalesce(nb.n, 0) AS b_cards
+    FROM st a JOIN st b ON b.id = a.id + 1 LEFT JOIN n na ON na.id = a.id LEFT JOIN n nb ON nb.id = b.id
+    WHERE NOT EXISTS (SELECT 1 FROM {_SETTLED} s WHERE s.a_id = a.id AND s.b_id = b.id)""",
+)
 def pending_overlaps(spark, d):
-    return G.pending_overlaps(promoted(spark, d))
+    return G.pending_overlaps(derived_graph(spark, d), G.settled_pairs(rulings_log(spark, d)))
 
 
 # --- layout --------------------------------------------------------------------------------------

@@ -171,6 +171,51 @@ def contact_points(spark: SparkSession, d: str) -> DataFrame:
 
 POINTS = f"(SELECT id AS ord, card_id AS owner_id, field_key AS kind, value, normalized_value, CASE WHEN source = 'user' THEN card_id END AS role_id, source FROM {FIELDS} WHERE field_key IN ('phone', 'email'))"
 
+
+
+def office_points(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers' numbers, owned by their nation; each is there twice, as the last of them reads."""
+    s = read_input(spark, d, "supplier").withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
+    return s.select(
+        F.lit("organization").alias("owner_type"),
+        F.col("s_nationkey").cast("long").alias("owner_id"),
+        F.lit("phone").alias("kind"),
+        F.concat(F.lit("0"), (F.col("s_suppkey") - F.pmod("s_suppkey", F.lit(2))).cast("string")).alias("value"),
+        F.when(F.col("s_acctbal") > 0, F.concat(F.lit("+"), F.col("s_suppkey").cast("string"))).alias("normalized_value"),
+        F.lit(None).cast("string").alias("label"),
+        F.lit(None).cast("long").alias("role_id"),
+        F.lit(None).cast("long").alias("source_card_id"),
+        F.lit("user").alias("source"),
+        (F.col("s_suppkey") * 2 + F.col("k")).alias("ord"),
+        F.lit(0).cast("long").alias("field_id"),
+    )
+
+
+OFFICE_POINTS = """(SELECT s_nationkey AS owner_id, '0' || (s_suppkey - s_suppkey % 2) AS value, CASE WHEN s_acctbal > 0 THEN '+' || s_suppkey END AS normalized_value, s_suppkey * 2 + k AS ord
+  FROM supplier, range(2) r(k))"""
+
+
+def card_links(spark: SparkSession, d: str) -> DataFrame:
+    """Every order's card with its turn, the person and organization it leads to (either may be missing), what it says of them."""
+    c = read_input(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey", "c_mktsegment", "c_acctbal")
+    o = read_input(spark, d, "orders").join(c, "o_custkey")
+    street = F.concat(F.lit(" House "), F.floor(F.col("c_acctbal") / 1000).cast("string"), F.lit(", Road  "))
+    return o.select(
+        F.col("o_orderkey").alias("card_id"),
+        F.col("o_orderkey").alias("ord"),
+        F.when(F.col("o_orderstatus") != "P", F.col("o_custkey")).alias("person_id"),
+        F.when(F.col("o_orderpriority") != "5-LOW", F.col("c_nationkey").cast("long")).alias("org_id"),
+        F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), F.lower("o_orderpriority")).alias("designation"),
+        F.when(F.col("o_orderstatus") == "F", F.when(F.col("o_orderkey") % 2 == 0, F.upper(street)).otherwise(street)).alias("address"),
+        F.when(F.col("o_orderkey") % 3 == 0, F.col("o_custkey")).alias("role_id"),
+    )
+
+
+LINKS = """(SELECT *, CASE WHEN o_orderstatus = 'F' THEN CASE WHEN o_orderkey % 2 = 0 THEN upper(street) ELSE street END END AS address FROM (
+  SELECT o_orderkey AS card_id, o_orderkey AS ord, o_orderkey, o_orderstatus, CASE WHEN o_orderstatus <> 'P' THEN o_custkey END AS person_id,
+  CASE WHEN o_orderpriority <> '5-LOW' THEN c_nationkey END AS org_id, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN lower(o_orderpriority) END AS designation,
+  CASE WHEN o_orderkey % 3 = 0 THEN o_custkey END AS role_id, ' House ' || floor(c_acctbal / 1000)::BIGINT || ', Road  ' AS street FROM orders JOIN customer ON c_custkey = o_custkey))"""
+
 # --- scans: one card per order, for resolution ----------------------------------------------------
 
 
