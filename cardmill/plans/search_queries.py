@@ -7,7 +7,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardmill.operators import embedding, lexical, ranking, vectors
+from cardmill.operators import cues, embedding, lexical, ranking, vectors
 from cardmill.plans import search
 from cardmill.plans import sql as S
 from cardmill.plans.text_queries import SUBJECTS, subjects
@@ -423,6 +423,43 @@ def ranking_signals(spark, d):
     )
 
 
+_ASKERS = """(SELECT c_custkey AS query_id, n_name || ' ' || c_custkey % 5 AS area, CASE WHEN c_custkey % 7 > 0 THEN n_name END AS city, r_name AS country
+  FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey)"""
+_PLACES = """(SELECT s_suppkey AS subject_id, lower(n_name || ' ' || s_suppkey % 5) AS area, n_name AS city, r_name AS country
+  FROM supplier JOIN nation ON n_nationkey = s_nationkey OR n_nationkey = (s_nationkey + s_suppkey) % 25 JOIN region ON r_regionkey = n_regionkey)"""
+_ASKED_HITS = "(SELECT DISTINCT o_custkey AS query_id, l_suppkey AS subject_id FROM lineitem JOIN orders ON o_orderkey = l_orderkey)"
+_KINDS = f"(SELECT doc_id, {S.category('lower(text)')} AS category FROM documents)"
+
+
+@query(
+    "place_signals",
+    f"""SELECT h.query_id, h.subject_id, coalesce(max(CASE WHEN lower(p.area) = lower(a.area) AND coalesce(p.city = a.city, TRUE) AND p.country = a.country THEN 1.0::DOUBLE
+        WHEN p.city = a.city AND p.country = a.country THEN 0.6::DOUBLE WHEN p.country = a.country THEN 0.3::DOUBLE ELSE 0 END), 0) AS location,
+      max(coalesce(x.category = y.category, FALSE)::INT)::DOUBLE AS category_match
+    FROM {_ASKED_HITS} h JOIN {_ASKERS} a USING (query_id) LEFT JOIN {_PLACES} p ON p.subject_id = h.subject_id
+    LEFT JOIN {_KINDS} x ON x.doc_id = h.query_id LEFT JOIN {_KINDS} y ON y.doc_id = h.subject_id GROUP BY ALL""",
+)
+def place_signals(spark, d):
+    """Customers ask and the suppliers of their orders are found: how near these are, and whether their texts are of one kind."""
+    orders = read_input(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("query_id"))
+    lines = read_input(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_suppkey").alias("subject_id"))
+    hits = written(lines.join(orders, "o_orderkey").select("query_id", "subject_id").distinct())
+    nations = read_input(spark, d, "nation").join(read_input(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    nations = nations.select("n_nationkey", F.col("n_name").alias("city"), F.col("r_name").alias("country"))
+    area = lambda key: F.concat_ws(" ", "city", F.pmod(key, F.lit(5)).cast("string"))
+    c = read_input(spark, d, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+    askers = c.select(
+        F.col("c_custkey").alias("query_id"), area("c_custkey").alias("area"), F.when(F.col("c_custkey") % 7 > 0, F.col("city")).alias("city"), "country"
+    )
+    s = read_input(spark, d, "supplier")
+    s = s.withColumn("n_nationkey", F.explode(F.array_distinct(F.array("s_nationkey", F.pmod(F.col("s_nationkey") + F.col("s_suppkey"), F.lit(25)).cast("int")))))
+    places = s.join(nations, "n_nationkey").select(F.col("s_suppkey").alias("subject_id"), F.lower(area("s_suppkey")).alias("area"), "city", "country")
+    kinds = written(cues.classify_cues(read_input(spark, d, "documents"), "doc_id", "text"))
+    near = ranking.location_scores(hits, askers, places)
+    alike = ranking.category_scores(hits, kinds.withColumnRenamed("doc_id", "query_id"), kinds.withColumnRenamed("doc_id", "subject_id"))
+    return near.join(alike, ["query_id", "subject_id"])
+
+
 @query("utility_rank", f"SELECT subject_id, round(least(1, greatest(0, raw)), 6) AS utility FROM {_WEIGHTED}")
 def utility_rank(spark, d):
     return ranking.utility(signals(spark, d)).select("subject_id", F.round("utility", 6).alias("utility"))

@@ -201,3 +201,19 @@ def test_signals_and_ablation(spark):
 def test_needs_indexing(spark, corpus):
     index = spark.createDataFrame([(1,), (1,)], "subject_id long")
     assert {r.id for r in needs_indexing(corpus[0], index).collect()} == {2, 3}
+
+
+def test_location_takes_the_nearest_place(spark):
+    from cardmill.operators import ranking
+
+    hits = spark.createDataFrame([(1, 10), (1, 11), (1, 12), (2, 10), (3, 10), (1, 10)], "query_id long, subject_id long")
+    askers = spark.createDataFrame([(1, "North", "Dhaka", "BD"), (2, "North", None, None), (3, None, None, None)], "query_id long, area string, city string, country string")
+    places = spark.createDataFrame(
+        [(10, "north", "Dhaka", "BD"), (10, None, "Dhaka", "BD"), (11, "north", "Sylhet", "BD"), (12, "North", "Dhaka", "IN")],
+        "subject_id long, area string, city string, country string",
+    )
+    got = {(r.query_id, r.subject_id): r.location for r in ranking.location_scores(hits, askers, places).collect()}
+    assert got == {(1, 10): 1.0, (1, 11): 0.3, (1, 12): 0.0, (2, 10): 1.0, (3, 10): 0.0}
+    kinds = lambda key, rows: spark.createDataFrame(rows, f"{key} long, category string")
+    same = ranking.category_scores(hits, kinds("query_id", [(1, "food"), (2, None)]), kinds("subject_id", [(10, "food"), (11, "books"), (12, None)]))
+    assert {(r.query_id, r.subject_id): r.category_match for r in same.collect()} == {(1, 10): 1.0, (1, 11): 0.0, (1, 12): 0.0, (2, 10): 0.0, (3, 10): 0.0}
