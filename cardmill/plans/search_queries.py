@@ -235,12 +235,11 @@ def vector_cosine_topk(spark, d):
 
 
 def document_vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Query and document vectors from one pass over the words of both."""
+    """Query and document vectors from one pass over the words of both, stored once for all that read them."""
     docs = read_input(spark, d, "documents").select(F.struct(F.lit("d").alias("side"), F.col("doc_id").alias("id")).alias("k"), "text")
     asks = read_input(spark, d, "benchmark").select(F.struct(F.lit("q").alias("side"), F.col("item_id").alias("id")).alias("k"), "text")
-    both = embedding.token_mean_vectors(docs.unionByName(asks), token_table(spark, d), "k").withColumn(
-        "model", F.lit("token-mean")
-    )
+    made = embedding.token_mean_vectors(docs.unionByName(asks), token_table(spark, d), "k")
+    both = written(made.withColumn("model", F.lit("token-mean")))
     of = lambda side, name: both.filter(F.col("k.side") == side).select(F.col("k.id").alias(name), "vector", "model")
     return of("q", "query_id"), of("d", "subject_id")
 

@@ -57,18 +57,6 @@ def read_weights(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMAS["ranking_weights"]).parquet(path)
 
 
-def write_postings(postings: DataFrame, path: str, buckets: int = 256) -> None:
-    """Postings laid out by term hash, so a refresh or a search reads only the slots it needs."""
-    (
-        postings.withColumn("slot", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-        .repartition("slot")
-        .sortWithinPartitions("slot", "term")
-        .write.mode("overwrite")
-        .partitionBy("slot")
-        .parquet(path)
-    )
-
-
 def write_vectors(df: DataFrame, path: str, model: str) -> None:
     """Zero vectors are left out: they carry no signal."""
     rows = df.filter(is_usable(F.col("vector"))).select(

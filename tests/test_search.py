@@ -109,18 +109,18 @@ def test_utility(spark):
     assert abs(low.utility - (0.05 + 0.015)) < 1e-12
 
 
-@pytest.mark.parametrize("broadcast_bytes", [8 << 20, 0])
-def test_cosine_against_brute_force(spark, monkeypatch, broadcast_bytes):
-    monkeypatch.setattr(vectors, "BROADCAST_BYTES", broadcast_bytes)
-    monkeypatch.setattr(vectors, "QUERIES_PER_BLOCK", 3)
-    monkeypatch.setattr(vectors, "SALTS", 4)
+@pytest.mark.parametrize("query_bytes,cells", [(8 << 20, 1), (100, 3)])
+def test_cosine_against_brute_force(spark, monkeypatch, query_bytes, cells):
+    monkeypatch.setattr(vectors, "QUERY_BYTES", query_bytes)
+    monkeypatch.setattr(vectors, "CELLS", cells)
+    monkeypatch.setattr(vectors, "CELL_ROWS", 10)
     rng = np.random.default_rng(3)
     unit = lambda n: [list(map(float, v / np.linalg.norm(v))) for v in rng.normal(size=(n, 6))]
     qs, cs = unit(8), unit(60)
     cs[10] = cs[20]
     queries = spark.createDataFrame([(i, v, "m") for i, v in enumerate(qs)], "query_id long, vector array<double>, model string")
     corpus = spark.createDataFrame(
-        [(i, v, "m") for i, v in enumerate(cs)] + [(99, [1.0], "m"), (98, qs[0], "other")], "subject_id long, vector array<double>, model string"
+        [(i, v, "m") for i, v in enumerate(cs)] + [(99, [1.0], "m"), (98, qs[0], "other"), (97, [None, *qs[0][1:]], "m"), (96, None, "m"), (95, qs[0], None)], "subject_id long, vector array<double>, model string"
     )
     got = {}
     for r in vectors.cosine_topk(queries, corpus.repartition(3), k=7, floor=0.25).orderBy("query_id", "rank").collect():
@@ -130,6 +130,22 @@ def test_cosine_against_brute_force(spark, monkeypatch, broadcast_bytes):
         assert got.get(i, []) == [j for _, j in sorted(scores)[:7]]
 
 
+def test_blocks_that_cannot_reach_are_passed_over(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(6, 16))
+    near = centres[np.repeat(np.arange(6), 300)] + rng.normal(size=(1800, 16)) * 0.05
+    near /= np.linalg.norm(near, axis=1)[:, None]
+    corpus = spark.createDataFrame([(i, v.tolist(), "m") for i, v in enumerate(near)], "subject_id long, vector array<double>, model string")
+    queries = spark.createDataFrame([(i, v.tolist(), "m") for i, v in enumerate(near[::300])], "query_id long, vector array<double>, model string")
+    report = vectors.scan_report(queries, corpus.coalesce(1), k=5, floor=0.9).first()
+    assert report.skipped > report.blocks / 2
+    got = vectors.cosine_topk(queries, corpus, k=5, floor=0.9).collect()
+    for i, q in enumerate(near[::300]):
+        best = sorted((-round(float(q @ c), 9), j) for j, c in enumerate(near))[:5]
+        assert [r.subject_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == i] == [j for _, j in best]
+    assert vectors.cosine_topk(queries.limit(0), corpus).count() == 0
+
+
 def test_quantization(spark):
     df = spark.createDataFrame([(1, [0.5, -1.0, 0.0]), (2, [0.0, 0.0, 0.0]), (3, [1e-3, 2e-3, -127e-3])], "subject_id long, vector array<float>")
     got = {r.subject_id: r for r in vectors.quantize_int8(df).collect()}

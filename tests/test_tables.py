@@ -313,8 +313,6 @@ def test_vector_and_posting_sinks(spark, tmp_path):
     tables.write_vectors(spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0])], "subject_id long, vector array<float>"), str(tmp_path / "v"), "m")
     row = spark.read.parquet(str(tmp_path / "v")).first()
     assert (row.subject_id, row.dim, row.model) == (2, 2, "m")
-    tables.write_postings(spark.createDataFrame([(1, "a"), (2, "b")], "subject_id long, term string"), str(tmp_path / "p"), 4)
-    assert spark.read.parquet(str(tmp_path / "p")).count() == 2
     cards = spark.createDataFrame([("BEGIN:VCARD\r\nEND:VCARD\r\n",)] * 2, "vcard string").coalesce(1)
     contact_export.write_contact_cards(cards, str(tmp_path / "c"))
     text = "".join(p.read_bytes().decode() for p in (tmp_path / "c").glob("part-*"))
