@@ -146,34 +146,36 @@ class Walker:
     def __init__(self, automaton: Automaton):
         width = automaton.table.shape[1]
         self._bits = automaton.table.tobytes()
-        self._row = [int(s) * width for s in automaton.target]
-        self._byte = [int(c) >> 3 for c in automaton.column]
-        self._bit = [1 << (int(c) & 7) for c in automaton.column]
-        self._length = [len(label) for label in automaton.labels]
         self._arcs = ahocorasick.Automaton()
+        self._whole = {}
         for token, label in enumerate(automaton.labels):
-            if automaton.column[token] >= 0:
-                self._arcs.add_word(label.decode("latin-1"), token)
+            if (c := int(automaton.column[token])) >= 0:
+                # Length of the label, byte and bit of the column, row where the arc ends, token: read together, kept together.
+                arc = (len(label), c >> 3, 1 << (c & 7), int(automaton.target[token]) * width, token)
+                self._arcs.add_word(label.decode("latin-1"), arc)
+                if automaton.has_arc(START, token):
+                    self._whole[label] = token
         self._arcs.make_automaton()
-        self._whole = {label: t for t, label in enumerate(automaton.labels) if automaton.has_arc(START, t)}
 
     def tokens(self, word: bytes) -> list[int]:
         """The accepted sequence that spells the word."""
         if (only := self._whole.get(word)) is not None:
             return [only]
-        row = [-1] * (len(word) + 1)
-        taken = [-1] * (len(word) + 1)
+        row: list[int] = [-1] * (len(word) + 1)
+        taken: list[tuple] = [()] * (len(word) + 1)
         row[0] = START
-        bits, byte, bit, length, ends = self._bits, self._byte, self._bit, self._length, self._row
-        for last, token in self._arcs.iter(word.decode("latin-1")):
-            here = row[last + 1 - length[token]]
-            if here >= 0 and bits[here + byte[token]] & bit[token]:
-                row[last + 1] = ends[token]
-                taken[last + 1] = token
+        bits = self._bits
+        for last, arc in self._arcs.iter(word.decode("latin-1")):
+            length, byte, bit, end, _ = arc
+            here = row[last + 1 - length]
+            if here >= 0 and bits[here + byte] & bit:
+                row[last + 1] = end
+                taken[last + 1] = arc
         out, at = [], len(word)
         while at:
-            out.append(taken[at])
-            at -= length[taken[at]]
+            arc = taken[at]
+            out.append(arc[4])
+            at -= arc[0]
         return out[::-1]
 
 
@@ -190,7 +192,7 @@ class Coder:
         self._byte_of = {letter: b for b, letter in enumerate(_BYTE_LETTER)}
         self._walker = Walker(automaton)
         self._known: dict[str, bytes] = {}
-        self._words: dict[bytes, list[int]] = {}
+        self._words: dict[bytes, bytes] = {}
         labels = dict(enumerate(automaton.labels)) | {i: c.encode() for c, i in self._added.items()}
         spelled = [labels.get(i, b"") for i in range(max(labels, default=-1) + 1)]
         self._spelled = np.frombuffer(b"".join(spelled), np.uint8)
@@ -203,15 +205,14 @@ class Coder:
             words = [word.encode() for word in EASY_WORD.findall(run)]
         else:
             words = [bytes([self._byte_of[c] for c in word]) for word, _ in self._cut(run)]
-        tokens = [t for word in words for t in self._spell(word)]
-        return struct.pack(f"<{len(tokens)}I", *tokens)
-
-    def _spell(self, word: bytes) -> list[int]:
-        found = self._words.get(word)
-        if found is None:
-            if len(self._words) >= REMEMBERED:
-                self._words.clear()
-            found = self._words[word] = self._walker.tokens(word)
+        known, spell = self._words, self._spell
+        return b"".join([known.get(word) or spell(word) for word in words])
+
+    def _spell(self, word: bytes) -> bytes:
+        if len(self._words) >= REMEMBERED:
+            self._words.clear()
+        tokens = self._walker.tokens(word)
+        found = self._words[word] = struct.pack(f"<{len(tokens)}I", *tokens)
         return found
 
     def _after_space(self, rest: str) -> bytes:
