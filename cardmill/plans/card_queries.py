@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -676,13 +678,13 @@ def duplicate_candidates(spark, d):
     half AS (SELECT st.id, display_name, coalesce(n, 0) AS n, subtitle FROM st LEFT JOIN n USING (id) LEFT JOIN sub USING (id))
     SELECT row_number() OVER (ORDER BY score DESC, cand.id) - 1 AS position, cand.id, a_id, b_id, score, signals_json, a.display_name AS a_name, a.n AS a_cards,
       a.subtitle AS a_subtitle, b.display_name AS b_name, b.n AS b_cards, b.subtitle AS b_subtitle
-    FROM cand JOIN half a ON a.id = a_id JOIN half b ON b.id = b_id WHERE status = 'pending' QUALIFY position BETWEEN 100 AND 299""",
+    FROM cand JOIN half a ON a.id = a_id JOIN half b ON b.id = b_id WHERE status = 'pending' QUALIFY position BETWEEN 10 AND 209""",
 )
 def pending_candidates(spark, d):
-    """The second and third hundred of the pairs that wait for a ruling."""
+    """Two hundred of the pairs that wait for a ruling, after the first ten."""
     return candidates.pending_page(
         _ruled_candidates(spark, d), D.people(spark, d), D.order_cards(spark, d), D.roles(spark, d), D.organizations(spark, d),
-        D.contact_points(spark, d), 100, 200,
+        D.contact_points(spark, d), 10, 200,
     )
 
 
@@ -791,6 +793,43 @@ def org_details(spark, d):
 _SETTLED = f"""(SELECT DISTINCT least(survivor_id, loser_id) AS a_id, greatest(survivor_id, loser_id) AS b_id FROM {RULINGS} WHERE action IN ('merge', 'separate'))"""
 
 
+_WITHDRAWN = "(SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')"
+_STILL = f"""(SELECT id, CASE WHEN stays THEN person_id END AS person_id, CASE WHEN stays THEN org_id END AS org_id, CASE WHEN stays THEN role_id END AS role_id
+  FROM (SELECT *, id NOT IN {_WITHDRAWN} AS stays FROM {D.ORDER_CARDS}))"""
+_STILL_POINTS = f"(SELECT * FROM {D.POINTS} WHERE owner_id NOT IN {_WITHDRAWN})"
+_STANDING = f"""(SELECT id FROM {D.PEOPLE} WHERE merged_into_id IS NOT NULL OR id IN (SELECT person_id FROM {_STILL}) OR id IN (SELECT owner_id FROM {_STILL_POINTS})
+  OR id IN (SELECT merged_into_id FROM {D.PEOPLE} WHERE merged_into_id IS NOT NULL))"""
+
+
+@query(
+    "detached_cards",
+    f"""SELECT 'cards' AS tbl, id FROM {_STILL} WHERE coalesce(person_id, org_id, role_id) IS NOT NULL
+    UNION ALL SELECT 'contact_points', ord FROM {_STILL_POINTS} UNION ALL SELECT 'contact_points', -ord FROM {D.OFFICE_POINTS}
+    UNION ALL SELECT 'roles', id FROM {D.ROLES} WHERE id IN (SELECT role_id FROM {_STILL}) OR id IN (SELECT role_id FROM {_STILL_POINTS})
+      OR person_id IN (SELECT id FROM {D.PEOPLE} WHERE merged_into_id IS NOT NULL)
+    UNION ALL SELECT 'branches', id FROM {D.BRANCHES} WHERE org_id IN (SELECT org_id FROM {_STILL})
+    UNION ALL SELECT 'people', id FROM {_STANDING}
+    UNION ALL SELECT 'organizations', n_nationkey FROM nation WHERE n_nationkey IN (SELECT org_id FROM {_STILL}) OR n_nationkey IN (SELECT owner_id FROM {D.OFFICE_POINTS})
+    UNION ALL SELECT 'overlaps', c_custkey FROM customer WHERE c_custkey IN (SELECT id FROM {_STANDING}) AND c_custkey + 1 IN (SELECT id FROM {_STANDING})""",
+)
+def detached_cards(spark, d):
+    """Cards of closed orders are taken out of the graph; what nothing points at any more goes with them."""
+    gone = read_input(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id"))
+    left = G.detach_cards(derived_graph(spark, d), gone)
+    point = F.when(F.col("owner_type") == "organization", -F.col("ord")).otherwise(F.col("ord"))
+    parts = [
+        ("cards", left.cards.filter(F.coalesce("person_id", "org_id", "role_id").isNotNull()), F.col("id")),
+        ("contact_points", left.contact_points, point),
+        ("roles", left.roles, F.col("id")),
+        ("branches", left.branches, F.col("id")),
+        ("people", left.people, F.col("id")),
+        ("organizations", left.organizations, F.col("id")),
+        ("overlaps", left.overlaps, F.col("a_id")),
+    ]
+    rows = [df.select(F.lit(name).alias("tbl"), key.alias("id")) for name, df, key in parts]
+    return reduce(DataFrame.unionByName, rows)
+
+
 _LABEL = "CASE ord % 5 WHEN 0 THEN 'My Mobile' WHEN 1 THEN 'home' WHEN 2 THEN 'Fax, old' END"
 _TEL = """CASE kind WHEN 'email' THEN 'EMAIL;TYPE=INTERNET:' ELSE 'TEL;TYPE=' || CASE WHEN label ILIKE '%mobile%' OR label ILIKE '%cell%' THEN 'CELL'
       WHEN label ILIKE '%home%' THEN 'HOME' WHEN label ILIKE '%fax%' THEN 'FAX' ELSE 'WORK' END || ':' END || value"""

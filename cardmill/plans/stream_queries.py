@@ -35,9 +35,8 @@ def scratch(spark: SparkSession) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
-def dealt(spark: SparkSession, table: DataFrame, where: str, files: int | None = None) -> DataFrame:
+def dealt(spark: SparkSession, table: DataFrame, where: str, files: int = 4) -> DataFrame:
     """The table as a stream of several files in no order of time, two files a batch."""
-    files = files or max(8, table.sparkSession.sparkContext.defaultParallelism)
     table.repartition(files, F.xxhash64(*table.columns)).write.parquet(where)
     return jobs.read_changes(spark, where, files_per_batch=2)
 
@@ -163,7 +162,7 @@ def stream_promotion(spark, d):
     fields = written(numbered_scans(spark, d))
     store = promotion.graph_store(spark, f"{where}/graph")
     cards = D.scanned_cards(spark, d)
-    promotion.promotion_stream(dealt(spark, cards, f"{where}/in", 6), fields, store, f"{where}/state").awaitTermination()
+    promotion.promotion_stream(dealt(spark, cards, f"{where}/in"), fields, store, f"{where}/state").awaitTermination()
     promotion.promote_batch(store, cards.limit(100), fields, 1)  # a replay: without effect
     linked = written(promotion.stored_graph(store).cards)
     points = store.read("contact_points").groupBy(F.col("source_card_id").alias("id")).agg(F.count("*").cast("int").alias("n_points"))
