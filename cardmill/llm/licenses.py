@@ -181,6 +181,14 @@ class Templates:
         points = np.concatenate(([0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)))
         starts = points[np.flatnonzero(inside[1:-1] & ~inside[:-2])].tolist()
         ends = points[np.flatnonzero(inside[1:-1] & ~inside[2:]) + 1].tolist()
+        covered: dict[str, tuple[list[int], list[int]]] = {}  # begins and ends of each template's units, overlapping ones as one
+        for u in sorted(units, key=lambda u: u["start"]):
+            begins, stops = covered.setdefault(u["template"], ([], []))
+            if stops and u["start"] <= stops[-1]:
+                stops[-1] = max(stops[-1], u["end"])
+            else:
+                begins.append(u["start"])
+                stops.append(u["end"])
         taken: list[tuple[int, int]] = []  # words of the runs chosen so far, apart from each other, in order
         out = []
         for _, minus, name, a, b in sorted(found):
@@ -195,7 +203,9 @@ class Templates:
                 b += 1
             taken.insert(at, (a, b + 1))
             start, end = starts[a], ends[b + 1]
-            if not any(u["template"] == name and u["start"] < end and start < u["end"] for u in units):
+            begins, stops = covered.get(name, ([], []))
+            before = bisect_left(begins, end) - 1  # the last covered stretch that begins before the run ends
+            if before < 0 or stops[before] <= start:
                 out.append({"template": name, "unit": "run", "start": start, "end": end, "dice": -minus})
         return sorted(out, key=lambda m: m["start"])
 

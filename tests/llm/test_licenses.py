@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 
@@ -125,3 +126,17 @@ def test_every_run_that_matches_overlaps_one_listed(threshold):
                 a, b = at[i][0], at[j][1]
                 if not any(x < b and a < y for x, y in spans):
                     assert max(dice(text[a:b], t) for t in known.values()) < threshold
+
+
+def test_time_grows_with_the_text():
+    templates = licenses._templates(tuple(licenses.TEMPLATES.items()), licenses.DICE)
+    line = next(iter(licenses.TEMPLATES.values())).replace("\n", " ")[:60]
+    notices = [t for t in licenses.TEMPLATES.values() if "\n" not in t][:3] or [line]
+    took = []
+    for n in (500, 4000):
+        text = "\n".join(f"{notices[i % len(notices)]}" for i in range(n))
+        start = time.time()
+        found, _ = templates.scan(text)
+        took.append(time.time() - start)
+        assert found
+    assert took[1] < 24 * max(took[0], 0.05)  # in proportion, not eight times eight
