@@ -21,6 +21,7 @@ PHONE_TYPE = (
     "struct<raw:string,e164:string,valid:boolean,kind:string,operator:string,issue:string,repaired:boolean>"
 )
 
+# What a number may look like in a text and what stands between two.
 # One line of digits and separators. The newline is not a separator: each line is its own block.
 CANDIDATE = rf"[+]?[0-9][0-9{LINE_SPACE}\-.()/]{{5,}}"
 PIECES = rf"[,;/]|[{LINE_SPACE}]+(?:and|&|or)[{LINE_SPACE}]+"

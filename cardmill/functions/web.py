@@ -11,6 +11,7 @@ from cardmill.functions.text import SPACE, keep_first, let, trim
 EMAIL_TYPE = "struct<raw:string,normalized:string,valid:boolean,repaired:boolean,issue:string>"
 SITE_TYPE = "struct<raw:string,url:string,domain:string>"
 
+# The characters and shapes of addresses, sites and hosts.
 _LOCAL = r"A-Za-z0-9._%+\-"
 _HOST = r"[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
 # A match can only begin at the start of a run of local-part characters or where the last one ended;

@@ -24,10 +24,15 @@ from cardmill.operators.fields import keep_first, unassigned_blocks
 from cardmill.operators.ordering import global_position
 from cardmill.session import written
 
+# Lengths of names and titles; type sizes against the largest and against the line above; the gap below a line
+# in sizes of the lower one, and the share of the narrower line that both must cover.
 NAME_LENGTH = 80
 TITLE_LENGTH = 60
 PROMINENT = 0.75
 SUBTITLE_RATIO = 0.75
+MOST_GAP = 0.8
+COVERED = 0.5
+
 # A merge adds a space and at least one letter, so no name of 80 letters has more followers than this.
 LONGEST_STACK = NAME_LENGTH // 2
 # Cards with more free lines than this are ordered across tasks instead of within one.
@@ -198,18 +203,13 @@ def looks_like_company(text: Column, domain: Column) -> Column:
 
 
 def _stacks_under(above: Column, below: Column) -> Column:
-    gap = below["top"] - above["bottom"]
-    overlap = F.least(above["right"], below["right"]) - F.greatest(above["left"], below["left"])
-    narrower = F.least(above["right"] - above["left"], below["right"] - below["left"])
-    return (
-        (below["size"] > 0)
-        & (above["size"] > 0)
-        & (below["size"] <= above["size"] * SUBTITLE_RATIO)
-        & (gap <= below["size"] * 0.8)
-        & (gap >= -below["size"])
-        & (narrower > 0)
-        & (overlap > narrower * 0.5)
-    )
+    """A line in clearly smaller type close under another one, most of the narrower of them in the same columns."""
+    type_size = below["size"]
+    smaller = (type_size > 0) & (type_size <= SUBTITLE_RATIO * above["size"])
+    close = (below["top"] - above["bottom"]).between(-type_size, MOST_GAP * type_size)
+    columns = [line["right"] - line["left"] for line in (above, below)]
+    common = F.least(above["right"], below["right"]) - F.greatest(above["left"], below["left"])
+    return smaller & close & (F.least(*columns) > 0) & (common > COVERED * F.least(*columns))
 
 
 _LINE = "struct<txt:string,left:double,top:double,right:double,bottom:double,conf:double,size:double,open:boolean,indices:array<int>>"
