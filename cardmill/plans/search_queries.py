@@ -64,7 +64,7 @@ def corpus_stats(spark, d):
     f"WITH {_TOKENS} SELECT term, count(DISTINCT subject_id) AS df, count(*) AS cf FROM tokens GROUP BY term",
 )
 def term_stats(spark, d):
-    return lexical.term_stats(lexical.build_postings(subjects(spark, d)))
+    return lexical.text_term_stats(subjects(spark, d))
 
 
 @query(
@@ -355,12 +355,10 @@ def hybrid_search(spark, d):
 )
 def rank_ablation(spark, d):
     """The lexical run against a run that divides each score by the document's length."""
-    docs = subjects(spark, d)
-    scores = lexical.bm25_scores(query_set(spark, d), lexical.build_postings(docs), lexical.doc_stats(docs))
-    divided = scores.join(lexical.doc_stats(docs), "subject_id").select(
-        "query_id", "subject_id", (F.col("score") / F.col("doc_len")).alias("score")
+    rows, asks = written(lexical.texts_by_subject(subjects(spark, d))), query_set(spark, d)
+    return ranking.rank_ablation(
+        lexical.ranked_scan(asks, rows, rows, 50), lexical.ranked_scan(asks, rows, rows, 50, by_length=True)
     )
-    return ranking.rank_ablation(lexical.top_k(scores, 50), lexical.top_k(divided, 50))
 
 
 # --- signals and utility -------------------------------------------------------------------------

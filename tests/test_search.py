@@ -233,3 +233,26 @@ def test_location_takes_the_nearest_place(spark):
     kinds = lambda key, rows: spark.createDataFrame(rows, f"{key} long, category string")
     same = ranking.category_scores(hits, kinds("query_id", [(1, "food"), (2, None)]), kinds("subject_id", [(10, "food"), (11, "books"), (12, None)]))
     assert {(r.query_id, r.subject_id): r.category_match for r in same.collect()} == {(1, 10): 1.0, (1, 11): 0.0, (1, 12): 0.0, (2, 10): 0.0, (3, 10): 0.0}
+
+
+def test_scan_of_texts_equals_stored_index_in_several_query_batches(spark, monkeypatch):
+    texts = [(1, "a a b", "ab"), (2, "a c", ""), (3, None, "b a"), (4, "abc ab b", "b"), (5, "", ""), (6, "c", "a a")]
+    docs = spark.createDataFrame(texts, "subject_id long, card_text string, note_text string")
+    columns = ["card_text", "note_text"]
+    queries = spark.createDataFrame([(7, "a b b"), (8, "ab"), (9, "c zz"), (10, "!")], "query_id long, text string")
+    postings = lexical.build_postings(docs, columns)
+    counts = {(r.subject_id, r.column, r.term): r.tf for r in postings.collect()}
+    assert counts[1, "card_text", "a"] == 2 and counts[6, "note_text", "a"] == 2 and len(counts) == postings.count()
+    assert sorted(map(tuple, lexical.text_term_stats(docs, columns).collect())) == sorted(map(tuple, lexical.term_stats(postings).collect()))
+    rows = lexical.texts_by_subject(docs, columns)
+    want = sorted(map(str, lexical.bm25_topk(queries, postings, lexical.doc_stats(docs, columns), 3).collect()))
+    assert want and want == sorted(map(str, lexical.ranked_scan(queries, rows, rows, 3).collect()))
+    everything = [r for r in lexical.scan_scores(queries, rows, rows).collect()]
+    assert {r.subject_id for r in everything if r.query_id == 7} == {1, 2, 3, 4, 6}
+    assert all(r.score is None for r in everything if r.subject_id == 3)
+    monkeypatch.setattr(lexical, "QUERY_CELLS", 1)
+    monkeypatch.setattr(lexical, "BLOCK_CELLS", 3)
+    assert want == sorted(map(str, lexical.ranked_scan(queries, rows, rows, 3).collect()))
+    # Neither the index nor its statistics shuffle a row per (subject, term).
+    plan = postings._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
