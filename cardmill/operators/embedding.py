@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, LongType, StructField, StructType
 
 from cardmill.functions.text import fold_letters
 from cardmill.session import written
@@ -13,6 +15,10 @@ from cardmill.session import written
 UNKNOWN = "[UNK]"
 CONTINUED = "##"
 LONGEST_WORD = 100
+#: Characters of text whose words meet their vectors in one task, and so many at least if there are cores left.
+BLOCK_CHARS, LEAST_CHARS = 32 << 20, 1 << 20
+#: Vectors that are added up together.
+SUM_ROWS = 1 << 15
 
 _CJK = (
     r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{2A700}-\x{2B73F}"
@@ -35,11 +41,13 @@ def word_pieces(vocabulary_words: DataFrame, tokens: DataFrame) -> DataFrame:
     """(word, pos, token): greedy longest match for each distinct word of ``word``.
 
     A word that is itself a token is done. Of the others every start meets the vocabulary in one
-    equi-join on its candidate substrings; the longest end per start is an aggregate on the same
-    partitioning, and the greedy walk runs over that small map. A word that cannot be covered, or is
-    too long, is one unknown token.
+    equi-join on its candidate substrings, no longer than a token of that kind (beginning or continuation)
+    can be; the longest end per start is an aggregate on the same partitioning, and the greedy walk runs
+    over that small map. A word that cannot be covered, or is too long, is one unknown token.
     """
     longest = tokens.agg(F.max(F.length("token"))).scalar()
+    rest = F.max(F.when(F.col("token").startswith(CONTINUED), F.length("token") - len(CONTINUED)))
+    longest_rest = tokens.agg(F.coalesce(rest, F.lit(0))).scalar()
     known = tokens.select("token")
     size = F.length("word")
     as_token = known.select(F.col("token").alias("word")).withColumn("whole", F.lit(True))
@@ -51,12 +59,11 @@ def word_pieces(vocabulary_words: DataFrame, tokens: DataFrame) -> DataFrame:
     candidates = (
         vocabulary_words.filter(size <= LONGEST_WORD)
         .withColumn("longest", longest)
-        .select("word", "longest", F.explode(F.sequence(F.lit(1), size)).alias("start"))
-        .select(
-            "word",
-            "start",
-            F.explode(F.sequence(F.lit(1), F.least(F.length("word") - F.col("start") + 1, F.col("longest")))).alias("len"),
-        )
+        .withColumn("longest_rest", longest_rest)
+        .select("word", "longest", "longest_rest", F.explode(F.sequence(F.lit(1), size)).alias("start"))
+        .withColumn("most", F.least(size - F.col("start") + 1, F.when(F.col("start") == 1, F.col("longest")).otherwise(F.col("longest_rest"))))
+        .filter("most >= 1")
+        .select("word", "start", F.explode(F.sequence(F.lit(1), F.col("most"))).alias("len"))
         .withColumn(
             "token",
             F.concat(
@@ -65,12 +72,13 @@ def word_pieces(vocabulary_words: DataFrame, tokens: DataFrame) -> DataFrame:
             ),
         )
     )
+    # All (start, len) of a word meet in one shuffle; of those with one start the last is the longest.
+    last = lambda c: F.filter(c, lambda x, i: F.coalesce(F.get(c, i + 1)["start"] != x["start"], F.lit(True)))
     reach = (
         candidates.join(known, "token")
-        .groupBy("word", "start")
-        .agg(F.max("len").alias("len"))
         .groupBy("word")
-        .agg(F.map_from_entries(F.collect_list(F.struct("start", "len"))).alias("reach"))
+        .agg(F.array_sort(F.collect_list(F.struct("start", "len"))).alias("ends"))
+        .select("word", F.map_from_entries(last(F.col("ends"))).alias("reach"))
     )
     state = "struct<next:int,starts:array<int>>"
     walk = F.aggregate(
@@ -104,35 +112,73 @@ def tokenize(df: DataFrame, tokens: DataFrame, key: str = "subject_id", text: st
     return spoken.join(pieces.withColumnRenamed("pos", "piece"), "word").select(key, "position", "piece", "token")
 
 
+def _block_means(key: str, dim: int):
+    """Of one block of texts (key, words), the spelling of its words and the vectors of their tokens: the mean per key."""
+
+    def run(texts: pa.Table, needed: pa.Table) -> pa.Table:
+        needed = needed.combine_chunks()
+        known = needed.filter(pc.is_valid(needed["token"]))
+        rows = {t: i for i, t in enumerate(known["token"].to_pylist())}
+        table = np.zeros((len(rows) + 1, dim))  # the last row: a token without a vector
+        if rows:
+            table[:-1] = pc.list_flatten(known["vector"]).to_numpy().astype(np.float64).reshape(-1, dim)
+        spelled = needed.filter(pc.is_valid(needed["word"]))
+        at = {w: i for i, w in enumerate(spelled["word"].to_pylist())}
+        pieces = pc.list_value_length(spelled["tokens"]).to_numpy()
+        token = np.array([rows.get(t, len(rows)) for t in pc.list_flatten(spelled["tokens"]).to_pylist()], np.int64)
+        first = np.concatenate([[0], pieces.cumsum()])
+        by_word = np.zeros((len(at), dim))
+        for low in range(0, len(at), SUM_ROWS):
+            high = min(len(at), low + SUM_ROWS)
+            by_word[low:high] = np.add.reduceat(table[token[first[low] : first[high]]], first[low:high] - first[low])
+        keys = texts[key].to_pylist()
+        seen: dict[str, int] = {}
+        owner = np.array([seen.setdefault(repr(k), len(seen)) for k in keys], np.int64)
+        sizes = pc.fill_null(pc.list_value_length(texts["words"]), 0).to_numpy()
+        said = pc.list_flatten(texts["words"]).combine_chunks().dictionary_encode()
+        codes = np.array([at[w] for w in said.dictionary.to_pylist()], np.int64)[said.indices.to_numpy()]
+        cells, times = np.unique(np.repeat(owner, sizes) * max(1, len(at)) + codes, return_counts=True)
+        who, word = np.divmod(cells, max(1, len(at)))
+        total, n_tokens = np.zeros((len(seen), dim)), np.zeros(len(seen), np.int64)
+        for low in range(0, len(who), SUM_ROWS):
+            part, w, n = who[low : low + SUM_ROWS], word[low : low + SUM_ROWS], times[low : low + SUM_ROWS]
+            new = np.flatnonzero(np.diff(part, prepend=-1))
+            total[part[new]] += np.add.reduceat(by_word[w] * n[:, None], new)
+            n_tokens[part[new]] += np.add.reduceat(n * pieces[w], new)
+        norm = np.sqrt((total * total).sum(axis=1))
+        kept = np.flatnonzero(norm > 0)
+        unit = (total[kept] / norm[kept, None]).astype(np.float32)
+        originals = np.unique(owner, return_index=True)[1][kept]
+        vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(kept) + 1) * dim, pa.int32()), pa.array(unit.ravel()))
+        return pa.table({key: texts[key].take(pa.array(originals)), "vector": vectors, "n_tokens": pa.array(n_tokens[kept])})
+
+    return run
+
+
 def token_mean_vectors(
     df: DataFrame, token_vectors: DataFrame, key: str = "subject_id", text: str = "text"
 ) -> DataFrame:
     """(key, vector, n_tokens): mean of token vectors scaled to unit length; no tokens, no row.
 
-    Vectors are summed per distinct word first, so the wide join and the sum per document run on
-    (document, word) counts instead of on token occurrences.
+    Texts are dealt by key to blocks of bounded size. A block gets the spelling of each of its words and the vector of each
+    of their tokens once, and sums them where the texts are: no vector travels per (document, word).
     """
-    spoken = written(
-        df.select(key, F.explode(words(F.col(text))).alias("word")).groupBy(key, "word").agg(F.count("*").alias("n"))
-    )
-    pieces = word_pieces(spoken.select("word").distinct(), token_vectors.select("token"))
-    as_double = F.transform("vector", lambda x: x.cast("double"))
-    per_word = (
-        pieces.join(token_vectors.select("token", array_to_vector(as_double).alias("v")), "token", "left")
-        .groupBy("word")
-        .agg(Summarizer.sum(F.col("v")).alias("v"), F.count("*").alias("pieces"))
-    )
-    unit = F.transform("total", lambda x: (x / F.col("norm")).cast("float"))
+    facts = df.agg(F.sum(F.length(text).cast("long"))).first()
+    size, cores = facts[0] or 0, df.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, -(-size // BLOCK_CHARS), min(cores, size // LEAST_CHARS))
+    dim = token_vectors.agg(F.max(F.size("vector"))).first()[0] or 0
+    dealt = df.select(key, F.col(text).alias("_text"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block"))
+    met = written(dealt.select("block", F.explode(words(F.col("_text"))).alias("word")).distinct())
+    pieces = word_pieces(met.select("word").distinct(), token_vectors.select("token"))
+    spelled = written(met.join(pieces.groupBy("word").agg(F.collect_list("token").alias("tokens")), "word").select("block", "word", "tokens"))
+    usable = token_vectors.filter(F.size("vector") == dim).select("token", F.col("vector").cast("array<float>").alias("vector"))
+    needed = spelled.select("block", F.explode("tokens").alias("token")).distinct().join(usable, "token").select("block", "token", "vector")
+    texts = dealt.repartition(blocks, "block").select("block", key, words(F.col("_text")).alias("words"))
+    schema = StructType([df.schema[key], StructField("vector", ArrayType(FloatType())), StructField("n_tokens", LongType())])
     return (
-        spoken.join(per_word, "word")
-        .groupBy(key)
-        .agg(
-            vector_to_array(Summarizer.sum(F.col("v"), F.col("n").cast("double"))).alias("total"),
-            F.sum(F.col("n") * F.col("pieces")).alias("n_tokens"),
-        )
-        .withColumn("norm", F.sqrt(F.aggregate("total", F.lit(0.0), lambda s, x: s + x * x)))
-        .filter(F.col("norm") > 0)
-        .select(key, unit.alias("vector"), "n_tokens")
+        texts.groupBy("block")
+        .cogroup(spelled.unionByName(needed, allowMissingColumns=True).groupBy("block"))
+        .applyInArrow(_block_means(key, dim), schema)
     )
 
 

@@ -256,3 +256,28 @@ def test_scan_of_texts_equals_stored_index_in_several_query_batches(spark, monke
     # Neither the index nor its statistics shuffle a row per (subject, term).
     plan = postings._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_mean_vectors_in_blocks_shuffle_no_vector_per_document_and_word(spark, monkeypatch):
+    rng = random.Random(8)
+    pieces = ["[UNK]", "a", "b", "ab", "##a", "##b", "##ba", "c"]
+    tokens = spark.createDataFrame([(t, [rng.uniform(-1, 1) for _ in range(5)]) for t in pieces], "token string, vector array<float>")
+    spoken = [" ".join("".join(rng.choice("abcd") for _ in range(rng.randrange(1, 5))) for _ in range(rng.randrange(12))) for _ in range(60)]
+    texts = [(i % 55, t) for i, t in enumerate(spoken)] + [(90, None), (91, ""), (92, "a" * 101), (93, "cc ! ́")]
+    df = spark.createDataFrame(texts, "subject_id long, text string")
+    vectors = {r.token: r.vector for r in tokens.collect()}
+    want: dict[int, list] = {}
+    for r in embedding.tokenize(df, tokens).collect():
+        want.setdefault(r.subject_id, []).append(vectors[r.token])
+    for chars, rows in ((16 << 20, 1 << 15), (40, 3)):
+        monkeypatch.setattr(embedding, "BLOCK_CHARS", chars)
+        monkeypatch.setattr(embedding, "SUM_ROWS", rows)
+        made = embedding.token_mean_vectors(df, tokens)
+        got = {r.subject_id: r for r in made.collect()}
+        assert got.keys() == want.keys() and made.count() == len(want)
+        for k, vs in want.items():
+            total = [sum(x) for x in zip(*vs)]
+            norm = math.sqrt(sum(x * x for x in total))
+            assert got[k].n_tokens == len(vs) and all(abs(x / norm - y) < 1e-6 for x, y in zip(total, got[k].vector))
+    # Vectors meet the texts by block: nothing is summed after a join per (document, word).
+    assert "Summarizer" not in (plan := made._jdf.queryExecution().optimizedPlan().toString()) and "aggregate_metrics" not in plan
