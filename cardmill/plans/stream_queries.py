@@ -35,10 +35,15 @@ def scratch(spark: SparkSession) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
+#: Rows of a file of a stream: what one task reads does not grow with the table.
+ROWS_PER_FILE = 100_000
+
+
 def dealt(spark: SparkSession, table: DataFrame, where: str, files: int = 4) -> DataFrame:
-    """The table as a stream of several files in no order of time, two files a batch."""
+    """The table as a stream of ``files`` files in no order of time, or of more if they grow large; half of them a batch."""
+    files = max(files, 2 * -(-table.count() // (2 * ROWS_PER_FILE)))
     table.repartition(files, F.xxhash64(*table.columns)).write.parquet(where)
-    return jobs.read_changes(spark, where, files_per_batch=2)
+    return jobs.read_changes(spark, where, files_per_batch=files // 2)
 
 
 def event_stream(spark: SparkSession, d: str, where: str) -> DataFrame:

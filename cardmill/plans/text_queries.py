@@ -14,7 +14,7 @@ from cardmill.functions.scoring import cer, freshness
 from cardmill.operators import contacts, cues
 from cardmill.operators.resolve import duplicate_page, name_creations
 from cardmill.plans import sql as S
-from cardmill.sources.tables import read_input
+from cardmill.sources.tables import read_input, spread
 
 QUERIES = {}
 ORACLES = {}
@@ -102,7 +102,7 @@ _PHONE_SPELLINGS = [
 def spelled_phones(spark: SparkSession, d: str) -> DataFrame:
     """Five spellings of a number per customer: clean, misread, foreign, too short, Bengali digits."""
     key = F.col("c_custkey").cast("string")
-    return read_input(spark, d, "customer").select(
+    return spread(read_input(spark, d, "customer")).select(
         "c_custkey", F.posexplode(F.array(*[f(key) for _, f in _PHONE_SPELLINGS])).alias("spelling", "value")
     )
 

@@ -175,3 +175,10 @@ def test_vcard_text(spark):
         "BEGIN:VCARD\r\nVERSION:3.0\r\nFN:Target Center\r\nN:Center;Target;;;\r\nORG:Target Center\r\n"
         "ADR;TYPE=WORK:;;Target Center;;;;\r\nNOTE:x\\ny\r\nEND:VCARD\r\n"
     )
+
+
+def test_spelled_phones_are_read_on_all_cores(spark, tmp_path):
+    from cardmill.plans import text_queries
+
+    spark.range(40).select(F.col("id").alias("c_custkey")).coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    assert text_queries.spelled_phones(spark, str(tmp_path)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism

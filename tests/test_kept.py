@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cardmill.operators import graph
 from cardmill.operators.lexical import bm25_topk, build_postings, doc_stats
 from cardmill.operators.embedding import token_mean_vectors
+from cardmill.plans import stream_queries
 from cardmill.streaming import feedback, jobs, lists, search_index
 
 CARD = "id long, captured_at timestamp, deleted_at timestamp, person_id long, org_id long, stamp long"
@@ -115,3 +116,14 @@ def test_index_equals_indexing_the_newest_texts(spark, tmp_path):
     left = {r[0] for r in list(newest.values())[4:]}
     for table in store.keys:
         assert {r["subject_id"] for r in store.read(table).collect()} <= left
+
+
+def test_stream_files_grow_in_number_and_batches_stay_two(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stream_queries, "ROWS_PER_FILE", 20)
+    rows = spark.range(190).withColumn("x", F.lit("y"))
+    seen = []
+    changes = stream_queries.dealt(spark, rows, str(tmp_path / "in"))
+    writer = changes.writeStream.foreachBatch(lambda df, i: seen.append(df.count()))
+    writer.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    assert len(seen) == 2 and sum(seen) == 190
+    assert len(spark.read.parquet(str(tmp_path / "in")).inputFiles()) == 10
