@@ -17,6 +17,8 @@ LINE_SPACE = (
     r"\t\x0B\f\r \x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 )
 SPACE = r"\n" + LINE_SPACE
+#: SPACE as characters: cutting them off the ends needs no expression.
+SPACE_CHARS = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 NOT_LETTER_OR_DIGIT = r"[^\p{L}\p{N}]+"
 
 
@@ -26,7 +28,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def trim(col: Column) -> Column:
-    return F.regexp_replace(col, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(col, F.lit(SPACE_CHARS))
 
 
 def blank_to_null(col: Column) -> Column:

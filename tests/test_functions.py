@@ -1,5 +1,7 @@
 """Golden values for the column functions."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -182,3 +184,14 @@ def test_spelled_phones_are_read_on_all_cores(spark, tmp_path):
 
     spark.range(40).select(F.col("id").alias("c_custkey")).coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
     assert text_queries.spelled_phones(spark, str(tmp_path)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_trim_without_an_expression_equals_the_expression(spark):
+    rng = random.Random(4)
+    signs = [*T.SPACE_CHARS, "a", "​", "é", "\U0001F600"]
+    assert len(T.SPACE_CHARS) == 26
+    texts = [None, "", *["".join(rng.choice(signs) for _ in range(rng.randrange(9))) for _ in range(800)]]
+    pattern = f"^[{T.SPACE}]+|[{T.SPACE}]+$"
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert df.filter(~T.trim(F.col("t")).eqNullSafe(F.regexp_replace("t", pattern, ""))).isEmpty()
+    assert "regexp" not in df.select(T.trim(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
