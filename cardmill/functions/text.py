@@ -178,9 +178,12 @@ def initials(col: Column) -> Column:
 def parse_rect(col: Column) -> Column:
     """'l,t,r,b' -> struct; null unless it is exactly four numbers."""
     numbers = F.transform(F.split(col, ","), lambda p: trim(p).try_cast("double"))
-    return F.when(
-        (F.size(numbers) == 4) & F.forall(numbers, lambda n: n.isNotNull()),
-        F.struct(*[numbers.getItem(i).alias(s) for i, s in enumerate(["left", "top", "right", "bottom"])]),
+    return let(
+        numbers,
+        lambda n: F.when(
+            (F.size(n) == 4) & F.forall(n, lambda x: x.isNotNull()),
+            F.struct(*[n.getItem(i).alias(s) for i, s in enumerate(["left", "top", "right", "bottom"])]),
+        ),
     )
 
 

@@ -195,3 +195,10 @@ def test_trim_without_an_expression_equals_the_expression(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert df.filter(~T.trim(F.col("t")).eqNullSafe(F.regexp_replace("t", pattern, ""))).isEmpty()
     assert "regexp" not in df.select(T.trim(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_parse_rect_reads_its_numbers_once(spark):
+    df = spark.createDataFrame([("1, 2,3 ,4.5",), ("1,2,3",), ("1,2,x,4",), ("",), (None,), ("1,2,3,4,5",)], "t string")
+    made = df.select(T.parse_rect(F.col("t")).alias("r"))
+    assert [r.r and tuple(r.r) for r in made.collect()] == [(1.0, 2.0, 3.0, 4.5), None, None, None, None, None]
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
