@@ -20,7 +20,7 @@ STREAM = "texts"
 
 
 def index_store(spark: SparkSession, path: str) -> Segments:
-    """postings, lengths (with the stamp of the newest change) and vectors, all by subject."""
+    """postings, lengths (with the stamp of the newest change, and whether it took the subject out) and vectors, all by subject."""
     return Segments(spark, path, {"postings": ["subject_id"], "lengths": ["subject_id"], "vectors": ["subject_id"]})
 
 
@@ -50,9 +50,9 @@ def index_changes(
         newest = newest.join(known, "subject_id", "left").filter(F.col("_stamp").isNull() | (F.col("stamp") >= F.col("_stamp")))
     newest = written(newest.withColumn("gone", F.coalesce("gone", F.lit(False))).select("subject_id", "stamp", "gone", *columns))
     texts = newest.filter(~F.col("gone"))
-    stamps = newest.select("subject_id", "stamp").join(doc_stats(texts, columns), "subject_id", "left")
+    stamps = newest.select("subject_id", "stamp", "gone").join(doc_stats(texts, columns), "subject_id", "left")
     touched = newest.select("subject_id")
-    changed = {"postings": (build_postings(texts, columns), touched), "lengths": (stamps.select("subject_id", "doc_len", "stamp"), touched)}
+    changed = {"postings": (build_postings(texts, columns), touched), "lengths": (stamps.select("subject_id", "doc_len", "stamp", "gone"), touched)}
     if token_vectors is not None:
         text = F.col(vector_text) if vector_text else F.concat_ws(" ", *columns)
         vectors = token_mean_vectors(texts.select("subject_id", text.alias("text")), token_vectors, "subject_id")
@@ -88,7 +88,7 @@ def remove_subjects(store: Segments, ids: DataFrame, stream: str, batch_id: int)
 
 def stored_lexical_arm(queries: DataFrame, store: Segments, k: int | None = fixed.ARM_LIMIT) -> DataFrame:
     """BM25 over the stored postings; lengths of empty texts count, subjects that are gone do not."""
-    lengths = store.read("lengths").filter(F.col("doc_len").isNotNull()).select("subject_id", "doc_len")
+    lengths = store.read("lengths").filter(~F.col("gone")).select("subject_id", "doc_len")
     return bm25_topk(queries, store.read("postings"), lengths, k)
 
 
