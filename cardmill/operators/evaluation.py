@@ -15,7 +15,10 @@ def comparable(col: Column) -> Column:
 
 
 def scored_cards(results: DataFrame, labels: DataFrame) -> DataFrame:
-    """Results that have a label, with their buckets: everything, and latin or bengali (mixed is bengali)."""
+    """Results that have a label, with their buckets: everything, and latin or bengali (mixed is bengali).
+
+    An image has one label and many results, which are wide: a task holds its labels, results stream past unsorted.
+    """
     wanted = labels.select(
         "image",
         F.coalesce(F.lower("script"), F.lit("latin")).alias("script"),
@@ -23,7 +26,7 @@ def scored_cards(results: DataFrame, labels: DataFrame) -> DataFrame:
         F.col("fields").alias("want"),
     )
     bucket = F.when(F.col("script") == "latin", "latin").otherwise("bengali")
-    return results.join(wanted, "image").withColumn("buckets", F.array(F.lit("all"), bucket))
+    return results.join(wanted.hint("shuffle_hash"), "image").withColumn("buckets", F.array(F.lit("all"), bucket))
 
 
 def unlabelled(results: DataFrame, labels: DataFrame) -> DataFrame:
@@ -68,13 +71,15 @@ def field_scores(results: DataFrame, labels: DataFrame) -> DataFrame:
         .select("engine", "buckets", "want", "got", F.explode(keys).alias("field_key"))
         .select(
             "engine",
-            F.explode("buckets").alias("bucket"),
+            "buckets",
             "field_key",
             F.try_element_at("want", F.col("field_key")).alias("expected"),
             F.try_element_at("got", F.col("field_key")).alias("actual"),
         )
     )
-    return prf(confusion(pairs, "engine", "bucket", "field_key"))
+    # Values are compared once; what falls in several buckets is added up from the counts.
+    counts = confusion(pairs, "engine", "buckets", "field_key").withColumn("bucket", F.explode("buckets"))
+    return prf(counts.groupBy("engine", "bucket", "field_key").agg(*[F.sum(n).alias(n) for n in ("tp", "fp", "fn")]))
 
 
 def weighted_f1(scores: DataFrame, *group: str) -> DataFrame:

@@ -50,6 +50,17 @@ def test_eval_files_to_report(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "out")).count() == 2
 
 
+def test_field_scores_sort_no_results(spark):
+    """A task holds the labels alone, and a value in two buckets is compared once."""
+    r = spark.createDataFrame([("a", "e", {"k": "v"}), ("a", "f", {"k": "w"}), ("b", "e", {"k": "V "})], "image string, engine string, fields map<string,string>")
+    l = spark.createDataFrame([("a", None, None, {"k": "v"}), ("b", "x", None, {"k": "v"})], "image string, script string, raw_text string, fields map<string,string>")
+    scores = evaluation.field_scores(r, l)
+    got = {(x.engine, x.bucket): (x.tp, x.fp, x.fn) for x in scores.collect()}
+    assert got == {("e", "all"): (2, 0, 0), ("e", "latin"): (1, 0, 0), ("e", "bengali"): (1, 0, 0), ("f", "all"): (0, 1, 1), ("f", "latin"): (0, 1, 1)}
+    plan = scores._jdf.queryExecution().sparkPlan().toString()
+    assert "ShuffledHashJoin" in plan and "Sort" not in plan
+
+
 @pytest.mark.parametrize("values", [[5], [1, 2, 3, 4, 5, 6, 7, 8, 9, 10], [7, 7, 7, 1], list(range(0, 997, 3)) * 3, [0.5, 100.25, 3.0]])
 def test_nearest_percentile(spark, values):
     df = spark.createDataFrame([("e", float(v)) for v in values], "g string, v double")
