@@ -159,16 +159,11 @@ def ranking_signals(
 PLACE_LEVELS = (("area", 1.0), ("city", 0.6), ("country", 0.3))
 
 
-def location_scores(hits: DataFrame, askers: DataFrame, places: DataFrame) -> DataFrame:
-    """(query_id, subject_id, location) of every hit: how close the subject's nearest place is to where the asker is.
-
-    ``askers`` has one row per query_id, ``places`` any number per subject_id, both with area, city and country, each of
-    which may be missing. A level counts only if the levels around it do not disagree: an area is its city's and country's.
-    No place is 0. Places meet hits by their key, so the work grows with the hits and their places, not with all pairs.
-    """
+def _located(hits: DataFrame, askers: DataFrame, places: DataFrame) -> DataFrame:
+    """Hits once per place of their subject, or once without any, with what that place is worth as ``_near``."""
     levels = [name for name, _ in PLACE_LEVELS]
     here = askers.select("query_id", *[F.col(c).alias(f"_{c}") for c in levels])
-    met = hits.select("query_id", "subject_id").distinct().join(here, "query_id").join(places.select("subject_id", *levels), "subject_id")
+    met = hits.join(here, "query_id", "left").join(places.select("subject_id", *levels), "subject_id", "left")
     same = {c: F.lower(F.col(c)) == F.lower(F.col(f"_{c}")) for c in levels}
     score = F.lit(0.0)
     for i in reversed(range(len(levels))):
@@ -177,18 +172,38 @@ def location_scores(hits: DataFrame, askers: DataFrame, places: DataFrame) -> Da
         for w in wider:
             agrees = agrees & w
         score = F.when(agrees, F.lit(PLACE_LEVELS[i][1])).otherwise(score)
-    near = met.groupBy("query_id", "subject_id").agg(F.max(score).alias("location"))
-    found = hits.select("query_id", "subject_id").distinct().join(near, ["query_id", "subject_id"], "left")
-    return found.select("query_id", "subject_id", F.coalesce("location", F.lit(0.0)).alias("location"))
+    return met.select(*hits.columns, score.alias("_near"))
 
 
-def category_scores(hits: DataFrame, asked: DataFrame, offered: DataFrame) -> DataFrame:
-    """(query_id, subject_id, category_match) of every hit: 1 if what is asked for and what is offered fall in one category."""
+def _compared(hits: DataFrame, asked: DataFrame, offered: DataFrame) -> DataFrame:
+    """Hits with ``_alike``: 1 if what is asked for and what is offered fall in one category."""
     wanted = asked.select("query_id", F.col("category").alias("_wanted"))
-    found = hits.select("query_id", "subject_id").distinct().join(wanted, "query_id", "left")
-    found = found.join(offered.select("subject_id", "category"), "subject_id", "left")
+    found = hits.join(wanted, "query_id", "left").join(offered.select("subject_id", "category"), "subject_id", "left")
     match = F.coalesce((F.col("category") == F.col("_wanted")).cast("double"), F.lit(0.0))
-    return found.groupBy("query_id", "subject_id").agg(F.max(match).alias("category_match"))
+    return found.select(*hits.columns, match.alias("_alike"))
+
+
+def location_scores(hits: DataFrame, askers: DataFrame, places: DataFrame) -> DataFrame:
+    """(query_id, subject_id, location) of every hit: how close the subject's nearest place is to where the asker is.
+
+    ``askers`` has one row per query_id, ``places`` any number per subject_id, both with area, city and country, each of
+    which may be missing. A level counts only if the levels around it do not disagree: an area is its city's and country's.
+    No place is 0. Places meet hits by their key, so the work grows with the hits and their places, not with all pairs.
+    """
+    met = _located(hits.select("query_id", "subject_id"), askers, places)
+    return met.groupBy("query_id", "subject_id").agg(F.max("_near").alias("location"))
+
+
+def category_scores(hits: DataFrame, asked: DataFrame, offered: DataFrame) -> DataFrame:
+    """(query_id, subject_id, category_match) of every hit: 1 if what is asked for and what is offered fall in one category."""
+    found = _compared(hits.select("query_id", "subject_id"), asked, offered)
+    return found.groupBy("query_id", "subject_id").agg(F.max("_alike").alias("category_match"))
+
+
+def place_and_category(hits: DataFrame, askers: DataFrame, places: DataFrame, asked: DataFrame, offered: DataFrame) -> DataFrame:
+    """``location`` and ``category_match`` of every hit, grouped once for both instead of joined by hit."""
+    found = _compared(_located(hits.select("query_id", "subject_id"), askers, places), asked, offered)
+    return found.groupBy("query_id", "subject_id").agg(F.max("_near").alias("location"), F.max("_alike").alias("category_match"))
 
 
 def rank_ablation(run_a: DataFrame, run_b: DataFrame) -> DataFrame:

@@ -452,9 +452,8 @@ def place_signals(spark, d):
     s = s.withColumn("n_nationkey", F.explode(F.array_distinct(F.array("s_nationkey", F.pmod(F.col("s_nationkey") + F.col("s_suppkey"), F.lit(25)).cast("int")))))
     places = s.join(nations, "n_nationkey").select(F.col("s_suppkey").alias("subject_id"), F.lower(area("s_suppkey")).alias("area"), "city", "country")
     kinds = written(cues.classify_cues(read_input(spark, d, "documents"), "doc_id", "text"))
-    near = ranking.location_scores(hits, askers, places)
-    alike = ranking.category_scores(hits, kinds.withColumnRenamed("doc_id", "query_id"), kinds.withColumnRenamed("doc_id", "subject_id"))
-    return near.join(alike, ["query_id", "subject_id"])
+    asked, offered = (kinds.withColumnRenamed("doc_id", key) for key in ("query_id", "subject_id"))
+    return ranking.place_and_category(hits, askers, places, asked, offered)
 
 
 @query("utility_rank", f"SELECT subject_id, round(least(1, greatest(0, raw)), 6) AS utility FROM {_WEIGHTED}")

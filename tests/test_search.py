@@ -235,6 +235,20 @@ def test_location_takes_the_nearest_place(spark):
     assert {(r.query_id, r.subject_id): r.category_match for r in same.collect()} == {(1, 10): 1.0, (1, 11): 0.0, (1, 12): 0.0, (2, 10): 0.0, (3, 10): 0.0}
 
 
+def test_place_and_category_are_grouped_once(spark):
+    from cardmill.operators import ranking
+
+    table = lambda rows, names: spark.createDataFrame(rows, names)
+    hits = table([(1, 10), (1, 11), (2, 12), (1, 10)], "query_id long, subject_id long")
+    askers = table([(1, "North", "Dhaka", "BD")], "query_id long, area string, city string, country string")
+    places = table([(10, None, "Dhaka", "BD"), (10, "north", "Dhaka", "BD")], "subject_id long, area string, city string, country string")
+    asked, offered = table([(1, "food")], "query_id long, category string"), table([(11, "food"), (11, "books")], "subject_id long, category string")
+    both = ranking.place_and_category(hits, askers, places, asked, offered)
+    assert {tuple(r) for r in both.collect()} == {(1, 10, 1.0, 0.0), (1, 11, 0.0, 1.0), (2, 12, 0.0, 0.0)}
+    plan = both._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 4 and plan.count("Aggregate") == 1
+
+
 def test_scan_of_texts_equals_stored_index_in_several_query_batches(spark, monkeypatch):
     texts = [(1, "a a b", "ab"), (2, "a c", ""), (3, None, "b a"), (4, "abc ab b", "b"), (5, "", ""), (6, "c", "a a")]
     docs = spark.createDataFrame(texts, "subject_id long, card_text string, note_text string")
