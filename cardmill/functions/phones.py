@@ -128,9 +128,9 @@ def phone_key(phone: Column) -> Column:
 
 def phones(text: Column) -> Column:
     """All distinct numbers of a text in order of appearance."""
-    pieces = F.flatten(
-        F.transform(F.regexp_extract_all(to_latin(text), F.lit(CANDIDATE), F.lit(0)), lambda c: F.split(c, PIECES))
-    )
+    found = F.regexp_extract_all(to_latin(text), F.lit(CANDIDATE), F.lit(0))
+    numbered = F.when(~text.rlike(f"[0-9{fixed.BENGALI_DIGITS}]"), F.array().cast("array<string>")).otherwise(found)
+    pieces = F.flatten(F.transform(numbered, lambda c: F.split(c, PIECES)))
     parsed = F.filter(F.transform(pieces, phone_struct), lambda p: p.isNotNull())
     return keep_first(parsed, phone_key, PHONE_TYPE)
 

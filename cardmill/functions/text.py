@@ -43,7 +43,7 @@ def collapse_space(col: Column) -> Column:
 
 
 def to_latin(col: Column) -> Column:
-    return F.translate(col, fixed.BENGALI_DIGITS, fixed.LATIN_DIGITS)
+    return F.when(has_bengali_digits(col), F.translate(col, fixed.BENGALI_DIGITS, fixed.LATIN_DIGITS)).otherwise(col)
 
 
 def has_bengali_digits(col: Column) -> Column:
@@ -117,19 +117,47 @@ def any_word_pattern(words: Iterable[str]) -> str:
     return "(?:^|[^a-z0-9])(?:" + "|".join(re.escape(w).replace("\\ ", " ") for w in words) + ")(?:[^a-z0-9]|$)"
 
 
+def word_tree(words: Iterable[str]) -> str:
+    """The alternatives ``words`` by common beginnings: a place in a text is tried once per letter, not once per word."""
+    tree: dict = {}
+    for word in words:
+        node = tree
+        for char in word:
+            node = node.setdefault(char, {})
+        node[""] = {}
+
+    def pattern(node: dict) -> str:
+        ways = [re.escape(char).replace("\\ ", " ") + pattern(below) for char, below in sorted(node.items()) if char]
+        if len(ways) == 1 and "" not in node:
+            return ways[0]
+        return f"(?:{'|'.join(ways)}){'?' if '' in node else ''}" if ways else ""
+
+    return pattern(tree)
+
+
+def first_letters(words: Iterable[str]) -> str:
+    return "[" + "".join(re.escape(c) for c in sorted({word[0] for word in words})) + "]"
+
+
 def contains_word(col: Column, words: Iterable[str]) -> Column:
-    return F.lower(col).rlike(any_word_pattern(words))
+    """``any_word_pattern`` finds something; a space in front of the text stands for its start."""
+    words = list(words)
+    pattern = f"[^a-z0-9](?={first_letters(words)}){word_tree(words)}(?![a-z0-9])"
+    return F.concat(F.lit(" "), F.lower(col)).rlike(pattern)
 
 
 NUMBERED_UNIT = (
-    "(?i)(?<![A-Za-z0-9_])(?:" + "|".join(fixed.UNIT_WORDS) + ")(?![A-Za-z0-9_])"
+    f"(?i)(?={first_letters(fixed.UNIT_WORDS)})(?<![A-Za-z0-9_]){word_tree(fixed.UNIT_WORDS)}(?![A-Za-z0-9_])"
     rf"\.?[{SPACE}]*(?:no(?![A-Za-z0-9_])\.?)?[{SPACE}]*[:#.\-]?[{SPACE}]*[0-9]"
 )
 POSTCODE = rf"[A-Za-z][{SPACE}]*-[{SPACE}]*[0-9]{{4}}(?![A-Za-z0-9_])"
+#: What every post code holds and few texts do; found without trying each letter.
+DASH_DIGITS = rf"-[{SPACE}]*[0-9]{{4}}"
 
 
 def looks_like_address(col: Column) -> Column:
-    return contains_word(col, fixed.ADDRESS_WORDS) | col.rlike(NUMBERED_UNIT) | col.rlike(POSTCODE)
+    numbered = col.rlike("[0-9]") & (col.rlike(NUMBERED_UNIT) | (col.rlike(DASH_DIGITS) & col.rlike(POSTCODE)))
+    return contains_word(col, fixed.ADDRESS_WORDS) | numbered
 
 
 def matches_domain(text: Column, domain: Column) -> Column:

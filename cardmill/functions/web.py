@@ -46,11 +46,15 @@ def _email(raw: Column, address: Column, repaired: bool) -> Column:
     )
 
 
+#: A dot inside a host: every host holds one, and sentences do not.
+INNER_DOT = r"\.[A-Za-z0-9\-]"
+
+
 def _may_be_misread(text: Column) -> Column:
     """Cheap test that spares most texts the slow pattern."""
     low = F.lower(text)
     sign = low.contains("(a)") | low.contains("[at]") | low.contains("{at}") | low.contains("©") | low.contains("@")
-    return sign | low.rlike(f"[{SPACE}]at[{SPACE}]")
+    return text.rlike(INNER_DOT) & (sign | low.rlike(f"[{SPACE}]at[{SPACE}]"))
 
 
 def emails(text: Column) -> Column:
@@ -103,7 +107,7 @@ def websites(text: Column) -> Column:
 
     rest = F.when(text.contains("@"), F.regexp_replace(text, EMAIL, " ")).otherwise(text)
     dotted = let(rest, without_mail)
-    return F.when(text.contains("."), dotted).otherwise(F.array().cast(f"array<{SITE_TYPE}>"))
+    return F.when(text.rlike(INNER_DOT), dotted).otherwise(F.array().cast(f"array<{SITE_TYPE}>"))
 
 
 def email_domain(email: Column) -> Column:

@@ -202,3 +202,17 @@ def test_parse_rect_reads_its_numbers_once(spark):
     made = df.select(T.parse_rect(F.col("t")).alias("r"))
     assert [r.r and tuple(r.r) for r in made.collect()] == [(1.0, 2.0, 3.0, 4.5), None, None, None, None, None]
     assert made._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
+def test_words_by_common_beginnings(spark):
+    """The tree of words and the guards in front of slow patterns find what the plain patterns find."""
+    rng = random.Random(12)
+    words = ["co", "co.", "co-founder", "corp", "house", "managing director", "rd."]
+    parts = [*words, "CO", "House", "x", "7", "1205", "shop", "Shop No", " ", "\n", ".", "-", ":", "_", "\u00a0", "Dhaka", "é", "@", "at", "a.bd", "www.", "০১৭"]
+    texts = [None, "", *["".join(rng.choice(parts) for _ in range(rng.randrange(8))) for _ in range(1500)]]
+    units = "(?i)(?<![A-Za-z0-9_])(?:" + "|".join(T.fixed.UNIT_WORDS) + ")(?![A-Za-z0-9_])" + T.NUMBERED_UNIT.split("(?![A-Za-z0-9_])", 1)[1]
+    plain = lambda c: F.lower(c).rlike(T.any_word_pattern(T.fixed.ADDRESS_WORDS)) | c.rlike(units) | c.rlike(T.POSTCODE)
+    assert values(spark, texts, lambda c: T.contains_word(c, words)) == values(spark, texts, lambda c: F.lower(c).rlike(T.any_word_pattern(words)))
+    assert values(spark, texts, T.looks_like_address) == values(spark, texts, plain)
+    assert values(spark, texts, T.to_latin) == values(spark, texts, lambda c: F.translate(c, T.fixed.BENGALI_DIGITS, T.fixed.LATIN_DIGITS))
+    assert T.word_tree(["co", "co.", "corp", "rd."]) == "(?:co(?:\\.|rp)?|rd\\.)"
