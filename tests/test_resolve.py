@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from cardmill.operators import resolve
 from cardmill.operators.ordering import global_position, position_in_group
 from cardmill.operators.resolve import duplicate_page, name_creations, resolve_orgs, resolve_people
 
@@ -144,3 +145,48 @@ def test_positions_over_chunks(spark):
     assert got.filter(F.col("p") != F.floor(F.col("id") / 3) + 1).count() == 0
     ranked = global_position(df.repartition(5), [F.desc("id")], "p")
     assert ranked.filter(F.col("p") != 999 - F.col("id")).count() == 0 and ranked.count() == 1000
+
+
+def jobs_of(spark, run):
+    """The result of ``run`` and the number of Spark jobs it took."""
+    sc = spark.sparkContext
+    group = f"jobs of {id(run)} {random.random()}"
+    sc.setJobGroup(group, "")
+    try:
+        return run(), len(sc.statusTracker().getJobIdsForGroup(group))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+
+
+@pytest.mark.parametrize("seed,block", [(2, 7), (9, 30)])
+def test_people_in_several_blocks(spark, monkeypatch, seed, block):
+    monkeypatch.setattr(resolve, "BLOCK", block)
+    cards = random_cards(seed, 80, 15, 0.3)
+    assert run_people(spark, cards) == people_by_loop(cards)
+
+
+def test_people_in_several_blocks_with_standing_rows(spark, monkeypatch):
+    monkeypatch.setattr(resolve, "BLOCK", 9)
+    rng = random.Random(4)
+    cards = random_cards(4, 50, 20, 0.2, lambda r: r.randrange(10) if r.random() < 0.3 else None)
+    standing = [(f"k{rng.randrange(20)}", rng.randrange(10), rng.choice([None, 900, rng.randrange(1, 51)])) for _ in range(40)]
+    survivors = {3: 1, 7: 2, 1: 5, 5: 6}  # a chain: who is hit by way of 3 is told as 1, then as 5, then as 6
+    assert run_people(spark, cards, standing, survivors, 100) == people_by_loop(cards, standing, survivors, 100)
+
+
+def test_jobs_do_not_grow_with_the_turns_that_a_card_waits_for(spark):
+    """Each card needs the one before it: decided all at once, every round settled one or two more of them."""
+
+    def waiting(n):
+        # Card i holds the keys of its pair's founder once and of the loser twice, so its choice follows the choice before.
+        cards = [(1, 1, "a", None, ["k0", "x0"]), (2, 2, "b", None, ["y0", "y0"])]
+        for i in range(1, n):
+            cards.append((i + 2, i + 2, f"n{i}", None, [f"k{i - 1}", f"y{i - 1}", f"k{i}", f"y{i}"][: 4 if i % 2 else 3]))
+        return cards
+
+    few, many = waiting(6), waiting(40)
+    got, jobs_few = jobs_of(spark, lambda: run_people(spark, few))
+    assert got == people_by_loop(few)
+    got, jobs_many = jobs_of(spark, lambda: run_people(spark, many))
+    assert got == people_by_loop(many)
+    assert jobs_many <= jobs_few + 15
