@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cardmill.session import cut_lineage
+from cardmill.session import by_shuffle, cut_lineage
 
 CHUNK = 65_536
 
@@ -26,7 +26,7 @@ def running_total(
     offsets = totals.select(*group, "_chunk", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset"))
     inside = Window.partitionBy(*group, "_chunk").orderBy(at).rangeBetween(Window.unboundedPreceding, 0)
     return (
-        chunked.join(offsets, [*group, "_chunk"])
+        chunked.join(by_shuffle(offsets), [*group, "_chunk"])
         .withColumn(name, F.col("_offset") + F.sum(amount).over(inside))
         .drop("_chunk", "_offset")
     )
