@@ -187,7 +187,7 @@ def promote_more(graph: Graph, due: DataFrame, fields: DataFrame, settled: DataF
     )
     known_branches = graph.branches.select("org_id", "address", F.col("id").alias("ord"), "is_primary")
     grown = build_branches(known_branches.drop("is_primary").unionByName(said.select("org_id", "address", "ord")))
-    links = links.join(roles.select(F.col("id").alias("role_id"), "person_id", "org_id"), ["person_id", "org_id"], "left")
+    links = written(links.join(by_shuffle(roles.select(F.col("id").alias("role_id"), "person_id", "org_id")), ["person_id", "org_id"], "left"))
     turn = queue.select(F.col("card_id").alias("source_card_id")).distinct()
     old_points = graph.contact_points.join(turn, "source_card_id", "left_anti").select(*graph.contact_points.columns)
     founders = by_shuffle(facts.select((F.col("ord") + base).alias("id"), "name", F.coalesce("company", "domain").alias("company")))
@@ -219,14 +219,15 @@ def promote_more(graph: Graph, due: DataFrame, fields: DataFrame, settled: DataF
     fresh_pairs = overlaps.join(graph.overlaps.select("a_id", "b_id"), ["a_id", "b_id"], "left_anti")
     if settled is not None:
         fresh_pairs = fresh_pairs.join(settled.select("a_id", "b_id"), ["a_id", "b_id"], "left_anti")
+    # The clean-up reads people, endpoints and cards for nearly every table: stored once.
     return drop_orphans(
         Graph(
-            people=old_people.unionByName(new_people),
+            people=written(old_people.unionByName(new_people)),
             organizations=old_orgs.select("id", "name", "domain").unionByName(new_orgs),
             roles=roles.select(*graph.roles.columns),
             branches=grown.select(*graph.branches.columns),
-            contact_points=old_points.unionByName(build_endpoints(links.withColumn("ord", F.col("ord") + base), fields)),
-            cards=cards,
+            contact_points=written(old_points.unionByName(build_endpoints(links.withColumn("ord", F.col("ord") + base), fields))),
+            cards=written(cards),
             overlaps=graph.overlaps.unionByName(fresh_pairs.withColumn("score", F.lit(SHARED_CONTACT_SCORE))),
         )
     )
