@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cardmill.llm.scratch import Stored, store
+from cardmill.llm.scratch import LARGE_ROWS, Stored, store
 from cardmill.llm.wordhash import BYTE_TABLE, SPACE, doc_chunks, text_buffers
 
 TOP = 50
@@ -196,7 +196,7 @@ def build(docs: DataFrame) -> Index:
             yield from close()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return Index(store(rows.mapInArrow(run, BLOCKS), "treap"), n_docs, n_terms)
+    return Index(store(rows.mapInArrow(run, BLOCKS), "treap", **LARGE_ROWS), n_docs, n_terms)
 
 
 class Treap:

@@ -1,11 +1,13 @@
 """Ranked search over the treap against scoring every document."""
 
+import glob
 import math
 import random
 import re
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from cardmill.llm import catalog, k2treap
@@ -114,3 +116,16 @@ def test_query_equals_its_sql(spark):
     name = "op12_ranked_search"
     _, n, same, note = compare(spark, connect(folder), name, catalog.QUERIES[name], catalog.ORACLES[name], folder)
     assert same and n > 0, note
+
+
+def test_large_blocks_of_one_task_are_row_groups_of_their_own(spark, monkeypatch):
+    """A writer or reader holds a row group: with all blocks of a task in one, memory grows with the task's share of the table."""
+    monkeypatch.setattr(k2treap, "BLOCK_BYTES", 1_000_000)
+    rng = np.random.default_rng(5)
+    docs = [(i, " ".join(map(str, rng.integers(0, 10**6, 1500).tolist()))) for i in range(1500)]
+    index = k2treap.build(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1))
+    files = [pq.ParquetFile(f).metadata for f in glob.glob(f"{index.blocks.path.removeprefix('file:')}/*.parquet")]
+    groups = [m.row_group(i) for m in files for i in range(m.num_row_groups)]
+    stored = [sum(g.column(c).total_compressed_size for c in range(g.num_columns)) for g in groups]
+    assert sum(stored) > 12 << 20
+    assert max(stored) <= 8 << 20
