@@ -25,8 +25,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cardmill.llm.scratch import LARGE_ROWS, Stored, store
+from cardmill.llm.scratch import Stored, store
 from cardmill.llm.wordhash import BYTE_TABLE, SPACE, doc_chunks, text_buffers
+from cardmill.session import LARGE_ROWS
 
 TOP = 50
 #: Text bytes of a block; a longer document is a block of its own.

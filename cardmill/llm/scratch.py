@@ -23,13 +23,6 @@ class Stored:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: For rows of megabytes. Parquet looks at the size of a page and of a row group after 100 rows at the earliest, so all large rows of a
-#: task would be one page, held in memory whole by its writer and by every reader. With these a row is a page, 8 MB are a row group.
-LARGE_ROWS = {f"parquet.{unit}.size.row.check.{bound}": "1" for unit in ("page", "block") for bound in ("min", "max")} | {
-    "parquet.block.size": str(8 << 20)
-}
-
-
 def store(df: DataFrame, name: str, **options: str) -> Stored:
     spark: SparkSession = df.sparkSession
     path = f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

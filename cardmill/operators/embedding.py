@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StringType, StructField, StructType
 
 from cardmill.functions.text import fold_letters
-from cardmill.session import written
+from cardmill.session import LARGE_ROWS, written
 
 UNKNOWN = "[UNK]"
 CONTINUED = "##"
 LONGEST_WORD = 100
 #: Characters of text whose words meet their vectors in one task, and so many at least if there are cores left.
-BLOCK_CHARS, LEAST_CHARS = 32 << 20, 1 << 20
-#: Vectors that are added up together.
-SUM_ROWS = 1 << 15
+BLOCK_CHARS, LEAST_CHARS = 128 << 20, 1 << 20
+#: Vectors that are added up together, and words of the texts of a piece.
+SUM_ROWS, MOST_WORDS = 1 << 13, 1 << 20
+#: What a row of a block is, in the order in which a block takes its rows.
+KINDS = SPELLED, VECTOR, PIECE = 0, 1, 2
 
 _CJK = (
     r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{2A700}-\x{2B73F}"
@@ -112,45 +117,132 @@ def tokenize(df: DataFrame, tokens: DataFrame, key: str = "subject_id", text: st
     return spoken.join(pieces.withColumnRenamed("pos", "piece"), "word").select(key, "position", "piece", "token")
 
 
-def _block_means(key: str, dim: int):
-    """Of one block of texts (key, words), the spelling of its words and the vectors of their tokens: the mean per key."""
-
-    def run(texts: pa.Table, needed: pa.Table) -> pa.Table:
-        needed = needed.combine_chunks()
-        known = needed.filter(pc.is_valid(needed["token"]))
-        rows = {t: i for i, t in enumerate(known["token"].to_pylist())}
-        table = np.zeros((len(rows) + 1, dim))  # the last row: a token without a vector
-        if rows:
-            table[:-1] = pc.list_flatten(known["vector"]).to_numpy().astype(np.float64).reshape(-1, dim)
-        spelled = needed.filter(pc.is_valid(needed["word"]))
-        at = {w: i for i, w in enumerate(spelled["word"].to_pylist())}
-        pieces = pc.list_value_length(spelled["tokens"]).to_numpy()
-        token = np.array([rows.get(t, len(rows)) for t in pc.list_flatten(spelled["tokens"]).to_pylist()], np.int64)
-        first = np.concatenate([[0], pieces.cumsum()])
-        by_word = np.zeros((len(at), dim))
-        for low in range(0, len(at), SUM_ROWS):
-            high = min(len(at), low + SUM_ROWS)
-            by_word[low:high] = np.add.reduceat(table[token[first[low] : first[high]]], first[low:high] - first[low])
-        keys = texts[key].to_pylist()
-        seen: dict[str, int] = {}
-        owner = np.array([seen.setdefault(repr(k), len(seen)) for k in keys], np.int64)
-        sizes = pc.fill_null(pc.list_value_length(texts["words"]), 0).to_numpy()
-        said = pc.list_flatten(texts["words"]).combine_chunks().dictionary_encode()
-        codes = np.array([at[w] for w in said.dictionary.to_pylist()], np.int64)[said.indices.to_numpy()]
-        cells, times = np.unique(np.repeat(owner, sizes) * max(1, len(at)) + codes, return_counts=True)
-        who, word = np.divmod(cells, max(1, len(at)))
-        total, n_tokens = np.zeros((len(seen), dim)), np.zeros(len(seen), np.int64)
+class _Block:
+    """Words of one block of texts as numbers of vectors, and these vectors; the texts themselves are taken piece by piece."""
+
+    def __init__(self, dim: int):
+        self.dim = dim
+        self.spelled: list[pa.RecordBatch] = []
+        self.table: np.ndarray | None = None
+
+    def _complete(self) -> None:
+        if self.table is not None:
+            return
+        joined = lambda name, kind: pa.chunked_array([b.column(name) for b in self.spelled], kind).combine_chunks()
+        self.words, codes = joined("word", pa.string()), joined("codes", pa.list_(pa.int64()))
+        self.pieces = joined("pieces", pa.int64()).to_numpy(zero_copy_only=False)
+        self.many = codes.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        self.first = self.many.cumsum() - self.many
+        self.codes, self.at = np.unique(codes.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+        self.table = np.zeros((len(self.codes), self.dim), np.float32)
+        self.spelled = []
+
+    def add_vectors(self, part: pa.RecordBatch) -> None:
+        self._complete()
+        at = np.searchsorted(self.codes, part.column("code").to_numpy())
+        self.table[at] = part.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(-1, self.dim)
+
+    def _by_word(self, words: np.ndarray) -> np.ndarray:
+        """The sum of its tokens' vectors for each of some words."""
+        out = np.zeros((len(words), self.dim))
+        known = np.flatnonzero(self.many[words] > 0)
+        for low in range(0, len(known), SUM_ROWS):
+            some = words[known[low : low + SUM_ROWS]]
+            many = self.many[some]
+            begins = many.cumsum() - many
+            places = np.arange(many.sum()) - np.repeat(begins - self.first[some], many)
+            out[known[low : low + SUM_ROWS]] = np.add.reduceat(self.table[self.at[places]].astype(np.float64), begins)
+        return out
+
+    def sums(self, words: pa.Array, cells: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """(sum of vectors, tokens) of each text of a piece."""
+        self._complete()
+        many, word, times = unpacked(cells)
+        total, n_tokens = np.zeros((len(many), self.dim)), np.zeros(len(many), np.int64)
+        at = pc.index_in(words, value_set=self.words)
+        if at.null_count:
+            raise ValueError(f"words without a spelling: {words.filter(at.is_null())[:3]}")
+        at = at.to_numpy()
+        by_word, pieces = self._by_word(at), self.pieces[at]
+        who = np.repeat(np.arange(len(many)), many)
         for low in range(0, len(who), SUM_ROWS):
             part, w, n = who[low : low + SUM_ROWS], word[low : low + SUM_ROWS], times[low : low + SUM_ROWS]
             new = np.flatnonzero(np.diff(part, prepend=-1))
             total[part[new]] += np.add.reduceat(by_word[w] * n[:, None], new)
             n_tokens[part[new]] += np.add.reduceat(n * pieces[w], new)
-        norm = np.sqrt((total * total).sum(axis=1))
-        kept = np.flatnonzero(norm > 0)
-        unit = (total[kept] / norm[kept, None]).astype(np.float32)
-        originals = np.unique(owner, return_index=True)[1][kept]
-        vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(kept) + 1) * dim, pa.int32()), pa.array(unit.ravel()))
-        return pa.table({key: texts[key].take(pa.array(originals)), "vector": vectors, "n_tokens": pa.array(n_tokens[kept])})
+        return total, n_tokens
+
+
+def packed(many: np.ndarray, word: np.ndarray, times: np.ndarray) -> bytes:
+    """Words of each text, and which and how often: by text and word, so steps are small; equal bytes of the numbers side by side."""
+    step = np.diff(word, prepend=0)
+    first = (many.cumsum() - many)[many > 0]
+    step[first] = word[first]
+    flat = np.concatenate([[len(many)], many, step, times]).astype("<i4")
+    return (4 * len(flat)).to_bytes(8, "little") + pa.compress(flat.view(np.uint8).reshape(-1, 4).T.tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(cells: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    size = int.from_bytes(cells[:8], "little")
+    flat = np.frombuffer(pa.decompress(cells[8:], size, "zstd", asbytes=True), np.uint8).reshape(4, -1).T.copy().view("<i4").ravel().astype(np.int64)
+    many, rest = flat[1 : 1 + flat[0]], flat[1 + flat[0] :]
+    step, times = rest[: len(rest) // 2], rest[len(rest) // 2 :]
+    upto = step.cumsum()
+    first = many.cumsum() - many
+    before = np.where(first > 0, upto[first - 1], 0) if len(step) else np.zeros(len(many), np.int64)
+    return many, upto - np.repeat(before, many), times
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(piece, size, keys, spoken, cells) of (key, words): some texts with their distinct words once."""
+    task, n = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        keys, lists = batch.column(0), batch.column(1)
+        upto = pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False).cumsum()
+        low = 0
+        while low < len(batch):
+            before = upto[low - 1] if low else 0
+            high = max(low + 1, int(np.searchsorted(upto, before + MOST_WORDS, "right")))
+            flat = lists.slice(low, high - low).flatten()
+            said = flat.dictionary_encode()
+            sizes = np.diff(upto[low:high], prepend=before)
+            width = max(1, len(said.dictionary))
+            cells, times = np.unique(np.repeat(np.arange(high - low), sizes) * width + said.indices.to_numpy(zero_copy_only=False), return_counts=True)
+            row, word = np.divmod(cells, width)
+            one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+            chars = pc.sum(pc.binary_length(flat)).as_py() or 0
+            counts = packed(np.bincount(row, minlength=high - low), word, times)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([task << 32 | n]), pa.array([chars]), one(keys.slice(low, high - low)), one(said.dictionary), pa.array([counts])],
+                ["piece", "size", "keys", "spoken", "cells"],
+            )
+            low, n = high, n + 1
+
+
+def _streamed_sums(dim: int):
+    """Rows in the order of (block, kind) are taken one after the other; what is held is the words of a block, not its texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, block = None, _Block(dim)
+        for batch in batches:
+            marks = batch.column("block").to_numpy() * len(KINDS) + batch.column("kind").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(marks)) + 1).tolist(), len(batch)]
+            for low, high in zip(cuts[:-1], cuts[1:]):
+                if low == high:
+                    continue
+                number, kind = divmod(int(marks[low]), len(KINDS))
+                part = batch.slice(low, high - low)
+                if number != now:
+                    now, block = number, _Block(dim)
+                if kind == SPELLED:
+                    block.spelled.append(part)
+                elif kind == VECTOR:
+                    block.add_vectors(part)
+                else:
+                    for keys, spoken, cells in zip(*(part.column(c) for c in ("keys", "spoken", "cells"))):
+                        total, n_tokens = block.sums(spoken.values, cells.as_py())
+                        sums = pa.ListArray.from_arrays(pa.array(np.arange(len(total) + 1) * dim, pa.int32()), pa.array(total.ravel()))
+                        yield pa.RecordBatch.from_arrays([keys.values, sums, pa.array(n_tokens)], ["key", "total", "n_tokens"])
 
     return run
 
@@ -160,26 +252,52 @@ def token_mean_vectors(
 ) -> DataFrame:
     """(key, vector, n_tokens): mean of token vectors scaled to unit length; no tokens, no row.
 
-    Texts are dealt by key to blocks of bounded size. A block gets the spelling of each of its words and the vector of each
-    of their tokens once, and sums them where the texts are: no vector travels per (document, word).
+    Texts become pieces of counted words where they are read, and pieces that follow one another a block of bounded size. A
+    block gets the spelling of each of its words and each vector of their tokens once, and sums them where the pieces
+    are: no vector travels per (document, word) and no text at all. The pieces stream past, so a block can be large, and the
+    larger the blocks the fewer of them need a token's vector. Texts of one key are added up at the end, if there are any.
     """
-    facts = df.agg(F.sum(F.length(text).cast("long"))).first()
-    size, cores = facts[0] or 0, df.sparkSession.sparkContext.defaultParallelism
-    blocks = max(1, -(-size // BLOCK_CHARS), min(cores, size // LEAST_CHARS))
+    spark = df.sparkSession
+    kind = df.schema[key].dataType
     dim = token_vectors.agg(F.max(F.size("vector"))).first()[0] or 0
-    dealt = df.select(key, F.col(text).alias("_text"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block"))
-    met = written(dealt.select("block", F.explode(words(F.col("_text"))).alias("word")).distinct())
-    pieces = word_pieces(met.select("word").distinct(), token_vectors.select("token"))
-    spelled = written(met.join(pieces.groupBy("word").agg(F.collect_list("token").alias("tokens")), "word").select("block", "word", "tokens"))
+    again = df.groupBy(key).agg(F.count("*").alias("_n")).filter("_n > 1").limit(1).count() > 0
+    schema = StructType([
+        StructField("piece", LongType()), StructField("size", LongType()), StructField("keys", ArrayType(kind)),
+        StructField("spoken", ArrayType(StringType())), StructField("cells", BinaryType()),
+    ])
+    pieces = written(df.select(key, words(F.col(text)).alias("words")).mapInArrow(_pieces, schema), **LARGE_ROWS)
+    sizes = sorted((r["piece"], r["size"]) for r in pieces.select("piece", "size").toLocalIterator())
+    size = sum(s for _, s in sizes)
+    blocks = max(1, -(-size // BLOCK_CHARS), min(spark.sparkContext.defaultParallelism, size // LEAST_CHARS))
+    upto, block_of = 0, []
+    for piece, s in sizes:
+        block_of.append((piece, min(blocks - 1, (upto + s // 2) * blocks // max(1, size))))
+        upto += s
+    dealt = pieces.drop("size").join(F.broadcast(spark.createDataFrame(block_of, "piece long, block int")), "piece").drop("piece")
+    met = written(dealt.select("block", F.explode("spoken").alias("word")).distinct())
+    spellings = word_pieces(met.select("word").distinct(), token_vectors.select("token"))
+    # Tokens may share a vector: words are spelled in numbers of distinct vectors, and a block gets each of these once.
     usable = token_vectors.filter(F.size("vector") == dim).select("token", F.col("vector").cast("array<float>").alias("vector"))
-    needed = spelled.select("block", F.explode("tokens").alias("token")).distinct().join(usable, "token").select("block", "token", "vector")
-    texts = dealt.repartition(blocks, "block").select("block", key, words(F.col("_text")).alias("words"))
-    schema = StructType([df.schema[key], StructField("vector", ArrayType(FloatType())), StructField("n_tokens", LongType())])
-    return (
-        texts.groupBy("block")
-        .cogroup(spelled.unionByName(needed, allowMissingColumns=True).groupBy("block"))
-        .applyInArrow(_block_means(key, dim), schema)
+    usable = usable.select("token", "vector", F.xxhash64("vector").alias("h"), F.xxhash64(F.lit(1), "vector").alias("g"))
+    vectors = written(usable.groupBy("h", "g").agg(F.first("vector").alias("vector")).withColumn("code", F.monotonically_increasing_id()))
+    coded = usable.select("token", "h", "g").join(vectors.select("h", "g", "code"), ["h", "g"]).groupBy("token").agg(F.min("code").alias("code"))
+    spellings = spellings.join(coded, "token", "left").groupBy("word").agg(F.collect_list("code").alias("codes"), F.count("*").alias("pieces"))
+    spelled = written(met.join(spellings, "word").select("block", "word", "codes", "pieces"))
+    needed = spelled.select("block", F.explode("codes").alias("code")).distinct().join(vectors.select("code", "vector"), "code")
+    of = lambda rows, kind: rows.withColumn("kind", F.lit(kind))
+    rows = of(spelled, SPELLED).unionByName(of(needed, VECTOR), True).unionByName(of(dealt, PIECE), True)
+    in_order = rows.repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "kind")
+    sums = in_order.mapInArrow(
+        _streamed_sums(dim), StructType([StructField("key", kind), StructField("total", ArrayType(DoubleType())), StructField("n_tokens", LongType())])
     )
+    if again:
+        both = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
+        sums = sums.groupBy("key").agg(F.collect_list("total").alias("parts"), F.sum("n_tokens").alias("n_tokens")).select(
+            "key", F.aggregate(F.slice("parts", 2, F.size("parts")), F.get("parts", F.lit(0)), both).alias("total"), "n_tokens"
+        )
+    norm = F.sqrt(F.aggregate("total", F.lit(0.0), lambda n, x: n + x * x))
+    unit = F.transform("total", lambda x: (x / F.col("norm")).cast("float"))
+    return sums.withColumn("norm", norm).filter((F.col("norm") > 0) & ~F.isnan("norm")).select(F.col("key").alias(key), unit.alias("vector"), "n_tokens")
 
 
 def check_token_table(token_vectors: DataFrame) -> DataFrame:

@@ -55,13 +55,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
+#: For rows of megabytes. Parquet looks at the size of a page and of a row group after 100 rows at the earliest, so all large rows of a
+#: task would be one page, held in memory whole by its writer and by every reader. With these a row is a page, 8 MB are a row group.
+LARGE_ROWS = {f"parquet.{unit}.size.row.check.{bound}": "1" for unit in ("page", "block") for bound in ("min", "max")} | {
+    "parquet.block.size": str(8 << 20)
+}
+
+
+def written(df: DataFrame, **options: str) -> DataFrame:
     """Stores a result that several later steps read in the shared folder and reads it back.
 
     Unlike a checkpoint the stored table has sizes and columns the optimizer can use.
     """
     path = f"{checkpoint_root(df.sparkSession).rstrip('/')}/cardmill-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -295,3 +295,23 @@ def test_mean_vectors_in_blocks_shuffle_no_vector_per_document_and_word(spark, m
             assert got[k].n_tokens == len(vs) and all(abs(x / norm - y) < 1e-6 for x, y in zip(total, got[k].vector))
     # Vectors meet the texts by block: nothing is summed after a join per (document, word).
     assert "Summarizer" not in (plan := made._jdf.queryExecution().optimizedPlan().toString()) and "aggregate_metrics" not in plan
+
+
+def test_texts_stay_and_shared_vectors_travel_once(spark, monkeypatch):
+    rng = random.Random(4)
+    spoken = [f"w{i}" for i in range(40)]
+    shared = [[rng.uniform(-1, 1) for _ in range(64)] for _ in range(2)]
+    table = {w: shared[i % 2] for i, w in enumerate(spoken)}
+    tokens = spark.createDataFrame([*table.items(), ("odd", [1.0])], "token string, vector array<float>")
+    texts = [(i, " ".join(rng.choices([*spoken, "odd"], k=30))) for i in range(40)]
+    monkeypatch.setattr(embedding, "MOST_WORDS", 50)
+    made = embedding.token_mean_vectors(spark.createDataFrame(texts, "subject_id long, text string").repartition(3), tokens)
+    for r in made.collect():
+        said = dict(texts)[r.subject_id].split()
+        total = np.sum([table[w] for w in said if w in table], axis=0)
+        assert r.n_tokens == 30 and np.allclose(r.vector, total / np.linalg.norm(total), atol=1e-6)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert made.count() == 40 and "cells" in plan and "regexp_replace" not in plan  # no text is dealt to the blocks
+    cells = embedding.packed(np.array([2, 0, 1]), np.array([3, 70000, 1]), np.array([1, 2, 300]))
+    assert [x.tolist() for x in embedding.unpacked(cells)] == [[2, 0, 1], [3, 70000, 1], [1, 2, 300]]
+    assert [x.tolist() for x in embedding.unpacked(embedding.packed(*[np.array([], np.int64)] * 3))] == [[], [], []]
