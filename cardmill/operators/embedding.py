@@ -10,9 +10,9 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, FloatType, LongType, StringType, StructField, StructType
 
-from cardmill.functions.text import fold_letters
+from cardmill.functions.text import fold_letters, let
 from cardmill.session import LARGE_ROWS, written
 
 UNKNOWN = "[UNK]"
@@ -163,13 +163,14 @@ class _Block:
         if at.null_count:
             raise ValueError(f"words without a spelling: {words.filter(at.is_null())[:3]}")
         at = at.to_numpy()
-        by_word, pieces = self._by_word(at), self.pieces[at]
-        who = np.repeat(np.arange(len(many)), many)
-        for low in range(0, len(who), SUM_ROWS):
-            part, w, n = who[low : low + SUM_ROWS], word[low : low + SUM_ROWS], times[low : low + SUM_ROWS]
-            new = np.flatnonzero(np.diff(part, prepend=-1))
-            total[part[new]] += np.add.reduceat(by_word[w] * n[:, None], new)
-            n_tokens[part[new]] += np.add.reduceat(n * pieces[w], new)
+        by_word, pieces = self._by_word(at), self.pieces[at].astype(np.float64)
+        times = times.astype(np.float64)
+        ends = many.cumsum()
+        for text, (low, high) in enumerate(zip((ends - many).tolist(), ends.tolist())):
+            for cut in range(low, high, SUM_ROWS):
+                w, n = word[cut : min(high, cut + SUM_ROWS)], times[cut : min(high, cut + SUM_ROWS)]
+                total[text] += n @ by_word[w]
+                n_tokens[text] += int(n @ pieces[w])
         return total, n_tokens
 
 
@@ -219,7 +220,15 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             low, n = high, n + 1
 
 
-def _streamed_sums(dim: int):
+def _unit(keys: pa.Array, total: np.ndarray, n_tokens: np.ndarray, dim: int) -> pa.RecordBatch:
+    norm = np.sqrt((total * total).sum(axis=1))
+    kept = np.flatnonzero(norm > 0)
+    unit = (total[kept] / norm[kept, None]).astype(np.float32)
+    vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(kept) + 1) * dim, pa.int32()), pa.array(unit.ravel()))
+    return pa.RecordBatch.from_arrays([keys.take(pa.array(kept)), vectors, pa.array(n_tokens[kept])], ["key", "vector", "n_tokens"])
+
+
+def _streamed_sums(dim: int, as_unit: bool):
     """Rows in the order of (block, kind) are taken one after the other; what is held is the words of a block, not its texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,6 +250,9 @@ def _streamed_sums(dim: int):
                 else:
                     for keys, spoken, cells in zip(*(part.column(c) for c in ("keys", "spoken", "cells"))):
                         total, n_tokens = block.sums(spoken.values, cells.as_py())
+                        if as_unit:
+                            yield _unit(keys.values, total, n_tokens, dim)
+                            continue
                         sums = pa.ListArray.from_arrays(pa.array(np.arange(len(total) + 1) * dim, pa.int32()), pa.array(total.ravel()))
                         yield pa.RecordBatch.from_arrays([keys.values, sums, pa.array(n_tokens)], ["key", "total", "n_tokens"])
 
@@ -287,17 +299,18 @@ def token_mean_vectors(
     of = lambda rows, kind: rows.withColumn("kind", F.lit(kind))
     rows = of(spelled, SPELLED).unionByName(of(needed, VECTOR), True).unionByName(of(dealt, PIECE), True)
     in_order = rows.repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "kind")
-    sums = in_order.mapInArrow(
-        _streamed_sums(dim), StructType([StructField("key", kind), StructField("total", ArrayType(DoubleType())), StructField("n_tokens", LongType())])
-    )
-    if again:
-        both = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
-        sums = sums.groupBy("key").agg(F.collect_list("total").alias("parts"), F.sum("n_tokens").alias("n_tokens")).select(
-            "key", F.aggregate(F.slice("parts", 2, F.size("parts")), F.get("parts", F.lit(0)), both).alias("total"), "n_tokens"
-        )
+    made = lambda name, number: StructType([StructField("key", kind), StructField(name, ArrayType(number)), StructField("n_tokens", LongType())])
+    if not again:
+        units = in_order.mapInArrow(_streamed_sums(dim, True), made("vector", FloatType()))
+        return units.withColumnRenamed("key", key)
+    sums = in_order.mapInArrow(_streamed_sums(dim, False), made("total", DoubleType()))
+    both = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
+    sums = sums.groupBy("key").agg(F.collect_list("total").alias("parts"), F.sum("n_tokens").alias("n_tokens"))
+    total = F.aggregate(F.slice("parts", 2, F.size("parts")), F.get("parts", F.lit(0)), both)
     norm = F.sqrt(F.aggregate("total", F.lit(0.0), lambda n, x: n + x * x))
-    unit = F.transform("total", lambda x: (x / F.col("norm")).cast("float"))
-    return sums.withColumn("norm", norm).filter((F.col("norm") > 0) & ~F.isnan("norm")).select(F.col("key").alias(key), unit.alias("vector"), "n_tokens")
+    unit = let(norm, lambda n: F.when((n > 0) & ~F.isnan(n), F.transform("total", lambda x: (x / n).cast("float"))))
+    scaled = sums.select("key", "n_tokens", F.explode(F.array(total)).alias("total")).select(F.col("key").alias(key), unit.alias("vector"), "n_tokens")
+    return scaled.filter(F.col("vector").isNotNull())
 
 
 def check_token_table(token_vectors: DataFrame) -> DataFrame:

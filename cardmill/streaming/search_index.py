@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from cardmill.functions import fixed
 from cardmill.functions.scoring import is_usable
 from cardmill.operators.embedding import token_mean_vectors
-from cardmill.operators.lexical import INDEX_COLUMNS, bm25_topk, build_postings, doc_stats, query_terms
+from cardmill.operators.lexical import INDEX_COLUMNS, doc_stats, listed_postings, query_terms, ranked_scan, subject_postings, terms_of_subjects
 from cardmill.operators.vectors import cosine_topk
 from cardmill.session import written
 from cardmill.sources.segments import Segments
@@ -19,13 +19,24 @@ from cardmill.sources.segments import Segments
 STREAM = "texts"
 
 
-def index_store(spark: SparkSession, path: str) -> Segments:
+class IndexStore(Segments):
+    """Postings are stored in one row per subject and read one by one."""
+
+    def stored(self, table: str, only: DataFrame | None = None) -> DataFrame:
+        return super().read(table, only)
+
+    def read(self, table: str, only: DataFrame | None = None) -> DataFrame:
+        rows = self.stored(table, only)
+        return listed_postings(rows) if table == "postings" else rows
+
+
+def index_store(spark: SparkSession, path: str) -> IndexStore:
     """postings, lengths (with the stamp of the newest change, and whether it took the subject out) and vectors, all by subject."""
-    return Segments(spark, path, {"postings": ["subject_id"], "lengths": ["subject_id"], "vectors": ["subject_id"]})
+    return IndexStore(spark, path, {"postings": ["subject_id"], "lengths": ["subject_id"], "vectors": ["subject_id"]})
 
 
 def index_changes(
-    store: Segments,
+    store: IndexStore,
     changes: DataFrame,
     batch_id: int,
     token_vectors: DataFrame | None = None,
@@ -52,7 +63,7 @@ def index_changes(
     texts = newest.filter(~F.col("gone"))
     stamps = newest.select("subject_id", "stamp", "gone").join(doc_stats(texts, columns), "subject_id", "left")
     touched = newest.select("subject_id")
-    changed = {"postings": (build_postings(texts, columns), touched), "lengths": (stamps.select("subject_id", "doc_len", "stamp", "gone"), touched)}
+    changed = {"postings": (subject_postings(texts, columns), touched), "lengths": (stamps.select("subject_id", "doc_len", "stamp", "gone"), touched)}
     if token_vectors is not None:
         text = F.col(vector_text) if vector_text else F.concat_ws(" ", *columns)
         vectors = token_mean_vectors(texts.select("subject_id", text.alias("text")), token_vectors, "subject_id")
@@ -63,7 +74,7 @@ def index_changes(
 
 def index_stream(
     changes: DataFrame,
-    store: Segments,
+    store: IndexStore,
     checkpoint: str,
     token_vectors: DataFrame | None = None,
     columns: Sequence[str] = INDEX_COLUMNS,
@@ -79,24 +90,24 @@ def index_stream(
     return writer.trigger(availableNow=True).start()
 
 
-def remove_subjects(store: Segments, ids: DataFrame, stream: str, batch_id: int) -> bool:
+def remove_subjects(store: IndexStore, ids: DataFrame, stream: str, batch_id: int) -> bool:
     """Takes subjects out for good: postings, lengths and vectors, the stamp included."""
     gone = ids.select("subject_id").distinct()
     tables = [t for t in store.keys if store.has(t)]
-    return store.commit(stream, batch_id, {t: (store.read(t, gone).limit(0), gone) for t in tables})
+    return store.commit(stream, batch_id, {t: (store.stored(t, gone).limit(0), gone) for t in tables})
 
 
-def stored_lexical_arm(queries: DataFrame, store: Segments, k: int | None = fixed.ARM_LIMIT) -> DataFrame:
+def stored_lexical_arm(queries: DataFrame, store: IndexStore, k: int | None = fixed.ARM_LIMIT) -> DataFrame:
     """BM25 over the stored postings; lengths of empty texts count, subjects that are gone do not."""
     lengths = store.read("lengths").filter(~F.col("gone")).select("subject_id", "doc_len")
-    return bm25_topk(queries, store.read("postings"), lengths, k)
+    return ranked_scan(queries, written(terms_of_subjects(store.stored("postings"))), lengths, k)
 
 
 def query_vectors(queries: DataFrame, token_vectors: DataFrame, model: str = "token-mean") -> DataFrame:
     return token_mean_vectors(queries.select("query_id", "text"), token_vectors, "query_id").withColumn("model", F.lit(model))
 
 
-def stored_vector_arm(queries: DataFrame, query_vectors: DataFrame, store: Segments) -> DataFrame:
+def stored_vector_arm(queries: DataFrame, query_vectors: DataFrame, store: IndexStore) -> DataFrame:
     """Cosine over the stored vectors, for queries with something searchable in them."""
     asked = query_terms(queries).select("query_id").distinct()
     return cosine_topk(query_vectors.join(asked, "query_id", "left_semi"), store.read("vectors"))

@@ -127,3 +127,12 @@ def test_stream_files_grow_in_number_and_batches_stay_two(spark, tmp_path, monke
     writer.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
     assert len(seen) == 2 and sum(seen) == 190
     assert len(spark.read.parquet(str(tmp_path / "in")).inputFiles()) == 10
+
+
+def test_index_stores_a_row_per_subject(spark, tmp_path):
+    store = search_index.index_store(spark, str(tmp_path / "index"))
+    texts = [(i, 1, False, "a b a c d", None if i % 2 else "b e") for i in range(6)] + [(9, 1, False, "", None)]
+    assert search_index.index_changes(store, spark.createDataFrame(texts, TEXT), 0, columns=["card_text", "note_text"])
+    assert store.sizes("postings") == [(7, 7)]
+    listed = sorted(tuple(r) for r in store.read("postings").filter("subject_id = 0").select("column", "term", "doc_len", "tf").collect())
+    assert listed == [("card_text", "a", 7, 2), ("card_text", "b", 7, 1), ("card_text", "c", 7, 1), ("card_text", "d", 7, 1), ("note_text", "b", 7, 1), ("note_text", "e", 7, 1)]
